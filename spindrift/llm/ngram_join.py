@@ -5,7 +5,7 @@ the tokens, two sets whose Jaccard similarity is t or more share one of the firs
 each, so candidates must share a prefix token under each of ORDERS different orders:
 
 * order 0 puts tokens with a small document frequency first. Frequencies come from a counter array over all
-  documents (2**SKETCH_BITS cells, 1 MB, summed in slices, broadcast); being an order, it needs no exact counts.
+  documents (2**SKETCH_BITS cells, summed in slices; 4 MB of levels are broadcast); being an order, it needs no exact counts.
   Very common tokens come last, so they are in few prefixes.
 * the others are orders of independent hashes. Their prefixes travel with each document and intersect the
   candidates of order 0 before texts are compared.
@@ -23,6 +23,7 @@ Only doc_id and text are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from . import common as C
 from .components import components
 
 QUERY = "op7_ngram_jaccard_join"
-SKETCH_BITS, SLICES, ORDERS = 18, 16, 3
+SKETCH_BITS, SLICES, ORDERS = 22, 64, 3
 #: Pairs in different components that are met at once, for each entry of the token lists; else centres go first.
 PAIRS_PER_ENTRY = 2
 U = C.U
@@ -75,30 +76,36 @@ def describe(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     width = (1 << SKETCH_BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        late: list[np.ndarray] = []
         names = ["doc_id", "n", "s1", "s2", "slice", "counts"]
         for b in C.pieces(batches):
             sets, at = shingle_sets(C.col(b, "text"), n)
-            sketch += np.bincount((sets >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            late.append((sets >> U(64 - SKETCH_BITS)).astype(np.int64))
+            if sum(map(len, late)) > 1 << SKETCH_BITS:
+                sketch += np.bincount(np.concatenate(late), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                late = []
             sums = [np.concatenate([np.zeros(1, U), np.cumsum(_order(sets, k))]) for k in (7, 8)]
             rows = b.num_rows
             yield pa.RecordBatch.from_arrays([C.col(b, "doc_id"), pa.array(np.diff(at)), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        if late:
+            sketch += np.bincount(np.concatenate(late), minlength=1 << SKETCH_BITS).astype(np.uint32)
         if sketch.any():
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()),) * 4, pa.array(range(SLICES), pa.int32()), C.blobs([sketch[i * width : (i + 1) * width].tobytes() for i in range(SLICES)])], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()),) * 4, pa.array(range(SLICES), pa.int32()), C.blobs([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)])], names)
 
     def add(t: pa.Table) -> pa.Table:
-        return pa.table({"slice": t["slice"][:1], "counts": C.blobs([sum(np.frombuffer(v, np.int64) for v in t["counts"].to_pylist()).tobytes()])})
+        return pa.table({"slice": t["slice"][:1], "counts": C.blobs([zlib.compress(sum(np.frombuffer(zlib.decompress(v), np.uint32).astype(np.int64) for v in t["counts"].to_pylist()).tobytes(), 1)])})
 
     both = C.materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, slice int, counts binary"), "ngram-sets")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in both.where("slice is not null").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        sketch[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
+        sketch[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return both.where("slice is null").drop("slice", "counts"), sketch
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """doc_id, n, and its prefix under each order: p0 (tokens, in order), p1, p2 ... (32-bit hashes)."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.log2(sketch + 1).astype(np.uint8))
+    shared = docs.sparkSession.sparkContext.broadcast((4 * np.log2(sketch + 1.0)).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -123,9 +130,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataF
 
 
 def _long_enough(percent: int) -> str:
-    """Of a pair at a shared token: sizes are near enough, and the tokens before and after it can make the overlap."""
+    """Of a pair at a shared token: sizes are near enough, and if it is the first shared one, what follows makes the
+    overlap. A pair that links meets this at its first shared token."""
     need = f"ceil({percent} * (an + bn) / {100 + percent})"
-    return f"100 * least(an, bn) >= {percent} * greatest(an, bn) and least(apos, bpos) + 1 + least(an - apos - 1, bn - bpos - 1) >= {need}"
+    return f"100 * least(an, bn) >= {percent} * greatest(an, bn) and least(an - apos, bn - bpos) >= {need}"
 
 
 class _Verifier:
@@ -171,8 +179,9 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, more: str = "true")
 def link_components(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame | None:
     """id, component of the documents with links, or None without any. sigs: what prefixes() returns."""
     spark = docs.sparkSession
-    entries = sigs.select(F.col("doc_id").alias("doc"), "n", F.posexplode("p0").alias("pos", "token"))
-    often = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    entries = sigs.select(F.col("doc_id").alias("doc"), "n", F.posexplode("p0").alias("pos", "token")).repartition(parts, "token")
+    often = entries.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     entries = C.materialize(entries.join(often.select("token"), "token", "left_semi"), "ngram-lists")
     total = entries.count()
     if not total:
@@ -191,7 +200,7 @@ def link_components(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> D
         if not open_:
             break
         top = now.agg(F.max("level")).first()[0]
-        level = top if level is None else level - 1
+        level = top - 2 if level is None else level - 4
         last = open_ <= PAIRS_PER_ENTRY * total or level <= 0
         if last:
             pairs = _pairs(now, now, percent, "acomponent <> bcomponent and adoc < bdoc")
