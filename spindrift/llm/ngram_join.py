@@ -137,21 +137,25 @@ def _long_enough(percent: int) -> str:
 
 
 class _Verifier:
-    """Pairs (a, b) to links; texts and prefixes only of documents in some list with another one."""
+    """Pairs (a, b) to links. Prefixes and texts are read anew for the documents of the pairs at hand only."""
 
-    def __init__(self, docs: DataFrame, sigs: DataFrame, ids: DataFrame, n: int, percent: int):
-        ids = C.materialize(ids, "ngram-candidates")
-        few = C.small(ids, ids.count())
-        self.texts = C.materialize(docs.select("doc_id", "text").join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-texts")
-        self.sigs = C.materialize(sigs.drop("p0").join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-orders")
+    def __init__(self, docs: DataFrame, sigs: DataFrame, n: int, percent: int):
+        self.texts, self.sigs = docs.select("doc_id", "text"), sigs.drop("p0")
         self.n, self.percent = n, percent
 
+    @staticmethod
+    def _with(pairs: DataFrame, about: DataFrame) -> DataFrame:
+        """pairs with the columns of `about` for a (prefix a) and for b (prefix b); `about` is cut to these ids first."""
+        ids = C.materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ngram-ids")
+        about = about.join(C.small(ids, ids.count()), "doc_id", "left_semi")
+        side = lambda s: about.select(*(F.col(c).alias(s if c == "doc_id" else s + c) for c in about.columns))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
     def links(self, pairs: DataFrame) -> DataFrame:
-        side = lambda df, s: df.select(*(F.col(c).alias(s if c == "doc_id" else s + c) for c in df.columns))
-        pairs = pairs.join(side(self.sigs, "a"), "a").join(side(self.sigs, "b"), "b")
+        pairs = self._with(C.materialize(pairs, "ngram-pairs"), self.sigs)
         for k in range(1, ORDERS):
             pairs = pairs.where(F.arrays_overlap(f"ap{k}", f"bp{k}"))
-        pairs = pairs.select("a", "b").join(side(self.texts, "a"), "a").join(side(self.texts, "b"), "b")
+        pairs = self._with(C.materialize(pairs.select("a", "b"), "ngram-pairs"), self.texts)
         n, percent = self.n, self.percent
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +190,7 @@ def link_components(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> D
     total = entries.count()
     if not total:
         return None
-    check = _Verifier(docs, sigs, entries.select(F.col("doc").alias("doc_id")).distinct(), n, percent)
+    check = _Verifier(docs, sigs, n, percent)
     first = entries.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("m")).select("token", "m.*")
     links = C.materialize(check.links(_pairs(first, entries, percent)), "ngram-links")
     found = components(links)
