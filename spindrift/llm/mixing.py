@@ -4,8 +4,8 @@ Document rates are the least change (in relative entropy) from 1 that meets the
 the multipliers of the document's constraints). The convex dual is solved by Newton's method; each step sums tokens
 and rates per constraint in Spark (documents are first summed to cells of equal constraints), and the driver holds one
 multiplier a constraint (MAX_CONSTRAINTS, checked). Rates become copies by systematic rounding: within a source,
-documents in order of size get the floor of the rate, and one more at evenly spaced ranks, so that the tokens taken
-stay within about one document of the target. Ranks come from counts of (source, size, bucket) cells; no source is
+documents in order of size get the floor of the rate, and one more at evenly spaced ranks; what larger documents leave
+over is carried to smaller ones, so that the tokens taken end within about one small document of the target. Ranks come from counts of (source, size, bucket) cells; no source is
 gathered in one task.
 
 Defined results: null or blank texts have size 0 and their copies count nothing; a null source is a source of its own,
@@ -16,6 +16,7 @@ of their own; ties in size are broken by hash of doc_id. An empty table gives an
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEAT = 3.0
 MAX_CONSTRAINTS = 100_000
 BUCKETS = 4096
-#: Starting points of the systematic rounding that are tried for each source; the one nearest to its target is used.
-OFFSETS = 64
 
 
 def word_count(text: str = "text") -> Column:
@@ -113,23 +112,41 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX
     told = F.broadcast(spark.createDataFrame([(key(n), z, float(t), float(r)) for n, z, t, r in zip(names, sizes, target, rate, strict=True)], "_key string, _source_size long, _target double, _rate double"))
     sized = sized.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_hash", F.xxhash64("doc_id")).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
     counts = C.materialize(sized.groupBy("_key", "_size", "_bucket").agg(F.count("*").alias("_c")), "mix-counts")
-    before = Window.partitionBy("_key").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = counts.groupBy("_key", "_size").agg(F.sum("_c").alias("_c")).withColumn("_below", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    part = F.col("_rate") - F.floor("_rate")
-    extra_to = lambda rank: F.floor(rank * part + F.col("_u"))
-    tried = by_size.join(told, "_key").select("*", F.explode(F.lit([i / OFFSETS for i in range(OFFSETS)])).alias("_u"))
-    taken = F.sum(F.col("_size") * (F.col("_c") * F.floor("_rate") + extra_to(F.col("_below") + F.col("_c")) - extra_to(F.col("_below"))))
-    offset = tried.groupBy("_key", "_u", "_target").agg(taken.alias("_taken")).groupBy("_key").agg(F.min_by("_u", F.struct(F.abs(F.col("_taken") - F.col("_target")), "_u")).alias("_u"))
-    told = F.broadcast(C.materialize(told.join(offset, "_key"), "mix-told"))
+    by_size = counts.groupBy("_key", "_size").agg(F.sum("_c").alias("_c")).join(told, "_key").select("_key", "_size", "_c", "_target", "_rate")
+    by_size = C.materialize(by_size.groupBy("_key").applyInArrow(lambda t: _rounding(t, most), "_key string, _size long, _base long, _part double, _below long"), "mix-rounding")
     within = Window.partitionBy("_key", "_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(within), F.lit(0))).join(by_size.drop("_c"), ["_key", "_size"]).select("_key", "_size", "_bucket", (F.col("_below") + F.col("_before")).alias("_offset"))
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(within), F.lit(0))).join(by_size, ["_key", "_size"]).select("_key", "_size", "_bucket", "_base", "_part", (F.col("_below") + F.col("_before")).alias("_offset"))
     ranked = sized.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_size", "_bucket").orderBy("_hash", "doc_id")))
     ranked = ranked.join(offsets, ["_key", "_size", "_bucket"]).join(told, "_key")
     rank = F.col("_rank") + F.col("_offset")
-    copies = F.floor("_rate") + extra_to(rank) - extra_to(rank - 1)
+    copies = F.col("_base") + F.floor(rank * F.col("_part") + 0.5) - F.floor((rank - 1) * F.col("_part") + 0.5)
     return ranked.withColumn("_copies", copies.cast("int")).select(*docs.columns, "_size", "_source_size", "_target", "_rate", "_copies")
 
 
+def _rounding(t: pa.Table, most: float) -> pa.Table:
+    """For each size of one source: the copies of all its documents, the share that gets one more, and the rank before it.
+
+    Sizes go down by powers of two; what rounding the larger ones left over or took too much is spread over the rate of
+    all smaller ones, so the source's total ends within about one small document of its target.
+    """
+    t = t.sort_by([("_size", "descending")])
+    size, count = t["_size"].to_numpy(), t["_c"].to_numpy()
+    level = np.floor(np.log2(np.maximum(size, 1)))
+    base, part, below = np.zeros(len(size), np.int64), np.zeros(len(size)), np.zeros(len(size), np.int64)
+    want, rest = t["_target"][0].as_py(), float((size * count).sum())
+    for k in sorted(set(level), reverse=True):
+        at = np.flatnonzero(level == k)
+        rate = min(most, max(0.0, want / rest)) if rest else 0.0
+        rate = round(rate) if abs(rate - round(rate)) < 1e-9 else rate
+        base[at], part[at] = int(rate), rate - int(rate)
+        end = np.cumsum(count[at])
+        below[at] = end - count[at]
+        more = np.floor(end * part[at] + 0.5) - np.floor(below[at] * part[at] + 0.5)
+        want -= float((size[at] * (count[at] * base[at] + more)).sum())
+        rest -= float((size[at] * count[at]).sum())
+    return pa.table({"_key": t["_key"], "_size": t["_size"], "_base": base, "_part": part, "_below": below})
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"), F.col("_rate").alias("rate"))
