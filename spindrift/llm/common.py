@@ -29,12 +29,18 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+ROWS_PER_BATCH = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    # Batches of whole texts: Spark's default of 10,000 rows a batch would hold long ones many times over.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,7 +173,7 @@ def words(texts: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray = LOWER,
 
 
 #: Bytes of text that a step in numpy takes at once.
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP) -> Iterator[pa.RecordBatch]:

@@ -77,19 +77,13 @@ def describe(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        late: list[np.ndarray] = []
         names = ["doc_id", "n", "s1", "s2", "slice", "counts"]
         for b in C.pieces(batches):
             sets, at = shingle_sets(C.col(b, "text"), n)
-            late.append((sets >> U(64 - SKETCH_BITS)).astype(np.int64))
-            if sum(map(len, late)) > 1 << SKETCH_BITS:
-                sketch += np.bincount(np.concatenate(late), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                late = []
+            np.add.at(sketch, (sets >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             sums = [np.concatenate([np.zeros(1, U), np.cumsum(_order(sets, k))]) for k in (7, 8)]
             rows = b.num_rows
             yield pa.RecordBatch.from_arrays([C.col(b, "doc_id"), pa.array(np.diff(at)), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        if late:
-            sketch += np.bincount(np.concatenate(late), minlength=1 << SKETCH_BITS).astype(np.uint32)
         if sketch.any():
             yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()),) * 4, pa.array(range(SLICES), pa.int32()), C.blobs([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)])], names)
 

@@ -42,7 +42,9 @@ U = C.U
 WIDTH, GRAM = 50, 24
 BACK = WIDTH - GRAM
 LONG = WIDTH + BACK
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
+#: Bytes of text whose hashes are held at once.
+PIECE = 1 << 20
 NONE = 0xFF  # never a byte of UTF-8: stands where a document has ended
 
 
@@ -171,6 +173,12 @@ def merge_runs(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list
     return out_run, out_lcp
 
 
+def within(a: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each of a is among ascending values."""
+    i = np.searchsorted(among, a)
+    return (i < len(among)) & (among[np.minimum(i, len(among) - 1)] == a) if len(among) else np.zeros(len(a), bool)
+
+
 class _Part:
     """The rows of a part; anchors of those that can share strings with others."""
 
@@ -184,7 +192,7 @@ class _Part:
         ps, hs = [], []
         i = 0
         while i < len(self.ids):  # pieces bound the memory of the arrays of hashes
-            j = min(len(self.ids), max(i + 1, int(np.searchsorted(self.at, self.at[i] + C.STEP))))
+            j = min(len(self.ids), max(i + 1, int(np.searchsorted(self.at, self.at[i] + PIECE))))
             lo, hi = self.at[i], self.at[j]
             p, h = anchors(self.buf[lo:hi], self.at[i : j + 1] - lo)
             ps.append(p + lo)
@@ -280,7 +288,7 @@ def suffix_dedup(docs: DataFrame, parts: int) -> DataFrame:
         gs, two = [unpack_sorted(x) for x in t["g"].to_pylist()], [unpack(x) > 0 for x in t["two"].to_pylist()]
         every = np.sort(np.concatenate(gs))
         again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(g[x] for g, x in zip(gs, two, strict=True))]))
-        return pa.table({"pid": t["pid"], "bucket": t["bucket"], "again": C.blobs([np.packbits(np.isin(g, again)).tobytes() for g in gs])})
+        return pa.table({"pid": t["pid"], "bucket": t["bucket"], "again": C.blobs([np.packbits(within(g, again)).tobytes() for g in gs])})
 
     x1 = texts.groupBy("pid").cogroup(copies.groupBy("pid")).applyInArrow(grams_out, "pid int, bucket int, g binary, two binary")
     r1 = x1.groupBy("bucket").applyInArrow(grams_back, "pid int, bucket int, again binary")
