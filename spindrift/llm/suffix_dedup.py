@@ -48,6 +48,10 @@ PIECE = 1 << 20
 NONE = 0xFF  # never a byte of UTF-8: stands where a document has ended
 
 
+#: Ranges of suffixes for each range of gram hashes: suffixes take more memory to merge.
+SPLIT = 4
+
+
 def _sliding(a: np.ndarray, n: int, f) -> np.ndarray:
     """f over each n neighbours, by doubling."""
     size, out = 1, a
@@ -221,6 +225,7 @@ def covered(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -
     """From sorted runs (strings, prefixes, how many places have each string, and doc_id and place of each): doc_id, start, end of spans to remove."""
     order, lcp = merge_runs([[bytes(x) for x in m.view(f"V{LONG}").ravel()] for m, *_ in runs], [p.tolist() for _, p, _, _ in runs])
     run = np.array(order)
+    del order
     lcp = np.array(lcp)
     by_run = np.argsort(run, kind="stable")
     source = np.empty(len(run), np.int64)
@@ -300,6 +305,7 @@ def suffix_dedup(docs: DataFrame, parts: int) -> DataFrame:
         if t.num_rows:
             p = _Part(t, told.filter(pc.is_valid(told["doc_id"])))
             at = _ranges(p.gram, ranges)
+            fine = _ranges(p.gram, ranges * SPLIT)
             again = np.zeros(len(p.gram), bool)
             for r in told.to_pylist():
                 if r["bucket"] is not None:
@@ -307,7 +313,7 @@ def suffix_dedup(docs: DataFrame, parts: int) -> DataFrame:
                     again[a:z] = np.unpackbits(np.frombuffer(r["again"], np.uint8))[: z - a]
             use = np.flatnonzero(again[p.which])
             use = use[np.argsort(p.which[use], kind="stable")]
-            edge = np.searchsorted(p.which[use], at)
+            edge = np.searchsorted(p.which[use], fine)
             ids = np.array([-1 if i is None else i for i in p.ids], np.int64)
             for b in np.flatnonzero(np.diff(edge)):
                 some = use[edge[b] : edge[b + 1]]
