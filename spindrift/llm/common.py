@@ -38,6 +38,9 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    # Workers give memory back to the system instead of keeping it for later stages.
+    for k, v in {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576"}.items():
+        env.setdefault(k, v)
     # Batches of whole texts: Spark's default of 10,000 rows a batch would hold long ones many times over.
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
@@ -173,7 +176,7 @@ def words(texts: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray = LOWER,
 
 
 #: Bytes of text that a step in numpy takes at once.
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP) -> Iterator[pa.RecordBatch]:
