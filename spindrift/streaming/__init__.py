@@ -1 +1 @@
-"""Part of spindrift."""
+"""Empty on purpose: the inputs of select-project-join queries are whole tables, so there is no streaming operator."""
