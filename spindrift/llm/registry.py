@@ -8,9 +8,7 @@ MODULES = ["suffix_dedup", "mixing", "language_id", "flac_media", "license_scan"
 
 
 def _modules():
-    from importlib.util import find_spec
-
-    return [import_module(f"{__package__}.{m}") for m in MODULES if find_spec(f"{__package__}.{m}")]
+    return [import_module(f"{__package__}.{m}") for m in MODULES]
 
 
 def queries():
