@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-QUERY, SQL = "op5_license_scan", None
+QUERY = "op5_license_scan"
 LEAST, HALF = 0.6, 0.5
 CUES = ["licen", "copyright", "spdx", "all rights reserved", "public domain"]
 #: Notices of common licenses.
@@ -108,3 +108,49 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), (F.floor(F.col("doc_id") / 100) % 10).cast("string"), F.col("doc_id").cast("string"))
     return license_scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def _sql() -> str:
+    """The query's rows in DuckDB's SQL."""
+    values = ", ".join(f"('{name}#{i}', '{name}', '{t}')" for name, ts in TEMPLATES.items() for i, t in enumerate(ts))
+    tokens = r"unnest(regexp_extract_all(lower(line), '[\p{L}]+|[0-9]+(?:\.[0-9]+)*'))"
+    return rf"""
+WITH templates(template, license, line) AS (VALUES {values}),
+notices AS (
+  SELECT doc_id, trim(x, ' ') AS line, length(text) AS whole FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x FROM documents)
+  WHERE regexp_matches(lower(x), '{"|".join(CUES)}')
+), lines AS (SELECT DISTINCT line FROM notices),
+tf AS (SELECT line, token, count(*) AS tf FROM (SELECT line, {tokens} AS token FROM lines) GROUP BY line, token),
+ttf AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, {tokens} AS token FROM templates) GROUP BY template, license, token),
+total AS (SELECT (SELECT count(*) FROM lines) + (SELECT count(*) FROM templates) AS n),
+idf AS (
+  SELECT token, ln((1.0::DOUBLE + (SELECT n FROM total)) / (1.0::DOUBLE + count(*))) + 1 AS idf
+  FROM (SELECT token FROM tf UNION ALL SELECT token FROM ttf) GROUP BY token
+), told AS (
+  SELECT template, license, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS tw FROM ttf JOIN idf USING (token)
+), weighed AS (SELECT line, token, tf * idf AS w FROM tf JOIN idf USING (token)),
+norm AS (SELECT line, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY line),
+dot AS (SELECT line, template, license, sum(w * tw) AS dot FROM weighed JOIN told USING (token) GROUP BY line, template, license),
+best AS (
+  SELECT line, license, similarity FROM (SELECT line, license, round(dot / norm, 6) AS similarity FROM dot JOIN norm USING (line)) WHERE similarity >= {LEAST}
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY similarity DESC, license) = 1
+), own AS (
+  SELECT doc_id, license, similarity, sum(length(line)) OVER (PARTITION BY doc_id) >= {HALF} * whole AS is_file FROM notices JOIN best USING (line)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) = 1
+), placed AS (
+  SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir FROM (
+    SELECT doc_id, concat_ws('/', coalesce(source, 'unknown'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 % 10 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path FROM documents)
+), dirs AS (
+  SELECT dir AS from_dir, license, similarity FROM placed JOIN own USING (doc_id) WHERE is_file
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, license) = 1
+), near AS (
+  SELECT dir, from_dir, license, similarity FROM (SELECT DISTINCT dir FROM placed) JOIN dirs ON dir = from_dir OR starts_with(dir, from_dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(from_dir) DESC) = 1
+)
+SELECT doc_id, path, coalesce(o.license, n.license) AS license, CASE WHEN o.license IS NOT NULL THEN o.similarity ELSE n.similarity END AS similarity,
+  CASE WHEN o.license IS NOT NULL THEN 'own' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis, CASE WHEN o.license IS NULL THEN from_dir END AS directory
+FROM placed LEFT JOIN own o USING (doc_id) LEFT JOIN near n USING (dir)
+"""
+
+
+SQL = _sql()

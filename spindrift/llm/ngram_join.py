@@ -245,4 +245,25 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return docs.join(C.small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
-SQL = None
+#: The same by an equi-join of all shingles and a closure of the links.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w
+), named AS (
+  SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS rep, s FROM sets
+), tokens AS (
+  SELECT doc_id, n, unnest(s) AS t FROM named WHERE doc_id = rep
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON r.other = e.a
+), comp AS (SELECT id, min(other) AS c FROM reach GROUP BY id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(c, rep) AS component_id FROM named LEFT JOIN comp ON rep = id
+"""

@@ -397,4 +397,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(docs, C.sized_partitions(total, PART_BYTES, 4)).drop("kept")
 
 
-SQL = None
+#: The same by grouping every 50-byte string.
+SQL = r"""
+WITH bytes AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), grams AS (
+  SELECT doc_id, p, array_slice(b, p, p + 49) AS g FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS p FROM bytes)
+), firsts AS (
+  SELECT g, min(doc_id) AS d FROM grams GROUP BY g HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM grams JOIN firsts USING (g) WHERE d < doc_id
+), marked AS (
+  SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 49 AS z FROM marked GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS k, a - 1 AS e FROM runs
+  UNION ALL SELECT doc_id, max(z) + 1, NULL FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, sha256(unhex(string_agg(hex(array_slice(b, k, coalesce(e, n))), '' ORDER BY k))) AS h FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM runs GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  coalesce(h, sha256(b)) AS kept_sha256 FROM bytes LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

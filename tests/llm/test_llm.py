@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,17 @@ def test_native_operators_run_no_python(spark):
         assert not re.search("Python|Pandas|InArrow", plan)
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = registry.queries()[name](spark, SF)
+    want = duck.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.select(names).collect())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
