@@ -88,19 +88,22 @@ class _Part:
             inner[at - 1] = False
             h[inner] = w.hash
             hashes.append(h)
-            docs.append(np.repeat(np.arange(rows, rows + n), w.per_doc + 1))
+            docs.append(np.repeat(np.arange(rows, rows + n, dtype=np.int32), w.per_doc + 1))
             rows += n
         h = np.concatenate([*hashes, np.zeros(0, U)])
-        self.doc = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
+        hashes.clear()
+        self.doc = np.concatenate([*docs, np.zeros(0, np.int32)])
+        docs.clear()
         self.rows = rows
         train = np.array(t["train"].to_pylist(), bool)
         self.train = train[self.doc] if rows else np.zeros(0, bool)
         order = np.argsort(h)
-        s = h[order]
-        new = np.append(True, s[1:] != s[:-1])[: len(s)]
-        self.vocabulary = s[new]
-        self.word = np.empty(len(h), np.int64)
-        self.word[order] = np.cumsum(new) - 1
+        h = h[order]
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        self.vocabulary = h[new]
+        del h
+        self.word = np.empty(len(order), np.int32)
+        self.word[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.word[self.train], minlength=len(self.vocabulary))
@@ -113,18 +116,20 @@ class _Part:
         start = int(np.searchsorted(self.history_hash, START))
         shift = np.arange(len(v)) + (np.arange(len(v)) >= start)
         first = np.append(True, self.doc[1:] != self.doc[:-1])[: len(self.doc)]
-        h = np.empty(len(self.word), np.int64)
-        h[1:] = shift[self.word[:-1]]
-        h[first] = start
-        key = (h << 32) | self.word
+        key = np.empty(len(self.word), np.int64)
+        key[1:] = shift[self.word[:-1]]
+        key[first] = start
+        key <<= 32
+        key |= self.word
         order = np.argsort(key)
-        s = key[order]
-        new = np.append(True, s[1:] != s[:-1])[: len(s)]
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
         at = np.flatnonzero(new)
-        place = np.empty(len(key), np.int64)
-        place[order] = np.cumsum(new) - 1
-        count = np.add.reduceat(self.train[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-        return s[at] >> 32, s[at] & 0xFFFFFFFF, count, place
+        key = key[at]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        count = np.add.reduceat(self.train[order], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+        return key >> 32, key & 0xFFFFFFFF, count, place
 
 
 def _by_bucket(rows: list[dict], *names: str) -> list[np.ndarray]:
@@ -183,9 +188,10 @@ def score(docs: DataFrame, parts: int) -> DataFrame:
         w, c = (np.concatenate([unpack(x) for x in t[k].to_pylist()]) for k in ("w", "c"))
         h = np.concatenate([np.repeat(x, n) for x, n in zip(hs, ns, strict=True)])
         key = C.mix(h * U(0x9FB21C651E98DF25) + w)
+        del w
         order = np.argsort(key)
-        s = key[order]
-        new = np.append(True, s[1:] != s[:-1])
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
         at = np.flatnonzero(new)
         total = np.add.reduceat(c[order].astype(np.int64), at)
         return hs, ns, h, order, new, at, total
