@@ -1,18 +1,21 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication over content-defined chunks of lines, extended to every repeated run of lines.
 
 A rolling hash over the hashes of WINDOW consecutive lines ends a chunk after each line where it is divisible by
-DIVISOR, so an insertion moves boundaries only near it. Chunks of two lines or more that occur elsewhere too are
-removed, but for the first occurrence (smallest doc_id, then place in the document), after their bytes have been
-compared with that first one's. Empty lines belong to the chunk before them.
+DIVISOR, so an insertion moves boundaries only near it. First, chunks of two lines or more that an earlier place has
+too (smaller doc_id, then place in the document) are found. Then every two neighbouring lines that aren't both in one
+such chunk are looked up in the same way: those that an earlier place has extend the chunks' matches to both sides,
+and find the repeated runs that no chunk shows. So exactly the lines go that belong to a run of two lines or more that
+stands at an earlier place, not overlapping it, whatever its neighbours are. Hashes only select; runs are told apart
+by their bytes. Empty lines don't count in hashes, and go with the line before them.
 
 Defined results: null and empty texts stay as they are; a null doc_id's row stays unchanged and counts for nothing;
-rows repeated with one doc_id count as one document (each keeps or loses the same chunks); a chunk of one line is
+rows repeated with one doc_id count as one document (each keeps or loses the same lines); a single repeated line is
 never removed. A text may become empty; its row stays. Other columns pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from . import common as C
 QUERY, SQL = "op10_line_dedup", None
 WINDOW, DIVISOR = 2, 3
 U = C.U
+#: The first line of each run (of all lines of the texts), its number of lines and its hash.
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def chunks(texts: pa.Array) -> tuple[C.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,82 +54,108 @@ def chunks(texts: pa.Array) -> tuple[C.Words, np.ndarray, np.ndarray, np.ndarray
     return w, first, lines, np.arange(len(first)) - np.repeat(starts, per), hashes
 
 
-def _bounds(w: C.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of each chunk in w.buf: from its first line to the next chunk's, or to its document's end."""
-    doc = w.doc[first]
-    end = w.at[doc + 1] - 1
-    same = np.zeros(len(first), bool)
-    same[:-1] = doc[1:] == doc[:-1]
-    end[same] = w.start[first[1:]][same[:-1]] if len(first) > 1 else end[same]
-    return w.start[first], end
+def _in_docs(w: C.Words, rows: int) -> np.ndarray:
+    """The first line of each document, and the number of lines."""
+    return np.searchsorted(w.doc, np.arange(rows + 1))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, idx of chunks to remove, for docs' doc_id and text."""
+def _marks(runs: pa.Array, line_at: np.ndarray) -> np.ndarray:
+    """For each line the number, from 1, of the last of the runs that has it, or 0. runs: for each document, of pos and n."""
+    marks, k = np.zeros(line_at[-1], np.int64), 0
+    for i, rs in enumerate(runs.to_pylist()):
+        for r in rs or ():
+            k += 1
+            marks[line_at[i] + r["pos"] : min(line_at[i] + r["pos"] + r["n"], line_at[i + 1])] = k
+    return marks
+
+
+def whole_chunks(b: pa.RecordBatch) -> tuple[C.Words, Runs]:
+    w, first, lines, _, h = chunks(C.col(b, "text"))
+    many = lines > 1
+    return w, (first[many], lines[many], h[many])
+
+
+def pairs_of_lines(b: pa.RecordBatch) -> tuple[C.Words, Runs]:
+    """Without those in one of the chunks `_gone`: an earlier place has them, so they are never the first either."""
+    w = C.words(C.col(b, "text"), C.NEWLINE, C.SAME)
+    marks = _marks(C.col(b, "_gone"), _in_docs(w, b.num_rows))
+    at = np.flatnonzero((w.doc[1:] == w.doc[:-1]) & ((marks[1:] != marks[:-1]) | (marks[1:] == 0)))
+    return w, (at, np.full(len(at), 2), C.mix(C.mix(w.hash[at] + U(1)) * U(0xD1342543DE82EF95) + w.hash[at + 1]))
+
+
+def _repeats(docs: DataFrame, runs: Callable[[pa.RecordBatch], tuple[C.Words, Runs]], tag: str) -> DataFrame:
+    """doc_id, pos (first line in the document), n (lines) of the runs that an earlier place has, for docs' doc_id and text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
-            w, first, lines, idx, h = chunks(C.col(b, "text"))
-            many = lines > 1
-            yield pa.RecordBatch.from_arrays([C.col(b, "doc_id").take(pa.array(w.doc[first][many])), pa.array(idx[many].astype(np.int32)), pa.array(h[many].view(np.int64))], ["doc_id", "idx", "h"])
+            w, (at, n, h) = runs(b)
+            pos = at - _in_docs(w, b.num_rows)[w.doc[at]]
+            yield pa.RecordBatch.from_arrays([C.col(b, "doc_id").take(pa.array(w.doc[at])), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "pos", "n", "h"])
 
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    seen = C.materialize(docs.mapInArrow(find, "doc_id long, idx int, h long"), "line-chunks")
-    often = seen.groupBy("h").agg(F.min(F.struct("doc_id", "idx")).alias("keep"), F.max(F.struct("doc_id", "idx")).alias("last")).where("keep < last").select("h", "keep")
-    again = C.materialize(seen.distinct().join(often, "h").withColumn("kept", F.struct("doc_id", "idx") == F.col("keep")).select("doc_id", F.struct("idx", "h", "kept").alias("c")), "line-again")
+    seen = C.materialize(docs.mapInArrow(find, "doc_id long, pos int, n int, h long"), tag)
+    often = seen.groupBy("h").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("doc_id", "pos"))).where("min_doc_id < max_doc_id or min_pos < max_pos").select("h")
+    again = C.materialize(seen.join(often, "h", "left_semi").select("doc_id", "pos", "n").distinct(), tag + "-again")
     n = again.count()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
-            w, first, _, idx, _ = chunks(C.col(b, "text"))
-            start, end = _bounds(w, first)
-            chunk_at = np.searchsorted(w.doc[first], np.arange(b.num_rows + 1))
-            doc, num, h, kept, data = [], [], [], [], []
-            for i, (d, cs) in enumerate(zip(C.col(b, "doc_id").to_pylist(), C.col(b, "cs").to_pylist(), strict=True)):
-                for c in cs:
-                    k = chunk_at[i] + c["idx"]
-                    if k >= chunk_at[i + 1]:
+            w = C.words(C.col(b, "text"), C.NEWLINE, C.SAME, hashed=False)
+            line_at = _in_docs(w, b.num_rows)
+            doc, pos, num, data = [], [], [], []
+            for i, (d, rs) in enumerate(zip(C.col(b, "doc_id").to_pylist(), C.col(b, "rs").to_pylist(), strict=True)):
+                for r in rs:
+                    k = line_at[i] + r["pos"]
+                    if k + r["n"] > line_at[i + 1]:
                         continue
-                    doc.append(d), num.append(c["idx"]), h.append(c["h"]), kept.append(c["kept"])
-                    data.append(w.buf[start[k] : end[k]].tobytes().rstrip(b"\n"))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(num, pa.int32()), pa.array(h, pa.int64()), pa.array(kept, pa.bool_()), C.blobs(data)], ["doc_id", "idx", "h", "kept", "data"])
+                    doc.append(d), pos.append(r["pos"]), num.append(r["n"])
+                    data.append(w.buf[w.start[k] : w.end[k + r["n"] - 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(num, pa.int32()), C.blobs(data)], ["doc_id", "pos", "n", "data"])
+
+    lists = again.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("rs"))
+    bytes_ = C.materialize(docs.select("doc_id", "text").join(C.small(lists, n), "doc_id").mapInArrow(cut, "doc_id long, pos int, n int, data binary"), tag + "-bytes")
+    first = bytes_.groupBy("data").agg(F.min(F.struct("doc_id", "pos")).alias("keep"))
+    later = (F.col("doc_id") > F.col("keep.doc_id")) | (F.col("pos") >= F.col("keep.pos") + F.col("n"))
+    return C.materialize(bytes_.join(first, "data").where(later).select("doc_id", "pos", "n").distinct(), tag + "-gone")
+
 
-    lists = again.groupBy("doc_id").agg(F.collect_list("c").alias("cs"))
-    bytes_ = C.materialize(docs.join(C.small(lists, n), "doc_id").mapInArrow(cut, "doc_id long, idx int, h long, kept boolean, data binary"), "line-bytes")
-    first = bytes_.where("kept").dropDuplicates(["h"]).select("h", F.col("data").alias("whole"))
-    return bytes_.where("not kept").join(first, "h").where("data = whole").select("doc_id", "idx").distinct()
+def _listed(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs with _gone, the list of each one's runs in `gone`."""
+    lists = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list(F.struct("pos", "n")).alias("_gone"))
+    return docs.join(C.small(lists, gone.count()), F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, n of runs of lines to remove, for docs' doc_id and text."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    gone = _repeats(docs, whole_chunks, "line-chunks")
+    return gone.union(_repeats(_listed(docs, gone), pairs_of_lines, "line-pairs"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks cut from text, and _lines, _removed (lines), _chunks (removed)."""
-    gone = C.materialize(repeated_chunks(docs), "line-gone")
-    n = gone.count()
-    lists = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("idx").alias("_gone"))
+    """docs with repeated runs of lines cut from text, and _lines, _removed (lines), _chunks (removed whole)."""
     names = docs.columns
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
             texts = C.col(b, "text")
             w, first, lines, _, _ = chunks(texts)
-            start, end = _bounds(w, first)
-            chunk_at = np.searchsorted(w.doc[first], np.arange(b.num_rows + 1))
-            out, removed, cut = texts.to_pylist(), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for i, g in enumerate(C.col(b, "_gone").to_pylist()):
-                if not g:
-                    continue
-                ks = sorted(chunk_at[i] + k for k in set(g) if chunk_at[i] + k < chunk_at[i + 1])
-                parts, at = [], w.at[i]
-                for k in ks:
-                    parts.append(w.buf[at : start[k]])
-                    at = end[k]
-                parts.append(w.buf[at : w.at[i + 1] - 1])
+            line_at = _in_docs(w, b.num_rows)
+            gone = _marks(C.col(b, "_gone"), line_at) > 0
+            out = texts.to_pylist()
+            at = np.append(0, np.cumsum(gone))
+            removed = at[line_at[1:]] - at[line_at[:-1]]
+            whole = (np.add.reduceat(gone.astype(np.int64), first) if len(first) else np.zeros(0)) == lines
+            cut = np.bincount(w.doc[first[whole]], minlength=b.num_rows)
+            for i in np.flatnonzero(removed):
+                ks = np.arange(line_at[i], line_at[i + 1])
+                ends = np.append(w.start[ks[1:]], w.at[i + 1] - 1)
+                parts = [w.buf[w.at[i] : w.start[ks[0]]], *(w.buf[w.start[k] : e] for k, e in zip(ks, ends, strict=True) if not gone[k])]
                 out[i] = b"".join(p.tobytes() for p in parts).decode("utf-8", "surrogatepass")
-                removed[i], cut[i] = lines[ks].sum(), len(ks)
             done = [pa.array(out, pa.string()) if c == "text" else C.col(b, c) for c in names]
-            yield pa.RecordBatch.from_arrays([*done, pa.array(w.per_doc.astype(np.int64)), pa.array(removed), pa.array(cut)], [*names, "_lines", "_removed", "_chunks"])
+            yield pa.RecordBatch.from_arrays([*done, pa.array(w.per_doc.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(cut.astype(np.int64))], [*names, "_lines", "_removed", "_chunks"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_lines long, _removed long, _chunks long"])
-    return docs.join(C.small(lists, n), F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id").mapInArrow(drop, schema)
+    return _listed(docs, repeated_runs(docs)).mapInArrow(drop, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,28 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_finds_every_repeated_run(spark):
+    r = random.Random(8)
+    passages = [[f"passage {k} line {i}" for i in range(n)] for k, n in enumerate([2, 2, 3, 5, 8, 20, 50])]
+    texts = []
+    for d in range(40):
+        lines = [f"own {d} {i}" for i in range(r.randint(1, 6))]
+        for p in r.sample(passages, 2):
+            at = r.randint(0, len(lines))
+            lines[at:at] = p
+        texts.append(lines)
+    texts += [["same"] * 3, ["same"] * 5, [r.choice("xyz") for _ in range(60)]]
+    first, want = {}, {}
+    for d, lines in enumerate(texts):
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            first.setdefault(pair, (d, i))
+    for d, lines in enumerate(texts):
+        gone = {k for i, pair in enumerate(zip(lines, lines[1:])) for k in (i, i + 1) if first[pair][0] < d or first[pair][1] <= i - 2}
+        want[d] = ["\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(texts)], "doc_id long, text string")))
+    assert {d: [x["text"].rstrip("\n"), x["_removed"]] for d, x in got.items()} == want
+
+
 def test_decontamination(spark, docs, none):
     item = "A train leaves at 10 with 45 kg of coal and meets Anna after 3 hours near the old bridge by the river where it stops"
     again = item.replace("10", "77").replace("45", "12").replace("Anna", "Peter")
