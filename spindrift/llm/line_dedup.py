@@ -6,7 +6,7 @@ too (smaller doc_id, then place in the document) are found. Then every two neigh
 such chunk are looked up in the same way: those that an earlier place has extend the chunks' matches to both sides,
 and find the repeated runs that no chunk shows. So exactly the lines go that belong to a run of two lines or more that
 stands at an earlier place, not overlapping it, whatever its neighbours are. Hashes only select; runs are told apart
-by their bytes. Empty lines don't count in hashes, and go with the line before them.
+by their bytes. Empty lines count neither in hashes nor in bytes, and go with the line before them.
 
 Defined results: null and empty texts stay as they are; a null doc_id's row stays unchanged and counts for nothing;
 rows repeated with one doc_id count as one document (each keeps or loses the same lines); a single repeated line is
@@ -15,6 +15,7 @@ never removed. A text may become empty; its row stays. Other columns pass throug
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,7 +109,7 @@ def _repeats(docs: DataFrame, runs: Callable[[pa.RecordBatch], tuple[C.Words, Ru
                     if k + r["n"] > line_at[i + 1]:
                         continue
                     doc.append(d), pos.append(r["pos"]), num.append(r["n"])
-                    data.append(w.buf[w.start[k] : w.end[k + r["n"] - 1]].tobytes())
+                    data.append(re.sub(rb"\n+", b"\n", w.buf[w.start[k] : w.end[k + r["n"] - 1]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(num, pa.int32()), C.blobs(data)], ["doc_id", "pos", "n", "data"])
 
     lists = again.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("rs"))

@@ -267,6 +267,13 @@ def test_line_dedup_finds_every_repeated_run(spark):
     assert {d: [x["text"].rstrip("\n"), x["_removed"]] for d, x in got.items()} == want
 
 
+def test_line_dedup_ignores_blank_lines(spark):
+    lines = [f"shared line {i}" for i in range(12)]
+    rows = [(0, "\n\n".join(lines)), *((i, f"own {i}\n" + "\n".join(lines)) for i in (1, 2)), (3, "own 3\n" + "\n\n".join(lines))]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (x["text"], x["_removed"]) for i, x in got.items()} == {0: (rows[0][1], 0), **{i: (f"own {i}\n", 12) for i in (1, 2, 3)}}
+
+
 def test_decontamination(spark, docs, none):
     item = "A train leaves at 10 with 45 kg of coal and meets Anna after 3 hours near the old bridge by the river where it stops"
     again = item.replace("10", "77").replace("45", "12").replace("Anna", "Peter")
