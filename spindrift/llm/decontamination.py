@@ -9,7 +9,9 @@ more slots than half its words proves nothing and isn't joined.
 
 A document is contaminated by an item if windows at LEAST places of the item match (or half of the item's windows, if
 it has fewer than twice LEAST), and slots agree in 80 % of the item's slot values (or the same many windows match
-verbatim).
+verbatim). This is asked of every occurrence by itself, so that two differing copies in one document don't contradict
+each other: of the windows of one shift (place in the document less place in the item), of shifts at most WINDOW apart
+from the next (words put in or left out), and of the whole document; one that passes is enough.
 
 Defined results: null, empty and blank texts match nothing; a text shorter than WINDOW words is one window and matches
 a text of the same words only; repeated rows count as one document; null ids match nothing; an empty table gives an
@@ -18,7 +20,7 @@ empty result. Only doc_id, text, item_id are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -64,6 +66,15 @@ def _aligned(df: DataFrame, key: str, words: str) -> DataFrame:
     return df.select(key, F.filter(F.arrays_zip(raw.alias("raw"), canon.alias("canon")), lambda z: z["canon"] != "").alias(words))
 
 
+def _occurrences(both: DataFrame, *keys: str) -> DataFrame:
+    """both's rows once for each occurrence (`at`) that they may belong to: one shift; neighbouring shifts; the whole document."""
+    by = Window.partitionBy("doc_id", "item_id", *keys).orderBy("shift")
+    new = F.coalesce((F.col("shift") - F.lag("shift").over(by) > WINDOW).cast("int"), F.lit(0))
+    both = both.withColumn("new", new).withColumn("span", F.sum("new").over(by.rangeBetween(Window.unboundedPreceding, 0)).cast("int"))
+    at = [F.struct(F.lit(k).alias("by"), F.col(c).cast("int").alias("n")) for k, c in enumerate(["shift", "span"])]
+    return both.withColumn("at", F.explode(F.array(*at, F.struct(F.lit(2).alias("by"), F.lit(0).alias("n"))))).drop("new", "span")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, n_agreeing, n_verbatim of contaminated pairs."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
@@ -88,14 +99,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = places.join(_aligned(few, "doc_id", "dwords"), "doc_id").join(words, "item_id")
     both = both.withColumn("d", F.slice("dwords", F.col("pos") + 1, WINDOW)).withColumn("i", F.slice("iwords", F.col("ipos") + 1, WINDOW))
     both = both.where(F.col("d.canon") == F.col("i.canon")).withColumn("verbatim", F.col("d.raw") == F.col("i.raw"))
-    both = both.select("doc_id", "item_id", "item_windows", "ipos", "verbatim", F.filter(F.zip_with("i", "d", lambda i, d: F.struct(i["canon"].alias("kind"), i["raw"].alias("item"), d["raw"].alias("doc"))), lambda z: z["kind"].rlike("[\\x01-\\x03]")).alias("slots"))
+    both = both.select("doc_id", "item_id", "item_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "verbatim", F.filter(F.zip_with("i", "d", lambda i, d: F.struct(i["canon"].alias("kind"), i["raw"].alias("item"), d["raw"].alias("doc"))), lambda z: z["kind"].rlike("[\\x01-\\x03]")).alias("slots"))
     both = C.materialize(both, "bench-both")
-    counts = both.groupBy("doc_id", "item_id").agg(F.first("item_windows").alias("item_windows"), F.countDistinct("ipos").alias("n_windows"), F.countDistinct(F.when(F.col("verbatim"), F.col("ipos"))).alias("n_verbatim"))
-    values = both.select("doc_id", "item_id", F.explode("slots").alias("s")).select("doc_id", "item_id", "s.*").distinct()
-    values = values.groupBy("doc_id", "item_id", "kind", "item").agg(F.count("*").alias("c")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("c") == 1, 1)).alias("n_agreeing"))
-    told = counts.join(values, ["doc_id", "item_id"], "left").fillna(0, ["n_slots", "n_agreeing"])
+    at = ["doc_id", "item_id", "at"]
+    both = _occurrences(both)
+    counts = both.groupBy(*at).agg(F.first("item_windows").alias("item_windows"), F.countDistinct("ipos").alias("n_windows"), F.countDistinct(F.when(F.col("verbatim"), F.col("ipos"))).alias("n_verbatim"))
+    values = both.select(*at, F.explode("slots").alias("s")).select(*at, "s.*").distinct()
+    values = values.groupBy(*at, "kind", "item").agg(F.count("*").alias("c")).groupBy(*at).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("c") == 1, 1)).alias("n_agreeing"))
+    told = counts.join(values, at, "left").fillna(0, ["n_slots", "n_agreeing"])
     good = (F.col("n_windows") >= enough) & ((F.col("n_agreeing") >= 0.8 * F.col("n_slots")) | (F.col("n_verbatim") >= enough))
-    return told.where(good).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_agreeing", "n_verbatim")
+    row = F.struct("n_windows", "n_agreeing", "n_verbatim", "item_windows", "n_slots")
+    return told.where(good).groupBy("doc_id", "item_id").agg(F.max(row).alias("r")).select("doc_id", "item_id", "r.n_windows", "r.item_windows", "r.n_slots", "r.n_agreeing", "r.n_verbatim")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,15 @@ def test_decontamination(spark, docs, none):
     assert held <= {r["doc_id"] for r in decontamination.contaminated(real, b).collect()}
 
 
+def test_decontamination_of_each_occurrence(spark):
+    shop = "A shop sells {} pens for {} dollars and {} pads for {} dollars to each of {} pupils. How many dollars do {} pupils pay?"
+    fruit = "Tom has {} apples and Ann has {} apples and then Tom has {} apples and Ann has {} apples in the basket near the door"
+    bench = spark.createDataFrame([(1, shop.format(12, 30, 5, 20, 4, 7)), (2, fruit.format(3, 5, 7, 9))], "item_id long, text string")
+    rows = [(1, shop.format(11, 31, 6, 21, 3, 8) + " " + shop.format(14, 35, 9, 25, 2, 6)), (2, fruit.format(13, 15, 17, 19)), (3, shop.format(11, 31, 6, 21, 3, 8))]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 1)}
+
+
 def test_license_scan(spark, none):
     rows = [(1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/b.txt", "code\n" * 5), (3, "p/a/c.txt", "code here\n" * 9 + "Licensed under the Apache License, Version 2.0."), (4, "q/x.txt", "licensed to nobody at all, as the words of this line have little to do with templates"), (5, None, None), (6, "p/a/d/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (7, "p/a/d/e/f.c", "")]
     got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
