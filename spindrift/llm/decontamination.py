@@ -2,20 +2,21 @@
 
 Numbers, names and units become typed placeholders; words are lower-cased and stripped of punctuation. Windows of
 WINDOW canonical words of every whole document are hash-joined with those of the benchmark (broadcast if it has at
-most MAX_BROADCAST windows, else shuffled). Where windows match, canonical words are compared again, and the values
+most MAX_BROADCAST windows, else shuffled), and so are windows of plain words (lower-cased, no placeholders), which
+find verbatim copies whatever their slots are. Where windows match, words are compared again, and the values
 in the slots are checked: each slot value of the item must stand for one value in the document (ties of parameters
-are renamed alike), which catches re-parameterised questions and clears texts that only look alike. A window with
-more slots than half its words proves nothing and isn't joined.
+are renamed alike), which catches re-parameterised questions and clears texts that only look alike. A canonical
+window with more slots than half its words proves nothing and is joined by its plain words only.
 
-A document is contaminated by an item if windows at LEAST places of the item match (or half of the item's windows, if
-it has fewer than twice LEAST), and slots agree in 80 % of the item's slot values (or the same many windows match
-verbatim). This is asked of every occurrence by itself, so that two differing copies in one document don't contradict
+A document is contaminated by an item if canonical windows at LEAST places of the item match (or half of the item's
+windows, if it has fewer than twice LEAST) and slots agree in 80 % of the item's slot values, or if as many plain windows match. This is asked of every occurrence by itself, so that two differing copies in one document don't contradict
 each other: of the windows of one shift (place in the document less place in the item), of shifts at most WINDOW apart
 from the next (words put in or left out), and of the whole document; one that passes is enough.
 
-Defined results: null, empty and blank texts match nothing; a text shorter than WINDOW words is one window and matches
-a text of the same words only; repeated rows count as one document; null ids match nothing; an empty table gives an
-empty result. Only doc_id, text, item_id are read.
+Defined results: null, empty and blank texts match nothing; an item shorter than WINDOW words is one window of its own
+length, and is looked up at every place of every document; repeated rows count as one document; null ids match nothing;
+an empty table gives an empty result. Only doc_id, text, item_id are read. n_windows, n_slots and n_agreeing are those
+of the best occurrence by canonical windows, n_verbatim counts plain windows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from . import common as C
 QUERY, SQL = "op8_decontamination", None
 WINDOW, LEAST = 8, 6
 MAX_BROADCAST = 2_000_000
+CANONICAL, PLAIN = 0, 1
 NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 #: Fixed list of units, as they stand after a number.
 UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "mph", "dollars", "euros", "cents", "percent", "miles", "feet", "inches", "meters", "grams", "liters"]
@@ -35,6 +37,9 @@ UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "ms
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _UNIT = rf"(?<=\x01[\x20]?)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}])"
 _NAME = r"\p{Lu}(?<=[\p{Ll}\x01\x02\x03,;:][\x20\x09]\p{Lu})\p{Ll}+"
+_SLOT = r"[\x01-\x03]"
+#: Signs before the first and after the last letter or digit of a word.
+_EDGES = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
 _STRIP = r"[^\p{L}\p{N}\x01\x02\x03\x20\x09-\x0D]+"
 
 
@@ -50,20 +55,48 @@ def canonical(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(placed(text)), _STRIP, ""), C.WORD_SPLIT), "")
 
 
-def _expanded(df: DataFrame, key: str) -> DataFrame:
-    """key, pos, h for each window. The arrays are made in steps, so that each is computed once a row."""
-    df = df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, canonical(F.col("text")).alias("w"))
-    df = df.select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("v"))
-    n = F.size("v")
-    places = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return df.select(key, F.posexplode(F.transform(places, lambda i: F.xxhash64(*(F.get("v", i + k) for k in range(WINDOW))))).alias("pos", "h"))
+def plain(text: Column) -> Column:
+    """The lower-cased words of a text without punctuation at their ends; words of signs alone stay."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _EDGES, ""), C.WORD_SPLIT), "")
+
+
+def _hash(family: int, size: int | Column, words: str, i: Column, n: int) -> Column:
+    """Missing words don't change the hash."""
+    return F.xxhash64(F.lit(family), F.lit(size), *(F.get(words, i + k) for k in range(n)))
+
+
+def _hashed(df: DataFrame, key: str) -> DataFrame:
+    """key, v0 and v1: hashes of canonical and of plain words. Made in steps, so that each is computed once a row."""
+    df = df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, canonical(F.col("text")).alias("w0"), plain(F.col("text")).alias("w1"))
+    return df.select(key, *(F.transform(f"w{f}", lambda w: F.xxhash64(w)).alias(f"v{f}") for f in (CANONICAL, PLAIN)))
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """item_id, family, size, ipos, h: windows of WINDOW words, or of all words of a shorter item."""
+    def windows(f: int) -> Column:
+        size = F.least(F.lit(WINDOW), F.size(f"v{f}"))
+        places = F.when(size > 0, F.sequence(F.lit(0), F.size(f"v{f}") - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.lit(f).alias("family"), size.alias("size"), i.alias("ipos"), _hash(f, size, f"v{f}", i, WINDOW).alias("h")))
+
+    return _hashed(items, "item_id").select("item_id", F.inline(F.concat(windows(CANONICAL), windows(PLAIN))))
+
+
+def _doc_windows(docs: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """doc_id, pos, h of the windows of each (family, size)."""
+    def windows(f: int, size: int) -> Column:
+        n = F.size(f"v{f}")
+        places = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("pos"), _hash(f, size, f"v{f}", i, size).alias("h")))
+
+    return _hashed(docs, "doc_id").select("doc_id", F.inline(F.concat(*(windows(f, n) for f, n in sizes))))
 
 
 def _aligned(df: DataFrame, key: str, words: str) -> DataFrame:
-    """key and an array of (raw, canon) for each canonical word."""
+    """key, family and an array of (raw, canon) for each of its words."""
     raw = F.split("text", C.WORD_SPLIT)
     canon = F.transform(F.split(placed(F.col("text")), C.WORD_SPLIT), lambda w: F.regexp_replace(F.lower(w), _STRIP, ""))
-    return df.select(key, F.filter(F.arrays_zip(raw.alias("raw"), canon.alias("canon")), lambda z: z["canon"] != "").alias(words))
+    both = [F.filter(F.arrays_zip(raw.alias("raw"), canon.alias("canon")), lambda z: z["canon"] != ""), F.transform(plain(F.col("text")), lambda w: F.struct(w.alias("raw"), w.alias("canon")))]
+    return df.select(key, F.inline(F.array(*(F.struct(F.lit(f).alias("family"), x.alias(words)) for f, x in enumerate(both)))))
 
 
 def _occurrences(both: DataFrame, *keys: str) -> DataFrame:
@@ -78,38 +111,42 @@ def _occurrences(both: DataFrame, *keys: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, n_agreeing, n_verbatim of contaminated pairs."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    iw = _expanded(items, "item_id").select("item_id", F.col("pos").alias("ipos"), "h")
     words = _aligned(items, "item_id", "iwords")
-    slots = lambda a: F.size(F.filter(a, lambda z: z["canon"].rlike("[\\x01-\\x03]")))
-    iw = iw.join(words, "item_id").withColumn("n", slots(F.slice("iwords", F.col("ipos") + 1, WINDOW))).where(F.col("n") <= WINDOW // 2).select("item_id", "ipos", "h")
-    iw = C.materialize(iw, "bench-windows")
-    n = iw.count()
-    sized = iw.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
+    slots = F.size(F.filter(F.slice("iwords", F.col("ipos") + 1, F.col("size")), lambda z: z["canon"].rlike(_SLOT)))
+    iw = _item_windows(items).join(words, ["item_id", "family"]).where((F.col("family") == PLAIN) | (slots <= F.floor(F.col("size") / 2)))
+    iw = C.materialize(iw.select("item_id", "family", "size", "ipos", "h"), "bench-windows")
+    sizes = {(r["family"], r["size"]): r["count"] for r in iw.groupBy("family", "size").count().collect()}
+    n = sum(sizes.values())
+    of = lambda f: F.countDistinct(F.when(F.col("family") == f, F.col("ipos")))
+    sized = iw.groupBy("item_id").agg(of(CANONICAL).alias("item_windows"), of(PLAIN).alias("plain_windows"))
     keys = iw.select("h").distinct()
-    dw = _expanded(docs, "doc_id")
+    dw = _doc_windows(docs, sorted(sizes) or [(PLAIN, WINDOW)])
     hits = dw.join(F.broadcast(keys) if n <= MAX_BROADCAST else keys, "h", "left_semi")
     hits = C.materialize(hits.distinct(), "bench-hits")
     pairs = hits.join(F.broadcast(iw) if n <= MAX_BROADCAST else iw, "h")
-    enough = F.least(F.lit(LEAST), F.ceil(F.col("item_windows") / 2))
-    wanted = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("c")).join(sized, "item_id").where(F.col("c") >= enough).select("doc_id", "item_id", "item_windows")
+    most = F.when(F.col("family") == PLAIN, F.col("plain_windows")).otherwise(F.col("item_windows"))
+    enough = F.least(F.lit(LEAST), F.ceil(most / 2))
+    wanted = pairs.groupBy("doc_id", "item_id", "family").agg(F.countDistinct("ipos").alias("c")).join(sized, "item_id").where(F.col("c") >= enough).select("doc_id", "item_id", "item_windows", "plain_windows").distinct()
     wanted = C.materialize(wanted, "bench-pairs")
     ids = wanted.select("doc_id").distinct()
     few = docs.select("doc_id", "text").where("text is not null").join(C.small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    places = pairs.join(wanted, ["doc_id", "item_id"]).select("doc_id", "item_id", "item_windows", "pos", "ipos")
-    both = places.join(_aligned(few, "doc_id", "dwords"), "doc_id").join(words, "item_id")
-    both = both.withColumn("d", F.slice("dwords", F.col("pos") + 1, WINDOW)).withColumn("i", F.slice("iwords", F.col("ipos") + 1, WINDOW))
-    both = both.where(F.col("d.canon") == F.col("i.canon")).withColumn("verbatim", F.col("d.raw") == F.col("i.raw"))
-    both = both.select("doc_id", "item_id", "item_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "verbatim", F.filter(F.zip_with("i", "d", lambda i, d: F.struct(i["canon"].alias("kind"), i["raw"].alias("item"), d["raw"].alias("doc"))), lambda z: z["kind"].rlike("[\\x01-\\x03]")).alias("slots"))
+    places = pairs.join(wanted, ["doc_id", "item_id"]).select("doc_id", "item_id", "family", "size", "item_windows", "plain_windows", "pos", "ipos")
+    both = places.join(_aligned(few, "doc_id", "dwords"), ["doc_id", "family"]).join(words, ["item_id", "family"])
+    both = both.withColumn("d", F.slice("dwords", F.col("pos") + 1, F.col("size"))).withColumn("i", F.slice("iwords", F.col("ipos") + 1, F.col("size")))
+    both = both.where(F.col("d.canon") == F.col("i.canon"))
+    both = both.select("doc_id", "item_id", "family", "item_windows", "plain_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.filter(F.zip_with("i", "d", lambda i, d: F.struct(i["canon"].alias("kind"), i["raw"].alias("item"), d["raw"].alias("doc"))), lambda z: (F.col("family") == CANONICAL) & z["kind"].rlike(_SLOT)).alias("slots"))
     both = C.materialize(both, "bench-both")
-    at = ["doc_id", "item_id", "at"]
-    both = _occurrences(both)
-    counts = both.groupBy(*at).agg(F.first("item_windows").alias("item_windows"), F.countDistinct("ipos").alias("n_windows"), F.countDistinct(F.when(F.col("verbatim"), F.col("ipos"))).alias("n_verbatim"))
+    at = ["doc_id", "item_id", "family", "at"]
+    both = _occurrences(both, "family")
+    counts = both.groupBy(*at).agg(F.first("item_windows").alias("item_windows"), F.first("plain_windows").alias("plain_windows"), F.countDistinct("ipos").alias("n"))
     values = both.select(*at, F.explode("slots").alias("s")).select(*at, "s.*").distinct()
     values = values.groupBy(*at, "kind", "item").agg(F.count("*").alias("c")).groupBy(*at).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("c") == 1, 1)).alias("n_agreeing"))
     told = counts.join(values, at, "left").fillna(0, ["n_slots", "n_agreeing"])
-    good = (F.col("n_windows") >= enough) & ((F.col("n_agreeing") >= 0.8 * F.col("n_slots")) | (F.col("n_verbatim") >= enough))
-    row = F.struct("n_windows", "n_agreeing", "n_verbatim", "item_windows", "n_slots")
-    return told.where(good).groupBy("doc_id", "item_id").agg(F.max(row).alias("r")).select("doc_id", "item_id", "r.n_windows", "r.item_windows", "r.n_slots", "r.n_agreeing", "r.n_verbatim")
+    good = (F.col("n") >= enough) & (F.col("n_agreeing") >= 0.8 * F.col("n_slots"))
+    best = F.max(F.when(F.col("family") == CANONICAL, F.struct(good.alias("good"), "n", "n_agreeing", "n_slots")))
+    told = told.groupBy("doc_id", "item_id").agg(F.max(good).alias("good"), F.first("item_windows").alias("item_windows"), best.alias("r"), F.max(F.when(F.col("family") == PLAIN, F.col("n"))).alias("n_verbatim"))
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0).cast("long"))
+    return told.where("good").select("doc_id", "item_id", zero("r.n").alias("n_windows"), "item_windows", zero("r.n_slots").alias("n_slots"), zero("r.n_agreeing").alias("n_agreeing"), zero("n_verbatim").alias("n_verbatim"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,6 +299,14 @@ def test_decontamination_of_each_occurrence(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 1)}
 
 
+def test_decontamination_of_slots_and_short_items(spark):
+    sums = "Compute 3 + 4 * 5 - 6 / 2 + 7 * 8 - 9 + 10 * 11 - 12"
+    bench = spark.createDataFrame([(1, sums), (2, "What is the capital of France?")], "item_id long, text string")
+    rows = [(1, f"Now to work.\n{sums}. Well done."), (2, "They asked: what is the capital of France? Nobody knew."), (3, "Compute 4 + 3 * 6 - 5 / 3 + 8 * 7 - 10 + 9 * 12 - 11"), (4, "Paris is the largest town of France and its capital")]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2)}
+
+
 def test_license_scan(spark, none):
     rows = [(1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/b.txt", "code\n" * 5), (3, "p/a/c.txt", "code here\n" * 9 + "Licensed under the Apache License, Version 2.0."), (4, "q/x.txt", "licensed to nobody at all, as the words of this line have little to do with templates"), (5, None, None), (6, "p/a/d/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (7, "p/a/d/e/f.c", "")]
     got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
