@@ -33,10 +33,12 @@ CANONICAL, PLAIN = 0, 1
 NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 #: Fixed list of units, as they stand after a number.
 UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "mph", "dollars", "euros", "cents", "percent", "miles", "feet", "inches", "meters", "grams", "liters"]
-#: Blanks as in words(); a name is a capitalised word that follows a word or comma within its sentence.
+#: Words that aren't names at the start of a sentence.
+COMMON = "a about after all also an and are as at because before both but by can could did do does during each every find for from had has have he her here his how i if in is it its let many most my no not now of on one or our she so some that the their then there these they this those to two under was we were what when where which while who whose why will with would you your".split()
+#: Any other capitalised word is a name, wherever it stands, so that a copy's line breaks and quotes change nothing.
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _UNIT = rf"(?<=\x01[\x20]?)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}])"
-_NAME = r"\p{Lu}(?<=[\p{Ll}\x01\x02\x03,;:][\x20\x09]\p{Lu})\p{Ll}+"
+_NAME = rf"(?<!\p{{L}})(?!(?i:{'|'.join(COMMON)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
 _SLOT = r"[\x01-\x03]"
 #: Signs before the first and after the last letter or digit of a word.
 _EDGES = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
@@ -44,8 +46,8 @@ _STRIP = r"[^\p{L}\p{N}\x01\x02\x03\x20\x09-\x0D]+"
 
 
 def placed(text: Column) -> Column:
-    """text with placeholders; blanks stay where they are, so words of both match one to one."""
-    text = F.regexp_replace(text, _NUMBER, NUMBER)
+    """text with placeholders and single blanks; no word is joined or split, so words of both match one to one."""
+    text = F.regexp_replace(F.regexp_replace(text, C.WORD_SPLIT, " "), _NUMBER, NUMBER)
     text = F.regexp_replace(text, _UNIT, UNIT)
     return F.regexp_replace(text, _NAME, NAME)
 

@@ -307,6 +307,15 @@ def test_decontamination_of_slots_and_short_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2)}
 
 
+def test_decontamination_of_names_anywhere(spark):
+    pens = "Natalia buys 12 pens. Natalia gives 5 pens to Tom. Natalia sells 3 pens. How many pens does Natalia have?"
+    met = "Yesterday Tom met Anna near the old bridge while Peter sold 3 books to Maria before supper"
+    bench = spark.createDataFrame([(1, pens), (2, met)], "item_id long, text string")
+    rows = [(1, pens.replace("Natalia", "Elena").replace("12", "20")), (2, met.replace(" Anna", "\nAnna").replace(" Peter", "\nPeter")), (3, met.replace("Tom", "(Jim)").replace("Anna", '  "Eva"').replace("Peter", "\nPaul"))]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 2)}
+
+
 def test_license_scan(spark, none):
     rows = [(1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/b.txt", "code\n" * 5), (3, "p/a/c.txt", "code here\n" * 9 + "Licensed under the Apache License, Version 2.0."), (4, "q/x.txt", "licensed to nobody at all, as the words of this line have little to do with templates"), (5, None, None), (6, "p/a/d/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (7, "p/a/d/e/f.c", "")]
     got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
