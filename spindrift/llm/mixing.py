@@ -5,7 +5,8 @@ the multipliers of the document's constraints). The convex dual is solved by New
 and rates per constraint in Spark (documents are first summed to cells of equal constraints), and the driver holds one
 multiplier a constraint (MAX_CONSTRAINTS, checked). Rates become copies by systematic rounding: within a source,
 documents in order of size get the floor of the rate, and one more at evenly spaced ranks; what larger documents leave
-over is carried to smaller ones, so that the tokens taken end within about one small document of the target. Ranks come from counts of (source, size, bucket) cells; no source is
+over is carried to smaller ones, which still get the floor or the ceiling of the rate, so that the tokens taken end
+within about one small document of the target, if the smaller ones suffice. Ranks come from counts of (source, size, bucket) cells; no source is
 gathered in one task.
 
 Defined results: null or blank texts have size 0 and their copies count nothing; a null source is a source of its own,
@@ -126,23 +127,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX
 def _rounding(t: pa.Table, most: float) -> pa.Table:
     """For each size of one source: the copies of all its documents, the share that gets one more, and the rank before it.
 
-    Sizes go down by powers of two; what rounding the larger ones left over or took too much is spread over the rate of
-    all smaller ones, so the source's total ends within about one small document of its target.
+    Sizes go down by powers of two, at the solved rate of the source; what rounding the larger ones left over or took
+    too much is spread over all smaller ones, but each document gets the floor or the ceiling of the solved rate. So the
+    source's total ends within about one small document of its target, if the smaller documents suffice for that.
     """
     t = t.sort_by([("_size", "descending")])
     size, count = t["_size"].to_numpy(), t["_c"].to_numpy()
     level = np.floor(np.log2(np.maximum(size, 1)))
     base, part, below = np.zeros(len(size), np.int64), np.zeros(len(size)), np.zeros(len(size), np.int64)
-    want, rest = t["_target"][0].as_py(), float((size * count).sum())
+    solved, rest, carry = t["_rate"][0].as_py(), float((size * count).sum()), 0.0
     for k in sorted(set(level), reverse=True):
         at = np.flatnonzero(level == k)
-        rate = min(most, max(0.0, want / rest)) if rest else 0.0
+        rate = min(np.ceil(solved), most, max(np.floor(solved), solved + carry / rest)) if rest else solved
         rate = round(rate) if abs(rate - round(rate)) < 1e-9 else rate
         base[at], part[at] = int(rate), rate - int(rate)
         end = np.cumsum(count[at])
         below[at] = end - count[at]
         more = np.floor(end * part[at] + 0.5) - np.floor(below[at] * part[at] + 0.5)
-        want -= float((size[at] * (count[at] * base[at] + more)).sum())
+        carry += float((size[at] * (count[at] * (solved - base[at]) - more)).sum())
         rest -= float((size[at] * count[at]).sum())
     return pa.table({"_key": t["_key"], "_size": t["_size"], "_base": base, "_part": part, "_below": below})
 

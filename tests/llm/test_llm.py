@@ -221,6 +221,15 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).count() == docs.count()
 
 
+def test_rounding_keeps_to_the_solved_rate():
+    import pyarrow as pa
+
+    t = pa.table({"_key": ["a", "a"], "_size": [1000, 10], "_c": [1, 10], "_target": [440.0] * 2, "_rate": [0.4] * 2})
+    got = mixing._rounding(t, 3.0)
+    assert all(0 <= b and b + p <= 1 for b, p in zip(got["_base"].to_pylist(), got["_part"].to_pylist(), strict=True))
+    assert got["_base"].to_pylist() == [0, 1]
+
+
 def test_balance_of_two_margins(spark):
     cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 20), ("b", "y", 40)], "source string, lang string, tokens long")
     lam = mixing.balance(cells, ["source", "lang"], {"source": {"a": 50.0, "b": 50.0}, "lang": {"x": 60.0, "y": 40.0}})
