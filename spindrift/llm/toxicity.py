@@ -4,7 +4,7 @@ A sentence's probability is a logistic function of hashed words; the document's
 labels are known; the gradient of the document likelihood shares itself among the sentences. The classifier is
 fitted on at most TRAIN_PER_CLASS rows of each label (documented bound, smallest hashes of doc_id), weighted back to
 the true shares; their hashed features are gathered in one task (bounded by that number of rows), which returns
-2**BITS weights (1 MB, broadcast). Every whole text is scored.
+2**BITS weights (1 MB, broadcast). Every whole text is scored, and every sentence at THRESHOLD or more is returned.
 
 Defined results: a null or empty text has no sentence and gets the score of the bias alone; ties and repeated rows
 are scored each; labels with a null doc_id or null toxic are ignored; with labels of one class or none, the score is
@@ -128,9 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
 
 
 def score(docs: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep`, then score, and of the sentence likeliest to be toxic its byte span and probability."""
+    """The columns `keep`, score, the byte span and probability of the likeliest sentence, and those of all at THRESHOLD or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, worst_start long, worst_end long, worst_score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, worst_start long, worst_end long, worst_score double, toxic_sentences array<struct<start: long, end: long, score: double>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w_all = shared.value
@@ -149,7 +149,11 @@ def score(docs: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
                 top = order[np.append(True, np.diff(doc[order]) > 0)]
                 at = w.at[doc[top]]
                 start[doc[top]], end[doc[top]], worst[doc[top]] = w.start[first[top]] - at, w.end[first[top] + lens[top] - 1] - at, p[top]
-            yield pa.RecordBatch.from_arrays([*(C.col(b, c) for c in keep), pa.array(total), pa.array(start), pa.array(end), pa.array(worst)], [*keep, "score", "worst_start", "worst_end", "worst_score"])
+            found = np.flatnonzero(p >= THRESHOLD)
+            at = w.at[doc[found]]
+            spans = pa.StructArray.from_arrays([pa.array(w.start[first[found]] - at), pa.array(w.end[first[found] + lens[found] - 1] - at), pa.array(p[found])], ["start", "end", "score"])
+            listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[found], np.arange(b.num_rows + 1)).astype(np.int32)), spans)
+            yield pa.RecordBatch.from_arrays([*(C.col(b, c) for c in keep), pa.array(total), pa.array(start), pa.array(end), pa.array(worst), listed], [*keep, "score", "worst_start", "worst_end", "worst_score", "toxic_sentences"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

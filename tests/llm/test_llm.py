@@ -205,6 +205,17 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, toxicity.fit(none, labels.limit(0)), ["doc_id"]).count() == 0
 
 
+def test_toxicity_returns_every_sentence(spark, none):
+    import pyarrow as pa
+
+    model = np.append(np.zeros(1 << toxicity.BITS), -5.0)
+    model[toxicity.features(pa.array(["scum"]))[1]] = 10.0
+    texts = ["You scum. Fine day. Scum again!\nNothing", "é plain", "", None, "é. Old scum"]
+    got = by_id(toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]))
+    spans = {i: [(texts[i].encode()[s["start"] : s["end"]].decode(), s["score"] > 0.9) for s in r["toxic_sentences"]] for i, r in got.items()}
+    assert spans == {0: [("You scum", True), ("Scum again", True)], 1: [], 2: [], 3: [], 4: [("Old scum", True)]}
+
+
 def test_mixing(spark, docs, none):
     r = random.Random(4)
     rows = [(i, "w " * int(r.paretovariate(1) * 5), r.choice(["a", "b", "c", None] + ["d"] * 4)) for i in range(3000)]
