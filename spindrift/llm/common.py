@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -15,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 #: Bytes 9 to 13 and 32 separate words.
@@ -39,7 +42,7 @@ def ship(spark: SparkSession) -> None:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     # Workers give memory back to the system instead of keeping it for later stages.
-    for k, v in {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "33554432", "MALLOC_TRIM_THRESHOLD_": "67108864"}.items():
+    for k, v in {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "16777216", "MALLOC_TRIM_THRESHOLD_": "33554432"}.items():
         env.setdefault(k, v)
     # Batches of whole texts: Spark's default of 10,000 rows a batch would hold long ones many times over.
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
@@ -52,32 +55,116 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one under the temp folder only where the session names none."""
+    """The folder that all executors share. Only a session on one machine may go without one: it gets a temp folder."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spindrift-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage; Hadoop deletes it when the driver ends."""
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _hadoop(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage; Hadoop deletes it when the driver ends."""
+    return _written(df, tag)[0]
+
+
+class Scratch:
+    """Written tables that only one call of an operator needs: the end of the block deletes them. What the call returns
+    must not read them, so it's materialized inside the block. A lost executor loses none of them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        out, path = _written(df, tag)
+        self._paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes some of them early."""
+        for t in tables:
+            for have, path in self._paths:
+                if have is t:
+                    files, where = _hadoop(self.spark, path)
+                    files.delete(where, True)
+        self._paths = [x for x in self._paths if not any(x[0] is t for t in tables)]
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(t for t, _ in self._paths))
+
+
+#: Bytes up to which a table is broadcast, by its values' own sizes; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def _size_of(kind: T.DataType, value: Column) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = 16 * (len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1)
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+            return F.aggregate(value, F.lit(16), lambda a, x: a + F.octet_length(x) + 16)
+        return F.greatest(F.size(value), F.lit(0)) * each + 16
+    return F.lit(8)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """What the rows of a written table take in memory, about."""
+    row = F.lit(16).cast("long")
+    for f in df.schema:
+        row = row + _size_of(f.dataType, F.col(f"`{f.name}`"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df, a written table (or one made from the written table `of`), with a broadcast hint if its measured bytes are few."""
+    return F.broadcast(df) if bytes_of(df if of is None else of) <= BROADCAST_BYTES else df
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like these that none of `taken` equals, whatever the case."""
+    have = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
 
 
-#: Rows up to which a table of ids is broadcast (16 bytes a row, so 16 MB); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+def trim() -> None:
+    """Gives freed memory of a Python worker back to the system."""
+    global _LIBC
+    if _LIBC is None:
+        try:
+            _LIBC = ctypes.CDLL("libc.so.6")
+        except OSError:  # another C library
+            _LIBC = False
+    if _LIBC:
+        _LIBC.malloc_trim(0)
 
 
-def small(df: DataFrame, n_rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few."""
-    return F.broadcast(df) if n_rows <= BROADCAST_IDS else df
+_LIBC = None
 
 
 def remainder(doc_id: str | Column, n: int) -> Column:
@@ -191,6 +278,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", step: int =
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + step, side="right")))
             yield b.slice(i, j - i)
             i = j
+    trim()
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -112,43 +112,44 @@ def _occurrences(both: DataFrame, *keys: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, n_agreeing, n_verbatim of contaminated pairs."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    words = _aligned(items, "item_id", "iwords")
-    slots = F.size(F.filter(F.slice("iwords", F.col("ipos") + 1, F.col("size")), lambda z: z["canon"].rlike(_SLOT)))
-    iw = _item_windows(items).join(words, ["item_id", "family"]).where((F.col("family") == PLAIN) | (slots <= F.floor(F.col("size") / 2)))
-    iw = C.materialize(iw.select("item_id", "family", "size", "ipos", "h"), "bench-windows")
-    sizes = {(r["family"], r["size"]): r["count"] for r in iw.groupBy("family", "size").count().collect()}
-    n = sum(sizes.values())
-    of = lambda f: F.countDistinct(F.when(F.col("family") == f, F.col("ipos")))
-    sized = iw.groupBy("item_id").agg(of(CANONICAL).alias("item_windows"), of(PLAIN).alias("plain_windows"))
-    keys = iw.select("h").distinct()
-    dw = _doc_windows(docs, sorted(sizes) or [(PLAIN, WINDOW)])
-    hits = dw.join(F.broadcast(keys) if n <= MAX_BROADCAST else keys, "h", "left_semi")
-    hits = C.materialize(hits.distinct(), "bench-hits")
-    pairs = hits.join(F.broadcast(iw) if n <= MAX_BROADCAST else iw, "h")
-    most = F.when(F.col("family") == PLAIN, F.col("plain_windows")).otherwise(F.col("item_windows"))
-    enough = F.least(F.lit(LEAST), F.ceil(most / 2))
-    wanted = pairs.groupBy("doc_id", "item_id", "family").agg(F.countDistinct("ipos").alias("c")).join(sized, "item_id").where(F.col("c") >= enough).select("doc_id", "item_id", "item_windows", "plain_windows").distinct()
-    wanted = C.materialize(wanted, "bench-pairs")
-    ids = wanted.select("doc_id").distinct()
-    few = docs.select("doc_id", "text").where("text is not null").join(C.small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    places = pairs.join(wanted, ["doc_id", "item_id"]).select("doc_id", "item_id", "family", "size", "item_windows", "plain_windows", "pos", "ipos")
-    both = places.join(_aligned(few, "doc_id", "dwords"), ["doc_id", "family"]).join(words, ["item_id", "family"])
-    both = both.withColumn("d", F.slice("dwords", F.col("pos") + 1, F.col("size"))).withColumn("i", F.slice("iwords", F.col("ipos") + 1, F.col("size")))
-    both = both.where(F.col("d.canon") == F.col("i.canon"))
-    both = both.select("doc_id", "item_id", "family", "item_windows", "plain_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.filter(F.zip_with("i", "d", lambda i, d: F.struct(i["canon"].alias("kind"), i["raw"].alias("item"), d["raw"].alias("doc"))), lambda z: (F.col("family") == CANONICAL) & z["kind"].rlike(_SLOT)).alias("slots"))
-    both = C.materialize(both, "bench-both")
-    at = ["doc_id", "item_id", "family", "at"]
-    both = _occurrences(both, "family")
-    counts = both.groupBy(*at).agg(F.first("item_windows").alias("item_windows"), F.first("plain_windows").alias("plain_windows"), F.countDistinct("ipos").alias("n"))
-    values = both.select(*at, F.explode("slots").alias("s")).select(*at, "s.*").distinct()
-    values = values.groupBy(*at, "kind", "item").agg(F.count("*").alias("c")).groupBy(*at).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("c") == 1, 1)).alias("n_agreeing"))
-    told = counts.join(values, at, "left").fillna(0, ["n_slots", "n_agreeing"])
-    good = (F.col("n") >= enough) & (F.col("n_agreeing") >= 0.8 * F.col("n_slots"))
-    best = F.max(F.when(F.col("family") == CANONICAL, F.struct(good.alias("good"), "n", "n_agreeing", "n_slots")))
-    told = told.groupBy("doc_id", "item_id").agg(F.max(good).alias("good"), F.first("item_windows").alias("item_windows"), best.alias("r"), F.max(F.when(F.col("family") == PLAIN, F.col("n"))).alias("n_verbatim"))
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0).cast("long"))
-    return told.where("good").select("doc_id", "item_id", zero("r.n").alias("n_windows"), "item_windows", zero("r.n_slots").alias("n_slots"), zero("r.n_agreeing").alias("n_agreeing"), zero("n_verbatim").alias("n_verbatim"))
+    with C.Scratch(docs.sparkSession) as s:
+        items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+        words = _aligned(items, "item_id", "iwords")
+        slots = F.size(F.filter(F.slice("iwords", F.col("ipos") + 1, F.col("size")), lambda z: z["canon"].rlike(_SLOT)))
+        iw = _item_windows(items).join(words, ["item_id", "family"]).where((F.col("family") == PLAIN) | (slots <= F.floor(F.col("size") / 2)))
+        iw = s.table(iw.select("item_id", "family", "size", "ipos", "h"), "bench-windows")
+        sizes = {(r["family"], r["size"]): r["count"] for r in iw.groupBy("family", "size").count().collect()}
+        n = sum(sizes.values())
+        of = lambda f: F.countDistinct(F.when(F.col("family") == f, F.col("ipos")))
+        sized = iw.groupBy("item_id").agg(of(CANONICAL).alias("item_windows"), of(PLAIN).alias("plain_windows"))
+        keys = iw.select("h").distinct()
+        dw = _doc_windows(docs, sorted(sizes) or [(PLAIN, WINDOW)])
+        hits = dw.join(F.broadcast(keys) if n <= MAX_BROADCAST else keys, "h", "left_semi")
+        hits = s.table(hits.distinct(), "bench-hits")
+        pairs = hits.join(F.broadcast(iw) if n <= MAX_BROADCAST else iw, "h")
+        most = F.when(F.col("family") == PLAIN, F.col("plain_windows")).otherwise(F.col("item_windows"))
+        enough = F.least(F.lit(LEAST), F.ceil(most / 2))
+        wanted = pairs.groupBy("doc_id", "item_id", "family").agg(F.countDistinct("ipos").alias("c")).join(sized, "item_id").where(F.col("c") >= enough).select("doc_id", "item_id", "item_windows", "plain_windows").distinct()
+        wanted = s.table(wanted, "bench-pairs")
+        ids = wanted.select("doc_id").distinct()
+        few = docs.select("doc_id", "text").where("text is not null").join(C.small(ids, wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        places = pairs.join(wanted, ["doc_id", "item_id"]).select("doc_id", "item_id", "family", "size", "item_windows", "plain_windows", "pos", "ipos")
+        both = places.join(_aligned(few, "doc_id", "dwords"), ["doc_id", "family"]).join(words, ["item_id", "family"])
+        both = both.withColumn("d", F.slice("dwords", F.col("pos") + 1, F.col("size"))).withColumn("i", F.slice("iwords", F.col("ipos") + 1, F.col("size")))
+        both = both.where(F.col("d.canon") == F.col("i.canon"))
+        both = both.select("doc_id", "item_id", "family", "item_windows", "plain_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.filter(F.zip_with("i", "d", lambda i, d: F.struct(i["canon"].alias("kind"), i["raw"].alias("item"), d["raw"].alias("doc"))), lambda z: (F.col("family") == CANONICAL) & z["kind"].rlike(_SLOT)).alias("slots"))
+        both = s.table(both, "bench-both")
+        at = ["doc_id", "item_id", "family", "at"]
+        both = _occurrences(both, "family")
+        counts = both.groupBy(*at).agg(F.first("item_windows").alias("item_windows"), F.first("plain_windows").alias("plain_windows"), F.countDistinct("ipos").alias("n"))
+        values = both.select(*at, F.explode("slots").alias("s")).select(*at, "s.*").distinct()
+        values = values.groupBy(*at, "kind", "item").agg(F.count("*").alias("c")).groupBy(*at).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("c") == 1, 1)).alias("n_agreeing"))
+        told = counts.join(values, at, "left").fillna(0, ["n_slots", "n_agreeing"])
+        good = (F.col("n") >= enough) & (F.col("n_agreeing") >= 0.8 * F.col("n_slots"))
+        best = F.max(F.when(F.col("family") == CANONICAL, F.struct(good.alias("good"), "n", "n_agreeing", "n_slots")))
+        told = told.groupBy("doc_id", "item_id").agg(F.max(good).alias("good"), F.first("item_windows").alias("item_windows"), best.alias("r"), F.max(F.when(F.col("family") == PLAIN, F.col("n"))).alias("n_verbatim"))
+        zero = lambda x: F.coalesce(F.col(x), F.lit(0).cast("long"))
+        return C.materialize(told.where("good").select("doc_id", "item_id", zero("r.n").alias("n_windows"), "item_windows", zero("r.n_slots").alias("n_slots"), zero("r.n_agreeing").alias("n_agreeing"), zero("n_verbatim").alias("n_verbatim")), "bench-found")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,4 +159,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no item contaminates."""
     gone = C.materialize(contaminated(docs, benchmark).select("doc_id").distinct(), "bench-gone")
-    return docs.join(C.small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(C.small(gone), "doc_id", "left_anti").select(*docs.columns)

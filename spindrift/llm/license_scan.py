@@ -82,22 +82,20 @@ def license_scan(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "path", "text")
     found = C.materialize(_notices(docs.where("doc_id is not null")), "license-notices")
     told = C.materialize(line_licenses(found), "license-told")
-    n = told.count()
-    own = found.join(C.small(told, n), "line")
+    own = found.join(C.small(told), "line")
     own = own.groupBy("doc_id").agg(F.min_by(F.struct("license", "similarity"), F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"), F.sum(F.length("line")).alias("chars"), F.max("whole").alias("whole"))
     own = C.materialize(own.select("doc_id", "b.*", (F.col("chars") >= HALF * F.col("whole")).alias("file")), "license-own")
-    n_own = own.count()
     parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     placed = docs.select("doc_id", "path", parent.alias("dir"))
-    files = placed.where("dir is not null").join(C.small(own.where("file"), n_own), "doc_id")
+    files = placed.where("dir is not null").join(C.small(own.where("file"), own), "doc_id")
     dirs = files.groupBy("dir").agg(F.min_by(F.struct("license", "similarity"), F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select(F.col("dir").alias("from_dir"), "b.*")
     dirs = C.materialize(dirs, "license-dirs")
     parts = F.split("dir", "/")
     ancestors = F.array_union(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")), F.array(F.lit("")))
     each = placed.where("dir is not null").select("dir").distinct().select("dir", F.explode(ancestors).alias("from_dir"))
-    near = each.join(C.small(dirs, dirs.count()), "from_dir").groupBy("dir").agg(F.max_by(F.struct("from_dir", "license", "similarity"), F.length("from_dir")).alias("d"))
+    near = each.join(C.small(dirs), "from_dir").groupBy("dir").agg(F.max_by(F.struct("from_dir", "license", "similarity"), F.length("from_dir")).alias("d"))
     near = C.materialize(near.select("dir", "d.*"), "license-near").toDF("dir", "from_dir", "dir_license", "dir_similarity")
-    out = placed.join(C.small(own.select("doc_id", F.col("license").alias("own_license"), F.col("similarity").alias("own_similarity")), n_own), "doc_id", "left").join(C.small(near, near.count()), "dir", "left")
+    out = placed.join(C.small(own.select("doc_id", F.col("license").alias("own_license"), F.col("similarity").alias("own_similarity")), own), "doc_id", "left").join(C.small(near), "dir", "left")
     has = F.col("own_license").isNotNull()
     basis = F.when(has, "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.coalesce("own_license", "dir_license").alias("license"), F.when(has, F.col("own_similarity")).otherwise(F.col("dir_similarity")).alias("similarity"), basis.alias("basis"), F.when(~has, F.col("from_dir")).alias("directory"))

@@ -84,7 +84,7 @@ def pairs_of_lines(b: pa.RecordBatch) -> tuple[C.Words, Runs]:
     return w, (at, np.full(len(at), 2), C.mix(C.mix(w.hash[at] + U(1)) * U(0xD1342543DE82EF95) + w.hash[at + 1]))
 
 
-def _repeats(docs: DataFrame, runs: Callable[[pa.RecordBatch], tuple[C.Words, Runs]], tag: str) -> DataFrame:
+def _repeats(docs: DataFrame, runs: Callable[[pa.RecordBatch], tuple[C.Words, Runs]], tag: str, s: C.Scratch) -> DataFrame:
     """doc_id, pos (first line in the document), n (lines) of the runs that an earlier place has, for docs' doc_id and text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,10 +93,10 @@ def _repeats(docs: DataFrame, runs: Callable[[pa.RecordBatch], tuple[C.Words, Ru
             pos = at - _in_docs(w, b.num_rows)[w.doc[at]]
             yield pa.RecordBatch.from_arrays([C.col(b, "doc_id").take(pa.array(w.doc[at])), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "pos", "n", "h"])
 
-    seen = C.materialize(docs.mapInArrow(find, "doc_id long, pos int, n int, h long"), tag)
+    seen = s.table(docs.mapInArrow(find, "doc_id long, pos int, n int, h long"), tag)
     often = seen.groupBy("h").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("doc_id", "pos"))).where("min_doc_id < max_doc_id or min_pos < max_pos").select("h")
-    again = C.materialize(seen.join(often, "h", "left_semi").select("doc_id", "pos", "n").distinct(), tag + "-again")
-    n = again.count()
+    again = s.table(seen.join(often, "h", "left_semi").select("doc_id", "pos", "n").distinct(), tag + "-again")
+    s.drop(seen)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
@@ -113,35 +113,41 @@ def _repeats(docs: DataFrame, runs: Callable[[pa.RecordBatch], tuple[C.Words, Ru
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(num, pa.int32()), C.blobs(data)], ["doc_id", "pos", "n", "data"])
 
     lists = again.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("rs"))
-    bytes_ = C.materialize(docs.select("doc_id", "text").join(C.small(lists, n), "doc_id").mapInArrow(cut, "doc_id long, pos int, n int, data binary"), tag + "-bytes")
+    bytes_ = s.table(docs.select("doc_id", "text").join(C.small(lists, again), "doc_id").mapInArrow(cut, "doc_id long, pos int, n int, data binary"), tag + "-bytes")
     first = bytes_.groupBy("data").agg(F.min(F.struct("doc_id", "pos")).alias("keep"))
     later = (F.col("doc_id") > F.col("keep.doc_id")) | (F.col("pos") >= F.col("keep.pos") + F.col("n"))
-    return C.materialize(bytes_.join(first, "data").where(later).select("doc_id", "pos", "n").distinct(), tag + "-gone")
+    gone = s.table(bytes_.join(first, "data").where(later).select("doc_id", "pos", "n").distinct(), tag + "-gone")
+    s.drop(again, bytes_)
+    return gone
 
 
-def _listed(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with _gone, the list of each one's runs in `gone`."""
-    lists = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list(F.struct("pos", "n")).alias("_gone"))
-    return docs.join(C.small(lists, gone.count()), F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
+def _listed(docs: DataFrame, gone: DataFrame, name: str = "_gone") -> DataFrame:
+    """docs with the list of each one's runs in `gone`, a written table, in the column `name`."""
+    (own,) = C.fresh([*docs.columns, name], "gone_id")
+    lists = gone.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("pos", "n")).alias(name))
+    return docs.join(C.small(lists, gone), F.col("doc_id") == F.col(own), "left").drop(own)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, pos, n of runs of lines to remove, for docs' doc_id and text."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    gone = _repeats(docs, whole_chunks, "line-chunks")
-    return gone.union(_repeats(_listed(docs, gone), pairs_of_lines, "line-pairs"))
+    with C.Scratch(docs.sparkSession) as s:
+        gone = _repeats(docs, whole_chunks, "line-chunks", s)
+        return C.materialize(gone.union(_repeats(_listed(docs, gone), pairs_of_lines, "line-pairs", s)), "line-runs")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeated runs of lines cut from text, and _lines, _removed (lines), _chunks (removed whole)."""
+    """docs with repeated runs of lines cut from text, and _lines, _removed (lines), _chunks (removed whole); where docs has
+    such a column itself, the new one's name ends in one more underscore."""
     names = docs.columns
+    runs_of, *added = C.fresh(names, "_gone", "_lines", "_removed", "_chunks")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
             texts = C.col(b, "text")
             w, first, lines, _, _ = chunks(texts)
             line_at = _in_docs(w, b.num_rows)
-            gone = _marks(C.col(b, "_gone"), line_at) > 0
+            gone = _marks(C.col(b, runs_of), line_at) > 0
             out = texts.to_pylist()
             at = np.append(0, np.cumsum(gone))
             removed = at[line_at[1:]] - at[line_at[:-1]]
@@ -153,10 +159,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
                 parts = [w.buf[w.at[i] : w.start[ks[0]]], *(w.buf[w.start[k] : e] for k, e in zip(ks, ends, strict=True) if not gone[k])]
                 out[i] = b"".join(p.tobytes() for p in parts).decode("utf-8", "surrogatepass")
             done = [pa.array(out, pa.string()) if c == "text" else C.col(b, c) for c in names]
-            yield pa.RecordBatch.from_arrays([*done, pa.array(w.per_doc.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(cut.astype(np.int64))], [*names, "_lines", "_removed", "_chunks"])
+            yield pa.RecordBatch.from_arrays([*done, pa.array(w.per_doc.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(cut.astype(np.int64))], [*names, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_lines long, _removed long, _chunks long"])
-    return _listed(docs, repeated_runs(docs)).mapInArrow(drop, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{c}` long" for c in added)])
+    return _listed(docs, repeated_runs(docs), runs_of).mapInArrow(drop, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

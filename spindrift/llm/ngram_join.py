@@ -4,38 +4,41 @@ A document's set holds its distinct n-word shingles (64-bit hashes; ASCII case i
 the tokens, two sets whose Jaccard similarity is t or more share one of the first |x| - ceil(t |x|) + 1 tokens of
 each, so candidates must share a prefix token under each of ORDERS different orders:
 
-* order 0 puts tokens with a small document frequency first. Frequencies come from a counter array over all
-  documents (2**SKETCH_BITS cells, summed in slices; 4 MB of levels are broadcast); being an order, it needs no exact counts.
-  Very common tokens come last, so they are in few prefixes.
-* the others are orders of independent hashes. Their prefixes travel with each document and intersect the
-  candidates of order 0 before texts are compared.
+* order 0 puts tokens with a small document frequency first. Frequencies are counted over all documents: parts of about
+  PART_BYTES of text send their distinct tokens as packed sorted runs, by range of the hash, and get each token's
+  frequency back. A token of one document can't make a candidate, so only the others leave the parts.
+* the others are orders of independent hashes. Their prefixes intersect the candidates of order 0 before sets are read.
 
 Equal sets are one class, linked through its smallest doc_id. Candidates aren't all pairs of a token's documents:
 first each document meets the token's smallest one, links are joined into components, and then only pairs in
 different components are left. If these are still many, documents with rare hashes act as centres, level by level,
 until each pair has been met or lies in one component. No pair is dropped. Verification counts the intersection
-of the two whole sets.
+of the two whole sets (tokens of 48 bits).
 
 Defined results: a null, empty or blank text has an empty set and links with nothing; with fewer words than n the
-whole sequence is the one shingle; a null doc_id gets a null component; repeated rows are returned as often.
-Only doc_id and text are read, so other columns can't clash.
+whole sequence is the one shingle; a null doc_id gets a null component; repeated rows are returned as often (a doc_id
+names one document: rows that repeat it are taken to repeat its text). Only doc_id and text are read, so other columns
+can't clash. Written tables of a call are deleted when it returns, but for the result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
+from .packing import cuts, pack, pack_sorted, unpack, unpack_sorted
 
 QUERY = "op7_ngram_jaccard_join"
-SKETCH_BITS, SLICES, ORDERS = 22, 64, 3
+ORDERS = 3
+#: Bytes of text whose tokens one task holds at once, unless one document is longer.
+PART_BYTES = 8 << 20
 #: Pairs in different components that are met at once, for each entry of the token lists; else centres go first.
 PAIRS_PER_ENTRY = 2
 U = C.U
@@ -71,56 +74,95 @@ def _order(h: np.ndarray, k: int) -> np.ndarray:
     return C.mix(h ^ U(0xA0761D6478BD642F * (2 * k + 1) & (2**64 - 1)))
 
 
-def describe(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles and the set's signature for each row; and the counter array of tokens."""
-    width = (1 << SKETCH_BITS) // SLICES
+def describe(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n, the set's signature and the bytes of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "s1", "s2", "slice", "counts"]
         for b in C.pieces(batches):
             sets, at = shingle_sets(C.col(b, "text"), n)
-            np.add.at(sketch, (sets >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             sums = [np.concatenate([np.zeros(1, U), np.cumsum(_order(sets, k))]) for k in (7, 8)]
-            rows = b.num_rows
-            yield pa.RecordBatch.from_arrays([C.col(b, "doc_id"), pa.array(np.diff(at)), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        if sketch.any():
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()),) * 4, pa.array(range(SLICES), pa.int32()), C.blobs([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)])], names)
-
-    def add(t: pa.Table) -> pa.Table:
-        return pa.table({"slice": t["slice"][:1], "counts": C.blobs([zlib.compress(sum(np.frombuffer(zlib.decompress(v), np.uint32).astype(np.int64) for v in t["counts"].to_pylist()).tobytes(), 1)])})
-
-    both = C.materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, slice int, counts binary"), "ngram-sets")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in both.where("slice is not null").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        sketch[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return both.where("slice is null").drop("slice", "counts"), sketch
-
-
-def prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, and its prefix under each order: p0 (tokens, in order), p1, p2 ... (32-bit hashes)."""
-    shared = docs.sparkSession.sparkContext.broadcast((4 * np.log2(sketch + 1.0)).astype(np.uint8))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
-        for b in C.pieces(batches):
-            sets, at = shingle_sets(C.col(b, "text"), n)
-            keys = [(_order(sets, 0) >> U(8)) | (level[(sets >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(56))]
-            keys += [_order(sets, k) for k in range(1, ORDERS)]
-            size = np.diff(at)
-            long = np.where(size > 0, size + (-percent * size // 100) + 1, 0)
-            lists = [[] for _ in keys]
-            for i in np.flatnonzero(size):
-                a, z, p = at[i], at[i + 1], long[i]
-                for k, key in enumerate(keys):
-                    own = key[a:z]
-                    own = np.sort(np.partition(own, p - 1)[:p]) if p < z - a else np.sort(own)
-                    lists[k].append(own.view(np.int64) if k == 0 else (own >> U(32)).astype(np.uint32).view(np.int32))
-            offsets = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
-            flat = lambda k, t: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists[k]) if lists[k] else np.zeros(0, t)))
-            yield pa.RecordBatch.from_arrays([C.col(b, "doc_id"), pa.array(size), flat(0, np.int64), *(flat(k, np.int32) for k in range(1, ORDERS))], ["doc_id", "n", *(f"p{k}" for k in range(ORDERS))])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, p0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS)))
+            size = pc.fill_null(pc.binary_length(C.col(b, "text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([C.col(b, "doc_id"), pa.array(np.diff(at)), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums), size], ["doc_id", "n", "s1", "s2", "bytes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bytes long")
+
+
+class _Part:
+    """The sets of a part's documents, one after the other, and the part's distinct tokens (48 bits, ascending)."""
+
+    def __init__(self, t: pa.Table, n: int):
+        sets, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for b in C.pieces(iter(t.select(["text"]).combine_chunks().to_batches())):
+            own, at = shingle_sets(C.col(b, "text"), n)
+            sets.append(own >> U(16))
+            sizes.append(np.diff(at))
+        self.sets, self.size = np.concatenate(sets), np.concatenate(sizes)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct tokens and in how many documents of the part each is."""
+        s = np.sort(self.sets)
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+        return s[first], np.diff(np.append(first, len(s)))
+
+
+def _ranges(tokens: np.ndarray, n: int) -> np.ndarray:
+    return cuts(tokens << U(16), n)
+
+
+def _level(df: np.ndarray) -> np.ndarray:
+    """0 for a token of one document, else more for a higher frequency, up to 255."""
+    return np.where(df < 2, 0, np.minimum(255, 8 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
+
+
+def prefixes(docs: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+    """Of each document whose prefix under order 0 has tokens that are in other documents too: doc_id, n, how many
+    tokens of the prefix come before these, p0 (these, in order), p1, p2 ... (32-bit hashes) and the packed set."""
+    texts = docs.select("doc_id", "text").withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+
+    def tokens_out(t: pa.Table) -> pa.Table:
+        C.trim()
+        tokens, df = _Part(t, n).tokens()
+        at = _ranges(tokens, parts)
+        full = np.flatnonzero(np.diff(at))
+        return pa.table({"pid": pa.array([t["pid"][0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "g": C.blobs([pack_sorted(tokens[at[b] : at[b + 1]]) for b in full]), "c": C.blobs([pack(df[at[b] : at[b + 1]]) for b in full])})
+
+    def levels_back(t: pa.Table) -> pa.Table:
+        C.trim()
+        gs = [unpack_sorted(x) for x in t["g"].to_pylist()]
+        every = np.concatenate(gs)
+        turn = np.argsort(every)
+        every = every[turn]
+        new = np.append(True, every[1:] != every[:-1])
+        df = np.add.reduceat(np.concatenate([unpack(x) for x in t["c"].to_pylist()]).astype(np.int64)[turn], np.flatnonzero(new))
+        level = np.empty(len(every), np.uint8)
+        level[turn] = _level(df)[np.cumsum(new) - 1]
+        return pa.table({"pid": t["pid"], "bucket": t["bucket"], "level": C.blobs([pack(x) for x in np.split(level, np.cumsum([len(g) for g in gs])[:-1])])})
+
+    def prefixes_out(t: pa.Table, told: pa.Table) -> pa.Table:
+        C.trim()
+        p = _Part(t, n)
+        tokens, _ = p.tokens()
+        back = sorted(zip(told["bucket"].to_pylist(), told["level"].to_pylist(), strict=True))
+        level = np.concatenate([*(unpack(x) for _, x in back), np.zeros(0, U)])
+        ids = t["doc_id"].to_pylist()
+        long = np.where(p.size > 0, p.size + (-percent * p.size // 100) + 1, 0)
+        out = {k: [] for k in ("doc_id", "n", "skip", *(f"p{k}" for k in range(ORDERS)), "set")}
+        for i in np.flatnonzero(p.size):
+            own, m = p.sets[p.at[i] : p.at[i + 1]], long[i]
+            smallest = lambda key: np.sort(np.partition(key, m - 1)[:m] if m < len(key) else key)  # noqa: B023, E731
+            first = smallest((_order(own, 0) >> U(8)) | (level[np.searchsorted(tokens, own)] << U(56)))
+            shared = first[first >> U(56) > 0]
+            if len(shared):
+                rest = [(smallest(_order(own, k)) >> U(32)).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)]
+                for k, v in zip(out, (ids[i], len(own), len(first) - len(shared), shared.view(np.int64), *rest, pack_sorted(own)), strict=True):
+                    out[k].append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *(pa.list_(pa.int32()) for _ in range(1, ORDERS)), pa.binary()]
+        return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=True)})
+
+    sent = texts.groupBy("pid").applyInArrow(tokens_out, "pid int, bucket int, g binary, c binary")
+    told = sent.groupBy("bucket").applyInArrow(levels_back, "pid int, bucket int, level binary")
+    return texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(prefixes_out, "doc_id long, n long, skip int, p0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS)) + ", set binary")
 
 
 def _long_enough(percent: int) -> str:
@@ -130,42 +172,26 @@ def _long_enough(percent: int) -> str:
     return f"100 * least(an, bn) >= {percent} * greatest(an, bn) and least(an - apos, bn - bpos) >= {need}"
 
 
-class _Verifier:
-    """Pairs (a, b) to links. Prefixes and texts are read anew for the documents of the pairs at hand only."""
-
-    def __init__(self, docs: DataFrame, sigs: DataFrame, n: int, percent: int):
-        self.texts, self.sigs = docs.select("doc_id", "text"), sigs.drop("p0")
-        self.n, self.percent = n, percent
-
-    @staticmethod
-    def _with(pairs: DataFrame, about: DataFrame) -> DataFrame:
-        """pairs with the columns of `about` for a (prefix a) and for b (prefix b); `about` is cut to these ids first."""
-        ids = C.materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ngram-ids")
-        about = about.join(C.small(ids, ids.count()), "doc_id", "left_semi")
-        side = lambda s: about.select(*(F.col(c).alias(s if c == "doc_id" else s + c) for c in about.columns))
-        return pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = self._with(C.materialize(pairs, "ngram-pairs"), self.sigs)
-        for k in range(1, ORDERS):
-            pairs = pairs.where(F.arrays_overlap(f"ap{k}", f"bp{k}"))
-        pairs = self._with(C.materialize(pairs.select("a", "b"), "ngram-pairs"), self.texts)
-        n, percent = self.n, self.percent
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for piece in C.pieces(batches, "atext"):
-                for b in C.pieces(iter([piece]), "btext"):
-                    (x, xa), (y, ya) = (shingle_sets(C.col(b, c), n) for c in ("atext", "btext"))
-                    keep = np.zeros(b.num_rows, bool)
-                    for i in range(b.num_rows):
-                        s, t = x[xa[i] : xa[i + 1]], y[ya[i] : ya[i + 1]]
-                        both = np.concatenate([s, t])
-                        both.sort(kind="stable")
-                        inter = int((both[1:] == both[:-1]).sum())
-                        keep[i] = inter > 0 and 100 * inter >= percent * (len(both) - inter)
-                    yield pa.RecordBatch.from_arrays([C.col(b, "a"), C.col(b, "b")], ["a", "b"]).filter(pa.array(keep))
-
-        return pairs.mapInArrow(verify, "a long, b long")
+def _links(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that link: their prefixes meet under all orders, and their whole sets are similar enough."""
+    side = lambda s, *names: sigs.select(F.col("doc_id").alias(s), *(F.col(c).alias(s + c) for c in names))
+    orders = [f"p{k}" for k in range(1, ORDERS)]
+    near = pairs.join(side("a", *orders), "a").join(side("b", *orders), "b")
+    for k in orders:
+        near = near.where(F.arrays_overlap("a" + k, "b" + k))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(C.col(b, "aset"), C.col(b, "bset"), strict=True)):
+                both = np.concatenate([unpack_sorted(x.as_py()), unpack_sorted(y.as_py())])
+                both.sort(kind="stable")
+                inter = int((both[1:] == both[:-1]).sum())
+                keep[i] = inter > 0 and 100 * inter >= percent * (len(both) - inter)
+            yield pa.RecordBatch.from_arrays([C.col(b, "a"), C.col(b, "b")], ["a", "b"]).filter(pa.array(keep))
+        C.trim()
+
+    return near.select("a", "b").join(side("a", "set"), "a").join(side("b", "set"), "b").mapInArrow(verify, "a long, b long")
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, more: str = "true") -> DataFrame:
@@ -174,64 +200,57 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, more: str = "true")
     return a.join(b, "token").where("adoc <> bdoc").where(more).where(_long_enough(percent)).select(F.least("adoc", "bdoc").alias("a"), F.greatest("adoc", "bdoc").alias("b")).distinct()
 
 
-def link_components(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """id, component of the documents with links, or None without any. sigs: what prefixes() returns."""
-    spark = docs.sparkSession
-    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries = sigs.select(F.col("doc_id").alias("doc"), "n", F.posexplode("p0").alias("pos", "token")).repartition(parts, "token")
-    often = entries.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    entries = C.materialize(entries.join(often.select("token"), "token", "left_semi"), "ngram-lists")
+def link_components(sigs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
+    """id, component of the documents with links. sigs: what prefixes() returns, written."""
+    entries = s.table(sigs.select(F.col("doc_id").alias("doc"), "n", "skip", F.posexplode("p0").alias("pos", "token")).select("token", "doc", "n", (F.col("pos") + F.col("skip")).alias("pos")), "ngram-lists")
     total = entries.count()
-    if not total:
-        return None
-    check = _Verifier(docs, sigs, n, percent)
-    first = entries.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("m")).select("token", "m.*")
-    links = C.materialize(check.links(_pairs(first, entries, percent)), "ngram-links")
-    found = components(links)
+    first = entries.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("m"), F.max("doc").alias("last")).where("m.doc < last").select("token", "m.*")
+    links = s.table(_links(_pairs(first, entries, percent), sigs, percent), "ngram-links")
+    found = components(links, s)
+    s.drop(links)
     level = None
     while True:
-        now = entries.join(found.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        now = C.materialize(now.join(mixed, "token", "left_semi").withColumn("level", F.length(F.regexp_extract(F.bin(F.xxhash64("doc")), "(0*)$", 1)).cast("int")), "ngram-left")
-        sizes = now.groupBy("token", "component").count()
-        open_ = sizes.groupBy("token").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("p")).agg(F.sum("p")).first()[0]
+        now = entries.join(C.small(found.select(F.col("id").alias("doc"), "component")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        now = now.withColumn("level", F.length(F.regexp_extract(F.bin(F.xxhash64("doc")), "(0*)$", 1)).cast("int"))
+        tally = now.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"), F.max("level").alias("top"))
+        tally = tally.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.count("*").alias("k"), F.max("top").alias("top"))
+        tally = s.table(tally.where("k > 1").select("token", "open", "top"), "ngram-open")
+        open_, top = tally.agg(F.sum("open"), F.max("top")).first()
         if not open_:
-            break
-        top = now.agg(F.max("level")).first()[0]
+            return found
         level = top - 2 if level is None else level - 4
         last = open_ <= PAIRS_PER_ENTRY * total or level <= 0
+        now = s.table(now.join(C.small(tally.select("token")), "token", "left_semi"), "ngram-left")
         if last:
             pairs = _pairs(now, now, percent, "acomponent <> bcomponent and adoc < bdoc")
         else:
-            centre = now.where(F.col("level") >= level)
-            pairs = _pairs(centre, now, percent, "acomponent <> bcomponent")
-        new = C.materialize(check.links(pairs), "ngram-links")
-        if new.isEmpty():
-            if last:
-                break
-            continue
-        links = links.union(new)
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new))
+            pairs = _pairs(now.where(F.col("level") >= level), now, percent, "acomponent <> bcomponent")
+        new = s.table(_links(pairs, sigs, percent), "ngram-links")
+        s.drop(now, tally)
+        if not new.isEmpty():
+            found, old = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new), s), found
+            s.drop(new, old)
         if last:
-            break
-    return C.materialize(found, "ngram-components")
+            return found
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    described, sketch = describe(docs, n)
-    classes = described.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    classes = C.materialize(classes, "ngram-classes")
-    member = described.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("rep")), "doc_id").alias("rep"))
-    member = C.materialize(member.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep"))), "ngram-members")
-    others = member.where("rep < doc_id or n_shingles = 0 or doc_id is null")
-    away = others.where("doc_id is not null").select("doc_id").distinct()
-    alone = docs.where("doc_id is not null").join(C.small(away, others.count()), "doc_id", "left_anti")
-    sigs = C.materialize(prefixes(alone, n, percent, sketch), "ngram-prefixes")
-    found = link_components(alone, sigs, n, percent)
-    if found is None:
-        return member.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    return member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    with C.Scratch(docs.sparkSession) as s:
+        described = s.table(describe(docs, n), "ngram-sets")
+        classes = described.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+        classes = C.small(s.table(classes, "ngram-classes"))
+        member = described.join(classes, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+        member = s.table(member, "ngram-members")
+        away = s.table(member.where("(rep < doc_id or n_shingles = 0) and doc_id is not null").select("doc_id").distinct(), "ngram-away")
+        alone = docs.select("doc_id", "text").where("doc_id is not null").join(C.small(away), "doc_id", "left_anti")
+        rows, ids, total = described.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id"), F.sum("bytes")).first()
+        if ids < rows:
+            alone = alone.dropDuplicates(["doc_id"])
+        sigs = s.table(prefixes(alone, n, percent, C.sized_partitions(total or 0, PART_BYTES)), "ngram-prefixes")
+        found = C.small(link_components(sigs, percent, s))
+        done = member.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        return C.materialize(done, "ngram-components")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +260,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id. Of rows with one id all stay or go."""
     found = jaccard_components(docs, n, percent)
-    gone = C.materialize(found.where("component_id < doc_id").select("doc_id").distinct(), "ngram-gone")
-    return docs.join(C.small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    gone = C.small(C.materialize(found.where("component_id < doc_id").select("doc_id").distinct(), "ngram-gone"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 #: The same by an equi-join of all shingles and a closure of the links.

@@ -118,7 +118,7 @@ def test_jaccard_components(docs, none, n, percent):
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 3)], "a long, b long")
-    assert {r["id"]: r["component"] for r in components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert {r["id"]: r["component"] for r in components(links, C.Scratch(spark)).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
 def test_katz(docs, none):
