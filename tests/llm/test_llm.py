@@ -192,6 +192,63 @@ def test_language_id(spark, docs, none):
     assert language_id.keep_known(real).count() == real.count()
 
 
+def bayes(train, texts):
+    """Naive Bayes by the same cells, one n-gram after the other."""
+    cut = lambda x: x & 0xFFFFFFFF
+    names = sorted({la for _, la in train})
+
+    def cells(t):
+        t = f" {t.lower()} "
+        for i in range(len(t)):
+            a, b, c = (ord(t[j]) if j < len(t) else 32 for j in (i, i + 1, i + 2))
+            two = cut(a * 0x9E3779B1 + b * 0x85EBCA77)
+            three = cut(two + c * 0xC2B2AE3D)
+            yield cut((two ^ (two >> 15)) * 0x2C1B3C6D) >> 16
+            yield cut((three ^ (three >> 15)) * 0x297A2D39) >> 16
+
+    counts = {la: collections.Counter(c for t, x in train if x == la for c in cells(t)) for la in names}
+    out = []
+    for t in texts:
+        if not t or not any(ch.isalpha() for ch in t):
+            out.append(("und", 0.0))
+            continue
+        own = list(cells(t))
+        logs = [sum(math.log((counts[la][c] + 0.5) / (sum(counts[la].values()) + 0.5 * 65536)) for c in own) / len(own) * min(len(own), 200) for la in names]
+        out.append((names[logs.index(max(logs))], 1 / sum(math.exp(x - max(logs)) for x in logs)))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [256, 2])
+def test_language_id_equals_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(language_id, "LANGUAGES_AT_ONCE", at_once)
+    train = [("the cat sat on the mat and the dog", "en"), ("der hund und die katze im haus", "de"), ("le chat est sur la table", "fr"), ("el perro y la casa de la calle", "es"), ("the house of the dog", "en"), ("il cane nella casa", "it")]
+    texts = ["the dog", "die katze", "la casa", "x", "", None, "12 ½ ² Ⅷ ①", "chat chat", "ǅ", "the cat. " * 50, "la\U0001f600 mesa"]
+    model = language_id.fit(spark.createDataFrame([(i, *x) for i, x in enumerate(train)], "doc_id long, text string, lang string"))
+    rows = spark.createDataFrame([(i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = by_id(language_id.predict(rows, model, ["doc_id", "score"]))
+    for i, (name, share) in enumerate(bayes(train, texts)):
+        assert got[i]["lang_pred"] == name and got[i]["score_"] == pytest.approx(share, rel=1e-4) and got[i]["score"] == "y"
+
+
+def test_language_id_does_not_see_neighbours(spark):
+    r = random.Random(9)
+    made = C.table(spark, SF, "documents").select("doc_id", F.substring_index("text", " ", 1).alias("text"), "lang")
+    model = language_id.fit(C.table(spark, SF, "documents"))
+    seen = [sorted(map(tuple, language_id.predict(made.repartition(n).orderBy(F.rand(n)), model, ["doc_id"]).collect())) for n in (1, 3, r.randint(4, 9))]
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_kept_columns_may_have_the_results_names(spark):
+    made = C.table(spark, SF, "documents").withColumns({c: F.lit(i) for i, c in enumerate(["score", "lang_pred", "_lines", "_gone", "_gone_id", "copy", "_size", "_key", "pos", "n", "token", "a", "b", "rs", "h"])})
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, made, SF)
+        assert got.columns[: len(made.columns)] == made.columns, name
+        row = got.first()
+        assert all(row[c] == i for i, c in enumerate(["score", "lang_pred", "_lines", "_gone", "_gone_id", "copy", "_size", "_key"])), name
+
+
 def test_toxicity(spark, docs, none):
     rows = [(i, "A plain line. " * (i % 7 + 1) + ("You scum! " if i % 5 == 0 else "") + f"Word{i % 11} ends.") for i in range(400)]
     made = spark.createDataFrame(rows, "doc_id long, text string")
@@ -216,40 +273,96 @@ def test_toxicity_returns_every_sentence(spark, none):
     assert spans == {0: [("You scum", True), ("Scum again", True)], 1: [], 2: [], 3: [], 4: [("Old scum", True)]}
 
 
+def shared_out(sizes, weights, total, most=3.0):
+    """Targets by filling up, source after source."""
+    target, open_, rest = {}, dict(zip(sizes, weights)), float(total)
+    while open_:
+        by = sum(open_.values())
+        over = [k for k in open_ if rest * open_[k] / by > most * sizes[k]]
+        if not over:
+            return target | {k: rest * w / by for k, w in open_.items()}
+        for k in over:
+            target[k] = most * sizes[k]
+            rest -= target[k]
+            del open_[k]
+    return target
+
+
 def test_mixing(spark, docs, none):
     r = random.Random(4)
-    rows = [(i, "w " * int(r.paretovariate(1) * 5), r.choice(["a", "b", "c", None] + ["d"] * 4)) for i in range(3000)]
+    rows = [(i, "w " * int(r.paretovariate(1) * 5), r.choice(["a", "b", "c", None] + ["d"] * 4)) for i in range(3000)] + [(5000, " ", "e"), (5001, None, "e")]
     made = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(made).select("doc_id", "source", "_size", "_target", "_copies").collect()
-    again = mixing.mix(made.repartition(5)).select("doc_id", "source", "_size", "_target", "_copies").collect()
-    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == 3000
-    sizes = {s: sum(x["_size"] for x in got if x["source"] == s) for s in ("a", "b", "c", "d", None)}
-    assert all(x["_size"] == len(rows[x["doc_id"]][1].split()) and 0 <= x["_copies"] <= 3 for x in got)
-    for s, target in zip(("a", "b", "c", "d", None), mixing.capped_targets(list(sizes.values()), [1, 2, 3, 1, 2], sum(sizes.values())), strict=True):
-        taken = sum(x["_size"] * x["_copies"] for x in got if x["source"] == s)
-        assert abs(taken - target) <= 0.01 * target + 10
-    assert mixing.mix(none).count() == 0
-    assert mixing.mix(docs).count() == docs.count()
-
-
-def test_rounding_keeps_to_the_solved_rate():
+    got = mixing.mix(made).collect()
+    again = mixing.mix(made.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    names = ["a", "b", "c", "d", "e", None]
+    target = shared_out({s: sizes[s] for s in names}, [1, 2, 3, 1, 2, 3], sum(sizes.values()))
+    taken = collections.Counter()
+    for x in got:
+        taken[x["source"]] += x["_size"] * x["_copies"]
+        assert x["_size"] == len((x["text"] or "").split()) and x["_source_size"] == sizes[x["source"]] and x["_target"] == pytest.approx(target[x["source"]])
+        assert math.floor(x["_rate"] + 1e-9) <= x["_copies"] <= math.floor(x["_rate"] + 1e-9) + 1 <= 4 and x["_copies"] <= 3
+    assert all(abs(taken[s] - target[s]) <= 12 for s in names)
+    rates = {(x["source"], x["_size"].bit_length()): x["_rate"] for x in got}
+    assert len({v for (s, _), v in rates.items() if s == "d"}) > 1  # documents of a source have rates of their own
+    assert sum(x["_size"] * x["_rate"] for x in got if x["source"] == "a") == pytest.approx(target["a"])
+    assert mixing.mix(none).count() == 0 and mixing.mix(docs).count() == docs.count()
+
+
+def test_mixing_has_many_sources_and_clashing_names(spark):
+    rows = [(i, "w " * (i % 37), f"s{i % 700:04}", 1, 2, 3, "x") for i in range(4000)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, _key int, copy int, _copies string")
+    got = mixing.mix(made)
+    sizes = collections.Counter()
+    for _, t, s, *_ in rows:
+        sizes[s] += len(t.split())
+    names = sorted(sizes)
+    target = shared_out({s: sizes[s] for s in names}, [1 + i % 3 for i in range(700)], sum(sizes.values()))
+    assert got.columns[:7] == made.columns
+    for x in got.collect():
+        assert x["_target"] == pytest.approx(target[x["source"]]) and (x["_size"], x["_copies"], x["copy"]) == (1, "x", 3)
+    assert mixing.mixed(made).columns == [*made.columns, "copy_"]
+
+
+def test_copies_follow_the_multipliers(spark, monkeypatch):
+    made = spark.createDataFrame([(i, "w " * (1 + i % 60), "ab"[i % 7 < 2]) for i in range(2000)], "doc_id long, text string, source string")
+    copies = lambda: [r["_copies"] for r in mixing.mix(made).orderBy("doc_id").collect()]
+    before = copies()
+    monkeypatch.setattr(mixing, "balance", lambda *_: np.linspace(0, 2, mixing.CLASSES))
+    assert copies() != before
+
+
+def test_balance_solves_the_dual(spark):
+    """Against plain iterative scaling of both margins, with classes that can hold exactly."""
+    tokens = np.zeros((2, mixing.CLASSES), np.int64)
+    tokens[:, :3] = [[10, 30, 40], [20, 40, 10]]
+    target, goal = [90.0, 60.0], [60.0, 50.0, 40.0]
+    table = spark.createDataFrame([(t.tolist(), int(t.sum()), g) for t, g in zip(tokens, target)], "tokens array<long>, size long, target double")
+    mu = mixing.balance(table, 9.0, 1e-9, goal + [0.0] * (mixing.CLASSES - 3))
+    rate, _ = mixing.solve(tokens.astype(float), np.array(target), mu, 9.0)
+    x = tokens[:, :3].astype(float)
+    for _ in range(2000):
+        x *= (np.array(target) / x.sum(1))[:, None]
+        x *= np.array(goal) / x.sum(0)
+    assert np.allclose((tokens * rate)[:, :3], x, rtol=1e-5)
+
+
+def test_solve_keeps_rates_under_the_most():
+    tokens = np.zeros((2, mixing.CLASSES))
+    tokens[:, :2] = [[10, 90], [50, 50]]
+    rate, free = mixing.solve(tokens, np.array([250.0, 60.0]), np.array([2.0, 0.0] + [0.0] * 22), 3.0)
+    assert np.allclose((tokens * rate).sum(1), [250, 60]) and rate.max() == 3.0 and not free[0, 0] and free[1].all()
+
+
+def test_rounding_carries_to_smaller_documents():
     import pyarrow as pa
 
-    t = pa.table({"_key": ["a", "a"], "_size": [1000, 10], "_c": [1, 10], "_target": [440.0] * 2, "_rate": [0.4] * 2})
-    got = mixing._rounding(t, 3.0)
-    assert all(0 <= b and b + p <= 1 for b, p in zip(got["_base"].to_pylist(), got["_part"].to_pylist(), strict=True))
-    assert got["_base"].to_pylist() == [0, 1]
-
-
-def test_balance_of_two_margins(spark):
-    cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 20), ("b", "y", 40)], "source string, lang string, tokens long")
-    lam = mixing.balance(cells, ["source", "lang"], {"source": {"a": 50.0, "b": 50.0}, "lang": {"x": 60.0, "y": 40.0}})
-    got = {(s, la): t * math.exp(lam["source"][s] + lam["lang"][la]) for s, la, t in [tuple(r) for r in cells.collect()]}
-    assert got["a", "x"] + got["a", "y"] == pytest.approx(50) and got["a", "x"] + got["b", "x"] == pytest.approx(60)
-
-
-def test_capped_targets():
-    assert mixing.capped_targets([10, 1000, 0], [1, 1, 1], 1010) == [30, 980, 0]
+    t = pa.table({"key": ["a"] * 31, "class": pa.array([9] + [3] * 30, pa.int32()), "bin": pa.array(range(31), pa.int32()), "tokens": [1000] + [20] * 30, "rate": [0.3] * 31})
+    got = mixing.rounded(t, 3.0).to_pylist()
+    assert [(r["class"], r["base"], r["below"]) for r in got] == [(9, 0, 0), (3, 0, 25)]  # 0.3 of 1600 words, in documents of 20
 
 
 def test_line_dedup(spark, docs, none):
