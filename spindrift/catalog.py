@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .check import difference
+from .check import difference, random_sql
 from .functions.predicates import Between, Cmp, In, IsNull, Like, Not, Predicate
 from .operators.engine import AS_WRITTEN, Options, run
 from .plans.graph import Query
+from .plans.pgplan import from_explain
 from .plans.plan import Join, Scan, execute
 from .plans.sql import parse
 from .plans.stats import sample
-from .sources.tables import Tables, literal, read_parquet
+from .sources.tables import Folder, Tables, csv_to_parquet, literal, read_csv, read_parquet, rows, schema
 
 Build = Callable[[SparkSession, str], DataFrame]
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -34,8 +38,17 @@ def _query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     return add
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: read_parquet(spark, sf_dir, n) for n in NAMES}
+def _tables(spark: SparkSession, sf_dir: str) -> Folder:
+    return Folder(spark, sf_dir, NAMES)
+
+
+def _folder(spark: SparkSession, tag: str) -> str:
+    """A new folder for a query's own files, deleted when the driver ends; it is shared where spark.checkpoint.dir is set."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spindrift-")
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def _filter(name: str, table: str, columns: list[str], where: Predicate, sql: str) -> None:
@@ -160,18 +173,121 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sample(part), part.schema)
 
 
-def _same(name: str, options: list[Options]) -> None:
-    """Rows that differ between ways to run one query; there must be none."""
+def _same(name: str, options: list[Options], queries: list[str]) -> None:
+    """Rows that differ between ways to run queries; there must be none."""
 
     @_query(name, "SELECT CAST(0 AS BIGINT) AS differing")
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = [run(parse(ORACLE_SQL["join_star_5"], _tables(spark, sf_dir), keys=KEYS), o) for o in options]
-        found = difference(made[0], made[1])
-        for other in made[2:]:
-            found = found.union(difference(made[0], other))
-        return found.agg(F.count("*").alias("differing"))
+        parts = []
+        for q in queries:
+            made = [run(parse(ORACLE_SQL[q], _tables(spark, sf_dir), keys=KEYS), o) for o in options]
+            parts += [difference(made[0], other).agg(F.count("*").alias("n")) for other in made[1:]]
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.union(p)
+        return found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("differing"))
+
+
+#: The select-project-join queries that the planner runs.
+JOINS = ["join_pk_fk", "join_dup_keys", "join_string_key", "join_chain_4", "join_star_5", "join_snowflake_8", "join_class_closure", "join_composite_key", "self_join_alias", "singleton_elim", "cross_join", "semi_join_elim", "small_key_pushdown", "empty_join", "min_agg", "count_star"]
+_same("staged_vs_direct", [Options(), Options(staged=True)], JOINS)
+_same("order_invariance", [Options(), Options(order=False)], JOINS)
+_same("toggle_invariance", [AS_WRITTEN, Options()], JOINS)
+_same("compress_invariance", [AS_WRITTEN, Options(compress=True)], JOINS)
+
+_spj("key_range", "SELECT l.l_orderkey, l.l_linenumber, o.o_totalprice FROM lineitem l, orders o WHERE l.l_orderkey = o.o_orderkey AND o.o_orderkey BETWEEN 1000 AND 1400 AND o.o_orderstatus = 'F'")
+_spj("join_closed_cycle", "SELECT s.s_suppkey, c.c_custkey, n.n_name FROM supplier s, customer c, nation n, region r WHERE s.s_nationkey = n.n_nationkey AND c.c_nationkey = n.n_nationkey AND s.s_nationkey = c.c_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_name >= 'ASIA' AND s.s_suppkey < 20 AND c.c_custkey <= 300")
+_spj("join_many_12", "SELECT MIN(n1.n_name) AS a, MIN(n2.n_name) AS b, MIN(p.p_name) AS p, MIN(r2.r_name) AS r FROM lineitem l, part p, supplier s, orders o, customer c, nation n1, nation n2, region r1, region r2, supplier s2, customer c2, orders o2 WHERE l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey AND l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND s.s_nationkey = n1.n_nationkey AND c.c_nationkey = n2.n_nationkey AND n1.n_regionkey = r1.r_regionkey AND n2.n_regionkey = r2.r_regionkey AND s2.s_nationkey = n1.n_nationkey AND c2.c_nationkey = n2.n_nationkey AND o2.o_custkey = c2.c_custkey AND p.p_size = 10 AND r1.r_name = 'ASIA' AND s2.s_suppkey < 30 AND o2.o_orderpriority = '1-URGENT' AND c.c_mktsegment = 'BUILDING'")
+
+
+@_query("sum_agg", "SELECT SUM(o.o_custkey) AS s, COUNT(c.c_name) AS n, MAX(c.c_name) AS m FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND c.c_nationkey < 5")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(parse(ORACLE_SQL["sum_agg"], _tables(spark, sf_dir), keys=KEYS), Options(compress=True)).withColumn("s", F.col("s").cast("decimal(38,0)"))
+
+
+@_query("columns_named_like_ours", "SELECT a.m AS m, b._copy AS c, b._k0 AS k FROM (SELECT p_partkey AS m, p_size AS _p0 FROM part WHERE p_partkey < 100) a JOIN (SELECT s_suppkey AS _copy, s_nationkey AS _k0 FROM supplier) b ON a._p0 = b._k0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload columns with the names that the planner uses itself, expanded from counts."""
+    a = Tables.of(spark, sf_dir, "part").get("part", Cmp("p_partkey", "<", 100)).select(F.col("p_partkey").alias("m"), F.col("p_size").alias("_p0"))
+    b = read_parquet(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_copy"), F.col("s_nationkey").alias("_k0"))
+    q = Query({"a": a, "b": b}, [(("a", "_p0"), ("b", "_k0"))], outputs=[(("a", "m"), "m"), (("b", "_copy"), "c"), (("b", "_k0"), "k")])
+    return run(q, Options(compress=True))
+
+
+@_query("raw_columns", "SELECT p.p_name AS min_name, l.l_linenumber AS min_line FROM part p, lineitem l WHERE p.p_partkey = l.l_partkey AND p.p_size = 10")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The argument columns of a query's aggregates, as an engine without aggregates gives them."""
+    return run(parse(ORACLE_SQL["min_agg"], _tables(spark, sf_dir), raw_columns=True, keys=KEYS))
+
+
+@_query("imported_plan", "SELECT n1.n_name AS a, n2.n_name AS b, s.s_name AS s FROM nation n1, nation n2, supplier s WHERE n1.n_regionkey = n2.n_regionkey AND s.s_nationkey = n1.n_nationkey AND n2.n_name <> 'NATION_3' AND s.s_suppkey < 50")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A printed plan with a repeated table, casts in its conditions and a hash on the left."""
+    scan = lambda table, alias: {"Node Type": "Seq Scan", "Relation Name": table, "Alias": alias}
+    hash_ = lambda node: {"Node Type": "Hash", "Plans": [node]}
+    inner = {"Node Type": "Hash Join", "Hash Cond": "((n1.n_regionkey)::bigint = (n2.n_regionkey)::bigint)", "Plans": [scan("nation", "n1"), hash_(scan("nation", "n2"))]}
+    root = {"Node Type": "Gather", "Plans": [{"Node Type": "Hash Join", "Hash Cond": "(s.s_nationkey = n1.n_nationkey)", "Plans": [hash_(scan("supplier", "s")), inner]}]}
+    plan, inputs = from_explain(json.dumps([{"Plan": root}]), parse(ORACLE_SQL["imported_plan"], _tables(spark, sf_dir)))
+    return execute(plan, inputs).toDF("a", "b", "s")
+
+
+def _as_csv(spark: SparkSession, sf_dir: str, tag: str, **options: str) -> str:
+    """Part with awkward names, written as CSV."""
+    path = _folder(spark, tag)
+    name = F.when(F.col("p_size") % 5 == 0, F.lit(None)).when(F.col("p_size") % 5 == 1, F.concat(F.lit('say "'), "p_name", F.lit('", twice'))).when(F.col("p_size") % 5 == 2, F.concat("p_name", F.lit("\nnext\\line"))).otherwise(F.col("p_name"))
+    read_parquet(spark, sf_dir, "part").select("p_partkey", name.alias("p_name"), "p_size").write.option("quoteAll", "false").options(**options).csv(path)
+    return path
+
+
+CSV_SQL = """SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'say "' || p_name || '", twice' WHEN 2 THEN p_name || chr(10) || 'next\\line' ELSE p_name END AS p_name FROM part WHERE p_size > 3"""
+CSV_COLUMNS = schema([("p_partkey", "int64"), ("p_name", "varchar"), ("p_size", "int32")])
+
+
+@_query("csv_scan", CSV_SQL.replace("\\\\", "\\"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields with quotes, separators, newlines and backslashes; empty for null; a filter."""
+    return read_csv(spark, _as_csv(spark, sf_dir, "csv", escape="\\", quote='"'), CSV_COLUMNS, where=Cmp("p_size", ">", 3))
+
+
+@_query("csv_options", CSV_SQL.replace("\\\\", "\\"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header, another separator and doubled quotes."""
+    return read_csv(spark, _as_csv(spark, sf_dir, "csv", escape='"', sep="|", header="true"), CSV_COLUMNS, where=Cmp("p_size", ">", 3), header=True, sep="|", escape='"')
+
+
+@_query("csv_quotes_anywhere", "SELECT p_partkey, p_name || ',' || p_type || ', \"' || chr(13) AS t, nullif(p_size, 10) AS p_size FROM part")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes that open and close inside fields, escaped quotes, a separator at the end of each record."""
+    path = _folder(spark, "csv")
+    size = F.when(F.col("p_size") != 10, F.col("p_size").cast("string")).otherwise("")
+    lines = read_parquet(spark, sf_dir, "part").select(F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat("p_name", F.lit('","'), "p_type", F.lit('", \\""'), F.lit('"\r"')), size, F.lit("")).alias("value"))
+    lines.write.text(path)
+    return read_csv(spark, path, schema([("p_partkey", "int64"), ("t", "varchar"), ("p_size", "int32")]), trailing_separator=True, quotes="anywhere")
+
+
+@_query("csv_converted", CSV_SQL.replace("\\\\", "\\"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV to Parquet, and read from there."""
+    out = _folder(spark, "tables")
+    csv_to_parquet(spark, {"part": (_as_csv(spark, sf_dir, "csv", escape="\\"), CSV_COLUMNS)}, out)
+    return Tables.of(spark, out, "part").get("part", Cmp("p_size", ">", 3))
+
+
+@_query("kept_filter", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_brand = 'Brand#3' AND b.p_brand = 'Brand#3'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filtered table, kept under its predicate, used twice."""
+    t = Tables.of(spark, sf_dir, "part")
+    once, again = (t.get("part", Cmp("p_brand", "=", "Brand#3"), keep=True) for _ in range(2))
+    a = once.select(F.col("p_partkey").alias("x"), "p_type", "p_size")
+    return a.join(again.select(F.col("p_partkey").alias("y"), "p_type", "p_size"), ["p_type", "p_size"]).select("x", "y")
+
+
+@_query("rows_and_back", "SELECT n_nationkey AS c0, n_name AS c1, nullif(n_regionkey, 2) AS c2 FROM nation")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small table as rows on the driver, and as columns again."""
+    n = read_parquet(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int"), "n_name", F.nullif(F.col("n_regionkey").cast("int"), F.lit(2)))
+    return literal(spark, [tuple(r) for r in rows(n)], ["int32", "varchar", "int32"])
 
 
-_same("staged_vs_direct", [Options(), Options(staged=True)])
-_same("order_invariance", [Options(), Options(order=False)])
-_same("toggle_invariance", [AS_WRITTEN, Options(), Options(compress=True)])
+for _seed in range(100, 108):
+    _spj(f"random_{_seed}", random_sql(_seed))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
@@ -60,6 +61,6 @@ def random_sql(seed: int) -> str:
     return f"SELECT {select} FROM {', '.join(sorted(used))} WHERE {' AND '.join(joins + where)}"
 
 
-def random_query(seed: int, tables: dict[str, DataFrame]) -> tuple[str, Query]:
+def random_query(seed: int, tables: Mapping[str, DataFrame]) -> tuple[str, Query]:
     text = random_sql(seed)
     return text, parse(text, tables)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -18,6 +19,10 @@ class Predicate:
     def column(self, of: Columns = F.col) -> Column:
         raise NotImplementedError
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        """The value for a row on the driver, None for unknown. A literal of another type than its column may raise TypeError."""
+        raise NotImplementedError
+
     def columns(self) -> set[str]:
         return {self.name} if hasattr(self, "name") else set()
 
@@ -31,6 +36,12 @@ class Predicate:
         return Not(self)
 
 
+def _compared(how: Callable, a: Literal, b: Literal) -> bool:
+    if isinstance(a, str) != isinstance(b, str):
+        raise TypeError(f"{a!r} and {b!r} can't be compared")
+    return how(a, b)
+
+
 def _quoted(v: Literal) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
@@ -44,6 +55,10 @@ class Cmp(Predicate):
     def column(self, of: Columns = F.col) -> Column:
         return COMPARE[self.op](of(self.name), F.lit(self.value))
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        v = row[self.name]
+        return None if v is None else _compared(COMPARE[self.op], v, self.value)
+
     def __str__(self) -> str:
         return f"{self.name} {self.op} {_quoted(self.value)}"
 
@@ -60,6 +75,13 @@ class Like(Predicate):
         found = of(self.name).like(self.pattern.replace("\\", "\\\\"))
         return ~found if self.negated else found
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        v = row[self.name]
+        if v is None:
+            return None
+        wild = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in self.pattern)
+        return (re.fullmatch(wild, v, re.DOTALL) is not None) != self.negated
+
     def __str__(self) -> str:
         return f"{self.name} {'NOT ' * self.negated}LIKE {_quoted(self.pattern)}"
 
@@ -73,6 +95,10 @@ class Between(Predicate):
     def column(self, of: Columns = F.col) -> Column:
         return of(self.name).between(self.low, self.high)
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        v = row[self.name]
+        return None if v is None else _compared(operator.ge, v, self.low) and _compared(operator.le, v, self.high)
+
     def __str__(self) -> str:
         return f"{self.name} BETWEEN {_quoted(self.low)} AND {_quoted(self.high)}"
 
@@ -85,6 +111,10 @@ class In(Predicate):
     def column(self, of: Columns = F.col) -> Column:
         return of(self.name).isin(*self.values)
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        v = row[self.name]
+        return None if v is None else any(_compared(operator.eq, v, x) for x in self.values)
+
     def __str__(self) -> str:
         return f"{self.name} IN ({', '.join(map(_quoted, self.values))})"
 
@@ -97,6 +127,9 @@ class IsNull(Predicate):
     def column(self, of: Columns = F.col) -> Column:
         return of(self.name).isNotNull() if self.negated else of(self.name).isNull()
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        return (row[self.name] is None) != self.negated
+
     def __str__(self) -> str:
         return f"{self.name} IS {'NOT ' * self.negated}NULL"
 
@@ -122,6 +155,10 @@ class And(_Many):
             out = out & p.column(of)
         return out
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        found = [p.holds(row) for p in self.parts]
+        return False if False in found else None if None in found else True
+
 
 class Or(_Many):
     word = "OR"
@@ -132,6 +169,10 @@ class Or(_Many):
             out = out | p.column(of)
         return out
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        found = [p.holds(row) for p in self.parts]
+        return True if True in found else None if None in found else False
+
 
 @dataclass(frozen=True)
 class Not(Predicate):
@@ -140,6 +181,10 @@ class Not(Predicate):
     def column(self, of: Columns = F.col) -> Column:
         return ~self.part.column(of)
 
+    def holds(self, row: Mapping[str, Literal | None]) -> bool | None:
+        found = self.part.holds(row)
+        return None if found is None else not found
+
     def columns(self) -> set[str]:
         return self.part.columns()
 

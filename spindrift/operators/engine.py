@@ -1,15 +1,29 @@
-"""Queries to DataFrames: closure, rewrites and join order, decided while the DataFrame is built; Catalyst executes."""
+"""Queries to DataFrames: closure, rewrites and join order, decided while the DataFrame is built; Catalyst executes.
+
+Decisions rest on facts that stats.py keeps for the session: counts, small samples, and the rows of filtered small tables.
+Only relations whose tables have at most Options.probe_rows rows are asked for more than that.
+"""
 
 from __future__ import annotations
 
+import weakref
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicates import Cmp, Predicate
 from ..plans.graph import Attr, Query
 from ..plans.order import Tree, best_order
-from ..plans.stats import FEW, estimate, few_rows, is_unique
+from ..plans.stats import FEW, KEPT_ROWS, Few, counts, estimate, few, is_unique, key_of, key_range, matching
+
+#: Rows that a relation is read for whole, to find one-row tables and small key sets.
+FETCH = 4 * FEW
+#: Copies of a row that one array of the expansion stands for.
+CHUNK = 10_000
+#: A range of keys goes to relations that are so many times larger.
+RANGE_GAIN = 10
 
 
 @dataclass(frozen=True)
@@ -19,14 +33,15 @@ class Options:
     order: bool = True
     singletons: bool = True
     small_keys: bool = True
+    key_ranges: bool = True
     semi_joins: bool = True
     compress: bool = False
     staged: bool = False
-    #: Relations estimated over so many rows aren't probed for singletons and small key sets.
+    #: Tables of so many rows are probed: read for few rows, ranges of keys, repeated keys.
     probe_rows: int = 100_000
 
 
-AS_WRITTEN = Options(order=False, singletons=False, small_keys=False, semi_joins=False)
+AS_WRITTEN = Options(order=False, singletons=False, small_keys=False, key_ranges=False, semi_joins=False)
 
 
 @dataclass
@@ -34,124 +49,178 @@ class _Relation:
     alias: str
     df: DataFrame
     keys: set[int]  # classes; column _k{class}
-    payload: dict[str, str]  # column -> name in df
-    rows: float = 0.0
+    payload: list[Attr]
+    rows: float = 0.0  # estimated
+    table_rows: float = 0.0
+    table: tuple = ()  # what stats.py keeps its facts by
+    said: tuple[str, ...] = ()  # predicates so far
     unique: set[int] = field(default_factory=set)
+    one_row: bool = False  # an equality on a declared key
+    local: list[dict] | None = None  # all rows, if the table is tiny
+
+    def keep(self, condition, text: str, column: str, holds: Callable[[object], bool]) -> None:
+        self.df = self.df.where(condition)
+        self.said = (*self.said, text)
+        if self.local is not None:
+            self.local = [r for r in self.local if holds(r[column])]
+
+    @property
+    def fact(self) -> tuple:
+        return *self.table, *self.df.columns, *self.said
 
 
-def prepare(query: Query, options: Options) -> tuple[dict[str, _Relation], dict[Attr, int], list[set[str]]]:
-    """Filtered, pruned relations with a column for each join class they are in."""
-    classes = [c for c in query.classes() if len(c) > 1]
-    class_of = {a: i for i, c in enumerate(classes) for a in c}
-    members = [{a for a, _ in c} for c in classes]
-    out = {}
-    for alias, base in query.relations.items():
-        own = [(i, col) for (a, col), i in sorted(class_of.items()) if a == alias]
+class _Plan:
+    """A query's filtered, pruned relations, with a column for each join class they are in."""
+
+    def __init__(self, query: Query, options: Options):
+        self.query, self.options = query, options
+        classes = [c for c in query.classes() if len(c) > 1]
+        self.class_of = {a: i for i, c in enumerate(classes) for a in c}
+        members = [{a for a, _ in c} for c in classes]
+        self.name = {a: f"_p{i}" for i, a in enumerate(query.needed())}
+        self.constants: dict[str, object] = {}  # column of the joined rows -> value
+        self.empty = False
+        probing = options.order or options.singletons or options.small_keys or options.key_ranges or options.semi_joins
+        rows = dict(zip(query.relations, counts(query.relations.values()) if probing else [0.0] * len(query.relations), strict=True))
+        self.relations = {alias: self._relation(alias, base, rows[alias], members, probing) for alias, base in query.relations.items()}
+
+    def _relation(self, alias: str, base: DataFrame, rows: float, members: list[set[str]], probing: bool) -> _Relation:
         by: dict[int, list[str]] = {}
-        for i, col in own:
-            by.setdefault(i, []).append(col)
-        condition = None
-        for p in query.filters.get(alias, []):
-            condition = p.column() if condition is None else condition & p.column()
-        for cols in by.values():
-            for other in cols[1:]:  # two columns of one class in one relation: a local filter
-                same = F.col(cols[0]) == F.col(other)
-                condition = same if condition is None else condition & same
-        rows = estimate(base, condition) if options.order else 0.0
-        df = base if condition is None else base.where(condition)
+        for (a, col), i in sorted(self.class_of.items()):
+            if a == alias:
+                by.setdefault(i, []).append(col)
+        predicates: list[Predicate] = self.query.filters.get(alias, [])
+        same = [(cols[0], other) for cols in by.values() for other in cols[1:]]  # two columns of one class: a local filter
+        df = base
+        for p in predicates:
+            df = df.where(p.column())
+        for a, b in same:
+            df = df.where(F.col(a) == F.col(b))
         live = {i: cols for i, cols in by.items() if len(members[i]) > 1}
         for cols in live.values():
             df = df.where(F.col(cols[0]).isNotNull())
-        payload = {c: f"{alias}__{c}" for a, c in query.needed() if a == alias and class_of.get((a, c)) not in live}
-        df = df.select(*(F.col(cols[0]).alias(f"_k{i}") for i, cols in sorted(live.items())), *(F.col(c).alias(n) for c, n in payload.items()))
-        declared = query.keys.get(alias, set())
-        out[alias] = _Relation(alias, df, set(live), payload, rows, {i for i, cols in live.items() if set(cols) & declared})
-    return out, class_of, members
+        payload = [(a, c) for a, c in self.query.needed() if a == alias and self.class_of.get((a, c)) not in live]
+        df = df.select(*(F.col(cols[0]).alias(f"_k{i}") for i, cols in sorted(live.items())), *(F.col(c).alias(self.name[a, c]) for a, c in payload))
+        declared = self.query.keys.get(alias, set())
+        said = (*map(str, predicates), *(f"{a} = {b}" for a, b in same), *(f"{c} AS {n}" for n, c in [(f"_k{i}", cols[0]) for i, cols in sorted(live.items())] + [(self.name[a, c], c) for a, c in payload]))
+        found = _Relation(alias, df, set(live), payload, rows, rows, key_of(base) if probing else (), said)
+        found.unique = {i for i, cols in live.items() if set(cols) & declared}
+        found.one_row = any(isinstance(p, Cmp) and p.op == "=" and p.name in declared for p in predicates)
+        if probing:
+            found.rows = min(1.0, rows) if found.one_row else estimate(base, rows, predicates, same)
+            if rows <= KEPT_ROWS and rows <= self.options.probe_rows:
+                names = {f"_k{i}": cols[0] for i, cols in live.items()} | {self.name[a, c]: c for a, c in payload}
+                found.local = matching(base, rows, predicates, same, [cols[0] for cols in live.values()], names)
+                found.rows = found.rows if found.local is None else float(len(found.local))
+        return found
 
+    def small(self, r: _Relation) -> bool:
+        return r.one_row or r.table_rows <= self.options.probe_rows
 
-def run(query: Query, options: Options = Options()) -> DataFrame:
-    relations, class_of, _ = prepare(query, options)
-    spark = next(iter(query.relations.values())).sparkSession
-    constants: dict[str, object] = {}  # column in the joined rows -> value
-    empty = False
+    def fetched(self, r: _Relation):
+        """r's rows if they are few and its table is small."""
+        if r.local is not None:
+            return Few(r.local) if len(r.local) <= FETCH else None
+        return few(r.df, r.fact, FETCH) if self.small(r) and r.rows <= FETCH else None
 
-    def drop_class(i: int) -> None:
-        for r in relations.values():
-            if i in r.keys:
-                r.keys.discard(i)
-                r.df = r.df.drop(f"_k{i}")
-
-    if options.singletons and len(relations) > 1:
-        waiting = sorted(relations, key=lambda a: relations[a].rows)
-        for alias in waiting:
-            r = relations[alias]
-            if len(relations) == 1 or r.rows > options.probe_rows:
-                continue
-            rows = few_rows(r.df, 1)
-            if rows is None:
-                continue
-            if not rows:
-                empty = True
-                break
-            row = rows[0].asDict()
-            del relations[alias]
-            constants |= {n: row[n] for n in r.payload.values()}
-            for i in sorted(r.keys):
-                value = row[f"_k{i}"]
-                constants[f"_k{i}"] = value
-                for other in relations.values():
-                    if i in other.keys:
-                        other.df = other.df.where(F.col(f"_k{i}") == F.lit(value))
-                        other.rows = min(other.rows, max(1.0, other.rows / 10))
-                drop_class(i)
-    if options.small_keys and not empty:
-        for r in list(relations.values()):
-            if r.rows > options.probe_rows:
-                continue
-            for i in sorted(r.keys):
-                if not any(i in o.keys for o in relations.values() if o is not r and o.rows > FEW):
+    def singletons(self) -> None:
+        """One-row relations become constants of their classes, and filters of the other relations."""
+        again = True
+        while again and len(self.relations) > 1 and not self.empty:
+            again = False
+            for alias in sorted(self.relations, key=lambda a: (self.relations[a].rows, a)):
+                r = self.relations[alias]
+                found = self.fetched(r)
+                if found is None or len(found.rows) > 1 or len(self.relations) == 1:
                     continue
-                values = few_rows(r.df.select(f"_k{i}").distinct(), FEW)
-                if values is None:
+                if not found.rows:
+                    self.empty = True
+                    return
+                (row,) = found.rows
+                del self.relations[alias]
+                self.constants |= {self.name[a]: row[self.name[a]] for a in r.payload}
+                for i in sorted(r.keys):
+                    column, value = f"_k{i}", row[f"_k{i}"]
+                    self.constants[column] = value
+                    for other in self.relations.values():
+                        if i in other.keys:
+                            other.keep(F.col(column) == F.lit(value), f"{column} = {value!r}", column, lambda v, value=value: v == value)
+                            other.one_row |= i in other.unique
+                            other.rows = float(len(other.local)) if other.local is not None else min(other.rows, 1.0 if i in other.unique else max(1.0, other.rows / 10))
+                            other.keys.discard(i)
+                            other.df = other.df.drop(column)
+                again = True
+
+    def small_keys(self) -> None:
+        """Up to FEW keys of a relation become an IN filter of the others of the class; a range, if there are more."""
+        for r in list(self.relations.values()):
+            for i in sorted(r.keys):
+                column = f"_k{i}"
+                others = [o for o in self.relations.values() if o is not r and i in o.keys and o.rows > FEW]
+                found = self.fetched(r) if others else None
+                values = found.values(column) if found else None
+                if values is not None and len(values) <= FEW:
+                    if self.options.small_keys:
+                        for o in others:
+                            o.keep(F.col(column).isin(values), f"{column} IN {values!r}", column, set(values).__contains__)
                     continue
-                for other in relations.values():
-                    if other is not r and i in other.keys:
-                        other.df = other.df.where(F.col(f"_k{i}").isin([v[0] for v in values]))
-    semi: list[tuple[int, DataFrame]] = []
-    if options.semi_joins and not empty:
-        for alias in sorted(relations, key=lambda a: -relations[a].rows):
-            r = relations[alias]
-            if r.payload or len(r.keys) != 1 or len(relations) == 1:
+                others = [o for o in others if o.rows >= RANGE_GAIN * r.rows]
+                if others and self.options.key_ranges and self.small(r) and r.rows < r.table_rows / 2:
+                    low, high = key_range(r.df, column, r.fact)
+                    if low is None:
+                        self.empty = True
+                        return
+                    for o in others:
+                        o.keep(F.col(column).between(low, high), f"{column} BETWEEN {low!r} AND {high!r}", column, lambda v, low=low, high=high: low <= v <= high)
+
+    def semi_joins(self) -> None:
+        """A relation that only gives a key, each once (or to minimums), filters the smallest other scan of the class; the
+        joins pass it on."""
+        for alias in sorted(self.relations, key=lambda a: (-self.relations[a].rows, a)):
+            r = self.relations[alias]
+            if r.payload or len(r.keys) != 1 or len(self.relations) == 1:
                 continue
             (i,) = r.keys
-            if not any(i in o.keys for o in relations.values() if o is not r):
-                continue
-            if query.duplicate_insensitive() or i in r.unique or (r.rows <= options.probe_rows and is_unique(r.df, f"_k{i}")):
-                semi.append((i, r.df))
-                del relations[alias]
-    for i, keys in semi:  # filters the smallest scan of the class; the joins pass it on
-        target = min((r for r in relations.values() if i in r.keys), key=lambda r: r.rows)
-        if len(keys.columns) == 1:
-            target.df = target.df.join(keys, f"_k{i}", "left_semi")
+            others = [o for o in self.relations.values() if o is not r and i in o.keys]
+            if others and (self.query.duplicate_insensitive() or i in r.unique or (self.small(r) and is_unique(r.df, f"_k{i}", r.fact))):
+                target = min(others, key=lambda o: (o.rows, o.alias))
+                target.df = target.df.join(r.df, f"_k{i}", "left_semi")
+                target.said, target.local = (*target.said, f"IN {r.fact!r}"), None
+                target.rows = min(target.rows, max(1.0, target.rows * r.rows / max(r.table_rows, 1.0)))
+                del self.relations[alias]
+
+
+def run(query: Query, options: Options = Options()) -> DataFrame:
+    plan = _Plan(query, options)
+    relations = plan.relations
+    if options.singletons:
+        plan.singletons()
+    if (options.small_keys or options.key_ranges) and not plan.empty:
+        plan.small_keys()
+    if options.semi_joins and not plan.empty:
+        plan.semi_joins()
+    many: list[str] = []
     if options.compress and not query.duplicate_insensitive():
         for r in relations.values():
-            r.df = r.df.groupBy(*r.df.columns).agg(F.count("*").alias(f"{r.alias}__m")) if r.df.columns else r.df.agg(F.count("*").alias(f"{r.alias}__m"))
-    joined = _staged(relations, options) if options.staged and len(relations) > 1 else _joined(relations, options)
-    if empty:
+            many.append(f"_m{len(many)}")
+            count = F.count("*").alias(many[-1])
+            r.df = r.df.groupBy(*r.df.columns).agg(count) if r.df.columns else r.df.agg(count)
+    kept: list[DataFrame] = []
+    joined = _staged(relations, options, kept) if options.staged and len(relations) > 1 else _joined(relations, options)
+    if plan.empty:
         joined = joined.limit(0)
-    for n, v in constants.items():
+    for n, v in plan.constants.items():
         if n not in joined.columns:
             joined = joined.withColumn(n, F.lit(v))
-    many = [c for c in joined.columns if c.endswith("__m")]
     weight = F.lit(1).cast("long")
     for m in many:
         weight = weight * F.coalesce(F.col(m), F.lit(0))
 
     def place(a: Attr):
         declared = query.relations[a[0]].schema[a[1]].dataType
-        i = class_of.get(a)
-        name = f"_k{i}" if i is not None and f"_k{i}" in joined.columns else f"{a[0]}__{a[1]}"
-        return F.lit(None).cast(declared) if empty and name not in joined.columns else F.col(name).cast(declared)
+        i = plan.class_of.get(a)
+        name = f"_k{i}" if i is not None and f"_k{i}" in joined.columns else plan.name[a]
+        return F.lit(None).cast(declared) if plan.empty and name not in joined.columns else F.col(name).cast(declared)
 
     if query.aggregates:
         made = []
@@ -163,11 +232,23 @@ def run(query: Query, options: Options = Options()) -> DataFrame:
             else:
                 x = getattr(F, f)(place(a))
             made.append(x.alias(name))
-        return joined.agg(*made)
-    if many:
-        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), weight)))
-    del spark
-    return joined.select(*(place(a).alias(n) for a, n in query.outputs))
+        out = joined.agg(*made)
+    else:
+        if many:
+            joined = expanded(joined.withColumn("_copies", weight), "_copies")
+        out = joined.select(*(place(a).alias(n) for a, n in query.outputs))
+    if kept:
+        weakref.finalize(out, _release, kept).atexit = False
+    return out
+
+
+def expanded(df: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as `copies` says, through arrays of at most CHUNK."""
+    zero = F.lit(0).cast("long")
+    blocks = F.when(F.col(copies) > 0, F.sequence(zero, F.floor((F.col(copies) - 1) / CHUNK).cast("long")))
+    df = df.withColumn("_block", F.explode(blocks))
+    left = F.least(F.col(copies) - F.col("_block") * CHUNK, F.lit(CHUNK).cast("long"))
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
 
 
 def _pair(left: tuple[DataFrame, set[int]], right: tuple[DataFrame, set[int]]) -> tuple[DataFrame, set[int]]:
@@ -184,9 +265,13 @@ def _edges(relations: dict[str, _Relation]) -> set[frozenset[str]]:
     return {frozenset((a, b)) for a, r in relations.items() for b, s in relations.items() if a != b and r.keys & s.keys}
 
 
-def _trees(relations: dict[str, _Relation], options: Options) -> list[Tree]:
+def _width(df: DataFrame) -> float:
+    return float(sum(f.dataType.jsonValue() in ("integer", "float", "date") and 4 or f.dataType.jsonValue() == "string" and 20 or 8 for f in df.schema) + 8)
+
+
+def join_trees(relations: dict[str, _Relation], options: Options) -> list[Tree]:
     if options.order:
-        return best_order({a: r.rows for a, r in relations.items()}, _edges(relations))
+        return best_order({a: (r.rows, _width(r.df)) for a, r in relations.items()}, _edges(relations))
     done: list[str] = []
     todo = list(relations)  # as written, but never a cross product where a join is left
     tree: Tree | None = None
@@ -203,26 +288,58 @@ def _joined(relations: dict[str, _Relation], options: Options) -> DataFrame:
     def build(t: Tree) -> tuple[DataFrame, set[int]]:
         return (relations[t].df, relations[t].keys) if isinstance(t, str) else _pair(build(t[0]), build(t[1]))
 
-    parts = [build(t) for t in _trees(relations, options)]
+    parts = [build(t) for t in join_trees(relations, options)]
     out = parts[0]
     for p in parts[1:]:
         out = _pair(out, p)
     return out[0]
 
 
-def _staged(relations: dict[str, _Relation], options: Options) -> DataFrame:
-    """Joins the cheapest pair, counts its rows, and plans again. What a stage made is persisted (memory and disk, with lineage)."""
+def _release(frames: list[DataFrame]) -> None:
+    for df in frames:
+        df.unpersist()
+
+
+def _staged(relations: dict[str, _Relation], options: Options, kept: list[DataFrame]) -> DataFrame:
+    """Joins the cheapest pair, counts its rows, and plans again. What a stage made is persisted (memory and disk, with
+    lineage) for as long as the result's DataFrame lives; it's appended to `kept`."""
     left = dict(relations)
     while len(left) > 1:
         edges = _edges(left)
         if not edges:
             break
-        a, b = min((sorted(e) for e in edges), key=lambda e: (max(left[e[0]].rows, left[e[1]].rows) + 10 * min(left[e[0]].rows, left[e[1]].rows), e))
+        a, b = min((sorted(e) for e in edges), key=lambda e: (left[e[0]].rows + left[e[1]].rows, e))
         df, keys = _pair((left[a].df, left[a].keys), (left[b].df, left[b].keys))
-        wanted = {i for i in keys if any(i in r.keys for x, r in left.items() if x not in (a, b))}
-        del wanted  # classes stay: any may be an output
         df = df.persist()
-        r = _Relation(f"{a}+{b}", df, keys, left[a].payload | left[b].payload, float(df.count()))
+        kept.append(df)
+        r = _Relation(f"{a}+{b}", df, keys, left[a].payload + left[b].payload, float(df.count()))
         del left[a], left[b]
         left[r.alias] = r
     return _joined(left, options)
+
+
+def explained(query: Query, options: Options = Options()) -> str:
+    """The join trees that the planner chooses, with the estimated rows of their relations."""
+    plan = _Plan(query, options)
+    if options.singletons:
+        plan.singletons()
+    if (options.small_keys or options.key_ranges) and not plan.empty:
+        plan.small_keys()
+    if options.semi_joins and not plan.empty:
+        plan.semi_joins()
+    lines = [f"constants: {', '.join(f'{k} = {v!r}' for k, v in sorted(plan.constants.items()))}"] if plan.constants else []
+
+    def show(t: Tree, depth: int) -> None:
+        if isinstance(t, str):
+            r = plan.relations[t]
+            lines.append("  " * depth + f"{t} ({r.rows:.0f} of {r.table_rows:.0f} rows)" + "".join(f" [{s}]" for s in r.said if " AS " not in s))
+        else:
+            lines.append("  " * depth + "join")
+            for x in t:
+                show(x, depth + 1)
+
+    if plan.empty:
+        lines.append("no rows")
+    for t in join_trees(plan.relations, options):
+        show(t, 0)
+    return "\n".join(lines)

@@ -20,7 +20,8 @@ class Scan:
 
 @dataclass(frozen=True)
 class Join:
-    """left[left_key] = right[right_key]; outputs index left's columns, then right's. build_left is a hint that Catalyst replaces by sizes."""
+    """left[left_key] = right[right_key], and so for each pair of `more`; outputs index left's columns, then right's.
+    build_left is a hint that Catalyst replaces by sizes."""
 
     left: Scan | Join
     right: Scan | Join
@@ -28,6 +29,7 @@ class Join:
     right_key: int
     outputs: tuple[tuple[int, str], ...]
     build_left: bool = True
+    more: tuple[tuple[int, int], ...] = ()
 
 
 def execute(node: Scan | Join, inputs: list[DataFrame]) -> DataFrame:
@@ -38,6 +40,16 @@ def execute(node: Scan | Join, inputs: list[DataFrame]) -> DataFrame:
     left, right = execute(node.left, inputs), execute(node.right, inputs)
     left = left.toDF(*(f"l{i}" for i in range(len(left.columns))))
     right = right.toDF(*(f"r{i}" for i in range(len(right.columns))))
-    both = left.join(right, left[f"l{node.left_key}"] == right[f"r{node.right_key}"])
+    both = left.join(right, [left[f"l{a}"] == right[f"r{b}"] for a, b in ((node.left_key, node.right_key), *node.more)])
     names = left.columns + right.columns
     return both.select(*(F.col(names[i]).cast(TYPES[t]).alias(f"c{k}") for k, (i, t) in enumerate(node.outputs)))
+
+
+def drawn(node: Scan | Join, names: list[str] | None = None, depth: int = 0) -> str:
+    """The tree, a line for each node, children indented. names: of the inputs."""
+    pad = "  " * depth
+    if isinstance(node, Scan):
+        return f"{pad}scan {names[node.table] if names else node.table} {[i for i, _ in node.outputs]}"
+    on = ", ".join(f"left {a} = right {b}" for a, b in ((node.left_key, node.right_key), *node.more))
+    below = "\n".join(drawn(x, names, depth + 1) for x in (node.left, node.right))
+    return f"{pad}join {on} (build {'left' if node.build_left else 'right'}) {[i for i, _ in node.outputs]}\n{below}"

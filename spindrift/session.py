@@ -16,6 +16,9 @@ def get_spark(app: str = "spindrift", cpus: int | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Shuffled joins of large scans get Bloom filters of the other side's keys while they run.
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
     } | conf
