@@ -7,6 +7,9 @@ number of each block's first sample. All frames of one layout are decoded togeth
 The encoder writes blocks of 192 samples with a seek table, and takes for each block the shortest of constant,
 verbatim, fixed predictors of order 0 and 1, and a fourth-order linear predictor (the mean of four samples).
 
+The query writes the streams as a table, reads that back, decodes it to PCM blocks that begin where the seek points are,
+and describes the blocks; samples_at() decodes what a range of samples needs from a stored stream.
+
 Frames are taken FRAMES at a time, so memory stays bounded for texts of any length. Corrupt streams raise
 ValueError. Defined results of the query: null and empty texts are 192 blanks; repeated rows give equal values;
 other columns aren't read.
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -194,10 +198,11 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Pcm:
-    """Decoded samples; block i begins at sample first[i]; seek: sample and byte offset points of the stream's seek table."""
+    """Decoded samples; frame i begins at sample first[i] and byte offset[i] of the frames; seek: the points of the stream's seek table."""
 
     samples: np.ndarray
     first: np.ndarray
+    offset: np.ndarray
     seek: np.ndarray
     bits: int
 
@@ -342,38 +347,52 @@ def _headers(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at[good], size[good] + 1, number[good], block[good]
 
 
+def _opened(s: bytes) -> tuple[int, int, bytes, np.ndarray, int]:
+    """Samples, bits a sample, MD5, seek points (sample, byte offset) of a mono stream, and where its frames begin."""
+    if s[:4] != b"fLaC":
+        raise ValueError("not a FLAC stream")
+    i, seek, info, last = 4, np.zeros((0, 2), np.int64), None, False
+    while not last:
+        if i + 4 > len(s):
+            raise ValueError("the metadata runs past the end")
+        last, kind, n = bool(s[i] & 0x80), s[i] & 0x7F, int.from_bytes(s[i + 1 : i + 4], "big")
+        if kind == 0:
+            info = s[i + 4 : i + 38]
+        elif kind == 3:
+            seek = np.frombuffer(s[i + 4 : i + 4 + n - n % 18], np.uint8).reshape(-1, 18)[:, :16].copy().view(">u8").astype(np.int64)
+            seek = seek[seek[:, 0] != -1]  # placeholders
+        i += 4 + n
+    if info is None or len(info) < 34:
+        raise ValueError("no STREAMINFO")
+    packed = int.from_bytes(info[10:18], "big")
+    if packed >> 41 & 7:
+        raise ValueError("more than one channel")
+    return packed & (1 << 36) - 1, (packed >> 36 & 31) + 1, info[18:34], seek, i
+
+
 def decode(streams: list[bytes]) -> list[Pcm]:
-    """The samples of each mono stream; all frames of one block size are decoded together."""
+    """The samples of each mono stream; all frames of one block size are decoded together. Frames' CRC-16, the samples' MD5
+    and the seek table are checked."""
     infos, spans, at = [], [], 0
     for s in streams:
-        if s[:4] != b"fLaC":
-            raise ValueError("not a FLAC stream")
-        i, seek, info, last = 4, np.zeros((0, 2), np.int64), None, False
-        while not last:
-            last, kind, n = bool(s[i] & 0x80), s[i] & 0x7F, int.from_bytes(s[i + 1 : i + 4], "big")
-            if kind == 0:
-                info = s[i + 4 : i + 38]
-            elif kind == 3:
-                seek = np.frombuffer(s[i + 4 : i + 4 + n - n % 18], np.uint8).reshape(-1, 18)[:, :16].copy().view(">u8").astype(np.int64)
-            i += 4 + n
-        if info is None:
-            raise ValueError("no STREAMINFO")
-        packed = int.from_bytes(info[10:18], "big")
-        if packed >> 41 & 7:
-            raise ValueError("more than one channel")
-        infos.append((packed & (1 << 36) - 1, (packed >> 36 & 31) + 1, info[18:34], seek))
+        *info, i = _opened(s)
+        infos.append(info)
         spans.append((at, at + len(s) - i))
         at += len(s) - i
     buf = np.frombuffer(b"".join(s[len(s) - (b - a) :] for s, (a, b) in zip(streams, spans, strict=True)), np.uint8)
     where, size, number, block = _headers(buf)
-    take, ends, firsts = [], [], []
-    for (total, *_), (a, b) in zip(infos, spans, strict=True):
+    take, ends, firsts, offsets = [], [], [], []
+    for (total, _, _, seek), (a, b) in zip(infos, spans, strict=True):
         mine = np.arange(*np.searchsorted(where, [a, b]))
         if not (number[mine] == np.arange(len(mine))).all() or block[mine].sum() != total:
             mine = _chain(buf, where, number, block, mine, b, total)
         take.append(mine)
         ends.append(np.append(where[mine][1:], b))
         firsts.append(np.cumsum(block[mine]) - block[mine])
+        offsets.append(where[mine] - a)
+        to = np.searchsorted(firsts[-1], seek[:, 0])
+        if len(seek) and ((to >= len(mine)).any() or (firsts[-1][to] != seek[:, 0]).any() or (offsets[-1][to] != seek[:, 1]).any()):
+            raise ValueError("the seek table is wrong")
     frames, end = np.concatenate([*take, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*ends, np.zeros(0, np.int64)]).astype(np.int64)
     if crc16(buf, where[frames], end).any():
         raise ValueError("a frame's CRC-16 is wrong")
@@ -389,12 +408,12 @@ def decode(streams: list[bytes]) -> list[Pcm]:
             got = _subframes(buf[lo:hi], where[frames[part]] + size[frames[part]] - lo, bps, n)
             samples[base[part][:, None] + np.arange(n)] = got
     out, at = [], 0
-    for (total, bps, md5, seek), first in zip(infos, firsts, strict=True):
+    for (total, bps, md5, seek), first, offset in zip(infos, firsts, offsets, strict=True):
         own = samples[at : at + total]
         at += total
         if any(md5) and hashlib.md5(own.astype({1: "<i1", 2: "<i2"}.get((bps + 7) // 8, "<i4")).tobytes()).digest() != md5:
             raise ValueError("the MD5 of the samples is wrong")
-        out.append(Pcm(own, first, seek, bps))
+        out.append(Pcm(own, first, offset, seek, bps))
     return out
 
 
@@ -422,41 +441,123 @@ def payload(text: bytes) -> bytes:
     return text + b" " * (max(BLOCK, -(-len(text) // BLOCK) * BLOCK) - len(text))
 
 
-def pcm_blocks(media: DataFrame, key: str, column: str) -> DataFrame:
-    """Of FLAC streams in a binary column: key, first_sample, n_samples and the block's PCM (little-endian). Null streams give no rows."""
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and the FLAC stream of each text's payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, s in zip(C.col(b, key).to_pylist(), C.col(b, column).to_pylist(), strict=True):
-                if s is None:
-                    continue
-                pcm = decode([s])[0]
-                cuts = np.append(pcm.first, len(pcm.samples))
-                raw = pcm.samples.astype("<i1" if pcm.bits <= 8 else "<i2" if pcm.bits <= 16 else "<i4")
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(pcm.first)), pa.array(pcm.first), pa.array(np.diff(cuts)), C.blobs([raw[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)])], [key, "first_sample", "n_samples", "pcm"])
+        for b in C.pieces(batches, step=BLOCK * FRAMES):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in C.col(b, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([C.col(b, "doc_id"), pa.array([len(t) for t in texts], pa.int64()), C.blobs(encode([payload(t) for t in texts]))], ["doc_id", "n_bytes", "media"])
 
-    return media.where(media[key].isNotNull()).select(key, column).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, first_sample long, n_samples long, pcm binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """Each text stored as FLAC, read back and described."""
+def pcm_blocks(media: DataFrame, column: str = "media", frames: int = SEEK_EVERY) -> DataFrame:
+    """Of the FLAC streams in a binary column: the other columns, first_sample, n_samples, byte_offset (of the block's first
+    frame among the stream's frames) and the block's PCM (little-endian). A block has so many frames; the stream's seek
+    table must agree with it. A stream's blocks follow each other in its partition; null streams give none."""
+    keep = [c for c in media.columns if c != column]
+    added = C.fresh(keep, "first_sample", "n_samples", "byte_offset", "pcm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.pieces(batches, step=BLOCK * FRAMES):
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in C.col(b, "text").to_pylist()]
-            media = encode([payload(t) for t in texts])
-            cols = [[] for _ in range(7)]
-            for t, m, pcm in zip(texts, media, decode(media), strict=True):
-                raw = (pcm.samples + 128).astype(np.uint8).tobytes()
-                cross = int((pcm.samples[1:] >= 0).astype(np.int8).__ne__((pcm.samples[:-1] >= 0).astype(np.int8)).sum())
-                rms = (float((pcm.samples * pcm.samples).sum()) / len(raw)) ** 0.5
-                row = [len(t), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"blocks={len(pcm.first)};rms={rms:.4f};crossings={cross};peak={int(np.abs(pcm.samples).max())}"]
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([C.col(b, "doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        for b in C.pieces(batches, column, step=BLOCK * FRAMES):
+            streams = C.col(b, column).to_pylist()
+            have = [i for i, x in enumerate(streams) if x is not None]
+            row, first, size, offset, raw = [], [], [], [], []
+            for i, pcm in zip(have, decode([streams[i] for i in have]), strict=True):
+                cuts = np.append(pcm.first[::frames], len(pcm.samples))
+                data = pcm.samples.astype("<i1" if pcm.bits <= 8 else "<i2" if pcm.bits <= 16 else "<i4")
+                row += [i] * (len(cuts) - 1)
+                first.append(cuts[:-1])
+                size.append(np.diff(cuts))
+                offset.append(pcm.offset[::frames])
+                raw += [data[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            flat = lambda parts: pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(C.col(b, c).take(pa.array(row, pa.int64())) for c in keep), flat(first), flat(size), flat(offset), C.blobs(raw)], [*keep, *added])
+
+    kinds = [*(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}` {k}" for c, k in zip(added, ("long", "long", "long", "binary"), strict=True))]
+    return media.mapInArrow(run, ", ".join(kinds))
+
+
+def samples_at(stream: bytes, first: int, n: int) -> np.ndarray:
+    """n samples from sample `first` on: the seek table tells where to begin, and only frames that have them are decoded."""
+    total, bits, _, seek, at = _opened(stream)
+    if not 0 <= first <= first + n <= total:
+        raise ValueError("no such samples")
+    before = np.flatnonzero(seek[:, 0] <= first)
+    sample, begin = seek[before[-1]] if len(before) else (0, 0)
+    buf = np.frombuffer(stream, np.uint8)[at + int(begin) :]
+    where, size, number, block = _headers(buf)
+    out, i = [np.zeros(0, np.int64)], 0
+    while n > 0:
+        j = i + 1  # a sync code inside a frame isn't followed by a right checksum
+        while j < len(where) and (number[j] != number[i] + 1 or crc16(buf, where[i : i + 1], where[j : j + 1])[0]):
+            j += 1
+        end = int(where[j]) if j < len(where) else len(buf)
+        if crc16(buf, where[i : i + 1], np.array([end]))[0]:
+            raise ValueError("a frame's CRC-16 is wrong")
+        if sample + block[i] > first:
+            own = _subframes(buf[int(where[i]) : end], np.array([size[i]]), bits, int(block[i]))[0]
+            some = own[first - sample : first - sample + n]
+            out.append(some)
+            first, n = first + len(some), n - len(some)
+        sample, i = sample + block[i], j
+    return np.concatenate(out)
+
+
+class _Digest:
+    """What the query tells of one stream, from its blocks in order."""
+
+    def __init__(self):
+        self.sha, self.tail, self.size, self.squares, self.crossings, self.peak, self.last = hashlib.sha256(), b"", 0, 0, 0, 0, None
+
+    def add(self, pcm: bytes) -> None:
+        samples = np.frombuffer(pcm, np.int8).astype(np.int64)
+        raw = (samples + 128).astype(np.uint8).tobytes()
+        self.sha.update(raw)
+        self.tail = (self.tail + raw[-16:])[-16:]
+        up = samples >= 0
+        self.crossings += int((up[1:] != up[:-1]).sum()) + (self.last is not None and bool(up[0]) != self.last)
+        self.last = bool(up[-1])
+        self.squares += int((samples * samples).sum())
+        self.peak = max(self.peak, int(np.abs(samples).max()))
+        self.size += len(raw)
+
+    def row(self) -> tuple:
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), f"blocks={-(-self.size // BLOCK)};rms={(self.squares / self.size) ** 0.5:.4f};crossings={self.crossings};peak={self.peak}"
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """Each text stored as FLAC in a written table, read back from it as PCM blocks, and described."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, facts = None, None
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        done = lambda: (*facts[1:3], *now.row()[:3], *facts[3:], now.row()[3])
+        for b in batches:
+            rows = []
+            for *key, pcm in zip(*(C.col(b, c).to_pylist() for c in ("stream", "doc_id", "n_bytes", "media_bytes", "media_sha256", "pcm")), strict=True):
+                if facts is None or key[0] != facts[0]:
+                    if facts:
+                        rows.append(done())
+                    now, facts = _Digest(), key
+                now.add(pcm)
+            if rows:
+                yield table(rows)
+        if facts:
+            yield table([done()])
+        C.trim()
+
+    with C.Scratch(docs.sparkSession) as s:
+        media = s.table(stored(docs), "flac-media")
+        media = media.select(F.monotonically_increasing_id().alias("stream"), "doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+        told = pcm_blocks(media).mapInArrow(digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        return C.materialize(told, "flac-told")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

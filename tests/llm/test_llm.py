@@ -174,6 +174,134 @@ def test_flac_round_trip_and_corruption():
             flac_media.decode([bytes(bad)])
 
 
+class Writer:
+    """Bits of a hand-made stream."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, width):
+        self.bits += [(value >> (width - 1 - i)) & 1 for i in range(width)]
+        return self
+
+    def bytes(self):
+        self.bits += [0] * (-len(self.bits) % 8)
+        return bytes(int("".join(map(str, self.bits[i : i + 8])), 2) for i in range(0, len(self.bits), 8))
+
+
+def crc(data, poly, width):
+    r = 0
+    for byte in data:
+        r ^= byte << (width - 8)
+        for _ in range(8):
+            r = ((r << 1) ^ poly if r >> (width - 1) else r << 1) & ((1 << width) - 1)
+    return r
+
+
+def made_frame(number, x, bps, kind, order=0, method=0, partitions=0, escape=(), coefs=(), shift=0, k=3):
+    """A frame by the format's rules, one sample after the other. kind: constant, verbatim, fixed or lpc."""
+    n = len(x)
+    head = bytes([0xFF, 0xF8, 0x70, 0, number]) + (n - 1).to_bytes(2, "big")
+    head += bytes([crc(head, 0x07, 8)])
+    w = Writer().put({"constant": 0, "verbatim": 1, "fixed": 8 + order, "lpc": 31 + order}[kind] << 1, 8)
+    if kind == "constant":
+        w.put(x[0], bps)
+    elif kind == "verbatim":
+        for v in x:
+            w.put(v, bps)
+    else:
+        for v in x[:order]:
+            w.put(v, bps)
+        if kind == "lpc":
+            w.put(7, 4).put(shift, 5)
+            for c in coefs:
+                w.put(c, 8)
+        else:
+            coefs, shift = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order], 0
+        res = [x[i] - (sum(c * x[i - 1 - j] for j, c in enumerate(coefs)) >> shift) for i in range(order, n)]
+        w.put(method, 2).put(partitions, 4)
+        size, width = n >> partitions, 4 + method
+        for p in range(1 << partitions):
+            own = res[max(0, p * size - order) : (p + 1) * size - order]
+            if p in escape:
+                raw = max([0, *(v.bit_length() + 1 if v >= 0 else (~v).bit_length() + 1 for v in own)])
+                w.put((1 << width) - 1, width).put(raw, 5)
+                for v in own:
+                    w.put(v, raw)
+            else:
+                w.put(k, width)
+                for v in own:
+                    z = 2 * v if v >= 0 else -2 * v - 1
+                    w.put(0, z >> k).put(1, 1).put(z & ((1 << k) - 1), k)
+    out = head + w.bytes()
+    return out + crc(out, 0x8005, 16).to_bytes(2, "big")
+
+
+def made_stream(frames, bps, total):
+    info = (16).to_bytes(2, "big") + (65535).to_bytes(2, "big") + bytes(6) + ((8000 << 44) | ((bps - 1) << 36) | total).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + bytes([0x80, 0, 0, 34]) + info + b"".join(frames)
+
+
+@pytest.mark.parametrize("bps", [8, 12, 16, 24])
+def test_flac_decodes_every_kind_of_subframe(bps):
+    r = random.Random(bps)
+    top = 1 << (bps - 1)
+    walk = [0]
+    while len(walk) < 64:
+        walk.append(max(-top, min(top - 1, walk[-1] + r.randint(-9, 9))))
+    noise = [r.randrange(-top, top) for _ in range(64)]
+    wide = max(3, bps - 4)
+    frames = [
+        ([r.randrange(-top, top)] * 64, {"kind": "constant"}),
+        (noise, {"kind": "verbatim"}),
+        *((walk, {"kind": "fixed", "order": o, "partitions": 2}) for o in range(5)),
+        (noise, {"kind": "fixed", "order": 1, "method": 1, "k": wide, "partitions": 1}),
+        (noise, {"kind": "fixed", "order": 2, "partitions": 2, "escape": (0, 2), "k": min(wide, 14)}),
+        (walk, {"kind": "fixed", "order": 0, "partitions": 3, "escape": (1,), "k": 2, "method": 1}),
+        ([7] * 64, {"kind": "fixed", "order": 1, "partitions": 1, "escape": (1,)}),
+        (walk, {"kind": "lpc", "order": 3, "coefs": (40, -12, 5), "shift": 5, "partitions": 1}),
+        (walk, {"kind": "lpc", "order": 8, "coefs": (30, -9, 5, 3, 1, 0, -2, 1), "shift": 5, "k": 4}),
+    ]
+    made = [made_frame(i, x, bps, **how) for i, (x, how) in enumerate(frames)]
+    samples = [v for x, _ in frames for v in x]
+    stream = made_stream(made, bps, len(samples))
+    (pcm,) = flac_media.decode([stream])
+    assert pcm.samples.tolist() == samples and pcm.bits == bps
+    assert pcm.offset.tolist() == [sum(map(len, made[:i])) for i in range(len(made))]
+    assert all(flac_media.samples_at(stream, a, n).tolist() == samples[a : a + n] for a, n in ((0, 5), (60, 70), (len(samples) - 3, 3), (200, 0)))
+    with pytest.raises(ValueError):
+        flac_media.samples_at(stream, len(samples), 1)
+
+
+def test_flac_seeks(monkeypatch):
+    load = flac_media.payload("".join(chr(97 + i * i % 26) for i in range(192 * 200)).encode())
+    (media,) = flac_media.encode([load])
+    want = np.frombuffer(load, np.uint8).astype(int) - 128
+    read = []
+    real = flac_media._subframes
+    monkeypatch.setattr(flac_media, "_subframes", lambda buf, *a: read.append(len(buf)) or real(buf, *a))
+    for a, n in ((0, 16), (192 * 64, 1), (192 * 130 + 7, 500), (len(want) - 16, 16)):
+        read.clear()
+        assert (flac_media.samples_at(media, a, n) == want[a : a + n]).all() and len(read) <= n // 192 + 2
+    at = media.index(b"fLaC") + 4 + 38 + 4 + 18 + 8  # the second seek point's offset
+    with pytest.raises(ValueError, match="seek"):
+        flac_media.decode([media[: at + 7] + bytes([media[at + 7] ^ 1]) + media[at + 8 :]])
+
+
+def test_flac_blocks_as_a_table(spark, docs):
+    C.ship(spark)
+    media = C.materialize(flac_media.stored(docs.where("doc_id is not null").select("doc_id", "text").distinct()), "test-media")
+    blocks = C.materialize(flac_media.pcm_blocks(media), "test-blocks")
+    texts = {r["doc_id"]: flac_media.payload((r["text"] or "").encode()) for r in docs.where("doc_id is not null").collect()}
+    streams = by_id(media)
+    for r in blocks.collect():
+        a, n = r["first_sample"], r["n_samples"]
+        assert bytes(b ^ 0x80 for b in r["pcm"]) == texts[r["doc_id"]][a : a + n] and a % (192 * 64) == 0
+        *_, begin = flac_media._opened(streams[r["doc_id"]]["media"])
+        assert streams[r["doc_id"]]["media"][begin + r["byte_offset"] :][:2] == b"\xff\xf8"
+    assert {r["doc_id"]: r["n"] for r in blocks.groupBy("doc_id").agg(F.sum("n_samples").alias("n")).collect()} == {k: len(t) for k, t in texts.items()}
+
+
 def test_flac_of_texts(docs, none):
     for r in flac_media.describe(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         load = flac_media.payload((r["text"] or "").encode())
