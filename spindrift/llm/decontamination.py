@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Numbers, names and units become typed placeholders; words are lower-cased and stripped of punctuation. Windows of
+Texts are stripped of all but letters, digits and blanks; then numbers, names and units become typed placeholders and
+words are lower-cased. Windows of
 WINDOW canonical words of every whole document are hash-joined with those of the benchmark (broadcast if it has at
 most MAX_BROADCAST windows, else shuffled), and so are windows of plain words (lower-cased, no placeholders), which
 find verbatim copies whatever their slots are. Where windows match, words are compared again, and the values
@@ -35,70 +36,61 @@ NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "mph", "dollars", "euros", "cents", "percent", "miles", "feet", "inches", "meters", "grams", "liters"]
 #: Words that aren't names at the start of a sentence.
 COMMON = "a about after all also an and are as at because before both but by can could did do does during each every find for from had has have he her here his how i if in is it its let many most my no not now of on one or our she so some that the their then there these they this those to two under was we were what when where which while who whose why will with would you your".split()
+#: Words are what is left between blanks when all but letters and digits is dropped, so no later step joins or splits any.
+_STRIP = r"[^\p{L}\p{N}\x20\x09-\x0D]+"
+_NUMBER = r"[0-9]+"
+_UNIT = rf"(\x01[\x20\x09-\x0D]*+)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?!\p{{L}})"
 #: Any other capitalised word is a name, wherever it stands, so that a copy's line breaks and quotes change nothing.
-_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-_UNIT = rf"(?<=\x01[\x20]?)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}])"
-_NAME = rf"(?<!\p{{L}})(?!(?i:{'|'.join(COMMON)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
+_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?!(?i:{'|'.join(COMMON)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
 _SLOT = r"[\x01-\x03]"
-#: Signs before the first and after the last letter or digit of a word.
-_EDGES = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
-_STRIP = r"[^\p{L}\p{N}\x01\x02\x03\x20\x09-\x0D]+"
 
 
-def placed(text: Column) -> Column:
-    """text with placeholders and single blanks; no word is joined or split, so words of both match one to one."""
-    text = F.regexp_replace(F.regexp_replace(text, C.WORD_SPLIT, " "), _NUMBER, NUMBER)
-    text = F.regexp_replace(text, _UNIT, UNIT)
-    return F.regexp_replace(text, _NAME, NAME)
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, C.WORD_SPLIT), "")
 
 
-def canonical(text: Column) -> Column:
-    """The canonical words of a text."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(placed(text)), _STRIP, ""), C.WORD_SPLIT), "")
+def placed(bare: Column) -> Column:
+    """Stripped text with placeholders."""
+    bare = F.regexp_replace(bare, _NUMBER, NUMBER)
+    bare = F.regexp_replace(bare, _UNIT, "$1" + UNIT)
+    return F.regexp_replace(bare, _NAME, NAME)
 
 
-def plain(text: Column) -> Column:
-    """The lower-cased words of a text without punctuation at their ends; words of signs alone stay."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _EDGES, ""), C.WORD_SPLIT), "")
+def _families(df: DataFrame, key: str) -> DataFrame:
+    """key, family, v: the hashes of a text's canonical words (family 0) and of its lower-cased words (family 1), which are as many."""
+    df = df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.regexp_replace("text", _STRIP, "").alias("bare"))
+    df = df.select(key, _words(F.lower(placed(F.col("bare")))).alias("w0"), _words(F.lower("bare")).alias("w1"))
+    hashes = [F.transform(f"w{f}", lambda w: F.xxhash64(w)) for f in (CANONICAL, PLAIN)]
+    return df.select(key, F.inline(F.array(*(F.struct(F.lit(f).alias("family"), v.alias("v")) for f, v in enumerate(hashes)))))
 
 
-def _hash(family: int, size: int | Column, words: str, i: Column, n: int) -> Column:
-    """Missing words don't change the hash."""
-    return F.xxhash64(F.lit(family), F.lit(size), *(F.get(words, i + k) for k in range(n)))
-
-
-def _hashed(df: DataFrame, key: str) -> DataFrame:
-    """key, v0 and v1: hashes of canonical and of plain words. Made in steps, so that each is computed once a row."""
-    df = df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, canonical(F.col("text")).alias("w0"), plain(F.col("text")).alias("w1"))
-    return df.select(key, *(F.transform(f"w{f}", lambda w: F.xxhash64(w)).alias(f"v{f}") for f in (CANONICAL, PLAIN)))
+def _windows(df: DataFrame, key: str) -> DataFrame:
+    """key, family, size, pos, h: the windows of `size` words (a column, WINDOW at most) of each row of _families().
+    Neighbours are zipped as arrays and hashed as columns, which is compiled code throughout."""
+    places = F.greatest(F.size("v") - F.col("size") + 1, F.lit(0))
+    shifted = [F.when(F.lit(k) < F.col("size"), F.slice("v", k + 1, places)).otherwise(F.array().cast("array<bigint>")).alias(f"z{k}") for k in range(WINDOW)]
+    df = df.select(key, "family", "size", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "z"))
+    return df.select(key, "family", "size", "pos", F.xxhash64("family", "size", *(F.col(f"z.z{k}") for k in range(WINDOW))).alias("h"))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
     """item_id, family, size, ipos, h: windows of WINDOW words, or of all words of a shorter item."""
-    def windows(f: int) -> Column:
-        size = F.least(F.lit(WINDOW), F.size(f"v{f}"))
-        places = F.when(size > 0, F.sequence(F.lit(0), F.size(f"v{f}") - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(F.lit(f).alias("family"), size.alias("size"), i.alias("ipos"), _hash(f, size, f"v{f}", i, WINDOW).alias("h")))
-
-    return _hashed(items, "item_id").select("item_id", F.inline(F.concat(windows(CANONICAL), windows(PLAIN))))
+    return _windows(_families(items, "item_id").withColumn("size", F.least(F.lit(WINDOW), F.size("v"))).where("size > 0"), "item_id").withColumnRenamed("pos", "ipos")
 
 
 def _doc_windows(docs: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
     """doc_id, pos, h of the windows of each (family, size)."""
-    def windows(f: int, size: int) -> Column:
-        n = F.size(f"v{f}")
-        places = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("pos"), _hash(f, size, f"v{f}", i, size).alias("h")))
-
-    return _hashed(docs, "doc_id").select("doc_id", F.inline(F.concat(*(windows(f, n) for f, n in sizes))))
+    wanted = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")) for f, n in sizes))
+    each = F.transform(F.filter(wanted, lambda x: x["f"] == F.col("family")), lambda x: x["n"])
+    return _windows(_families(docs, "doc_id").select("doc_id", "family", "v", F.explode(each).alias("size")), "doc_id").select("doc_id", "pos", "h")
 
 
 def _aligned(df: DataFrame, key: str, words: str) -> DataFrame:
     """key, family and an array of (raw, canon) for each of its words."""
-    raw = F.split("text", C.WORD_SPLIT)
-    canon = F.transform(F.split(placed(F.col("text")), C.WORD_SPLIT), lambda w: F.regexp_replace(F.lower(w), _STRIP, ""))
-    both = [F.filter(F.arrays_zip(raw.alias("raw"), canon.alias("canon")), lambda z: z["canon"] != ""), F.transform(plain(F.col("text")), lambda w: F.struct(w.alias("raw"), w.alias("canon")))]
-    return df.select(key, F.inline(F.array(*(F.struct(F.lit(f).alias("family"), x.alias(words)) for f, x in enumerate(both)))))
+    df = df.select(key, F.regexp_replace("text", _STRIP, "").alias("bare"))
+    raw = _words(F.col("bare"))
+    canon = [_words(F.lower(placed(F.col("bare")))), _words(F.lower("bare"))]
+    return df.select(key, F.inline(F.array(*(F.struct(F.lit(f).alias("family"), F.arrays_zip(raw.alias("raw"), c.alias("canon")).alias(words)) for f, c in enumerate(canon)))))
 
 
 def _occurrences(both: DataFrame, *keys: str) -> DataFrame:

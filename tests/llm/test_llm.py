@@ -577,6 +577,72 @@ def test_decontamination_of_names_anywhere(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 2)}
 
 
+def contaminated_by_hand(docs, items):
+    """The pairs, found by comparing every window of every item with every place of every text."""
+    import regex
+
+    def families(text):
+        bare = regex.sub(r"[^\p{L}\p{N}\x20\x09-\x0D]+", "", text)
+        placed = regex.sub("[0-9]+", "\1", bare)
+        units = "|".join(sorted(decontamination.UNITS, key=len, reverse=True))
+        placed = regex.sub(rf"(\x01[\x20\x09-\x0D]*+)(?:{units})(?!\p{{L}})", "\\1\2", placed)
+        common = "|".join(decontamination.COMMON)
+        placed = regex.sub(rf"(?<!\p{{L}})(?!(?i:{common})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+", "\3", placed)
+        return bare.split(), [placed.lower().split(), bare.lower().split()]
+
+    found = set()
+    for item, text in items:
+        iraw, iwords = families(text)
+        size = min(8, len(iraw))
+        places = [[i for i in range(len(w) - size + 1) if size] for w in iwords]
+        places[0] = [i for i in places[0] if sum(x[0] in "\1\2\3" for x in iwords[0][i : i + size]) <= size // 2]
+        enough = [min(6, -(-len(p) // 2)) for p in places]
+        for doc, whole in docs:
+            draw, dwords = families(whole)
+            hits = [[(i, d) for i in places[f] for d in range(len(draw) - size + 1) if iwords[f][i : i + size] == dwords[f][d : d + size]] for f in (0, 1)]
+            if not any(h and len({i for i, _ in h}) >= e for h, e in zip(hits, enough)):
+                continue
+            for f, own in enumerate(hits):
+                shifts = sorted({d - i for i, d in own})
+                spans = [[s] for s in shifts[:1]]
+                for a, b in zip(shifts, shifts[1:]):
+                    if b - a > 8:
+                        spans.append([])
+                    spans[-1].append(b)
+                for chosen in [*([s] for s in shifts), *spans, shifts]:
+                    some = [(i, d) for i, d in own if d - i in chosen]
+                    values = collections.defaultdict(set)
+                    for i, d in some:
+                        for k in range(size):
+                            if f == 0 and any(c in "\1\2\3" for c in iwords[0][i + k]):
+                                values[iwords[0][i + k], iraw[i + k]].add(draw[d + k])
+                    if some and len({i for i, _ in some}) >= enough[f] and sum(len(v) == 1 for v in values.values()) >= 0.8 * len(values):
+                        found.add((doc, item))
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(12)
+    names, nouns = ["Anna", "Tom", "Élise", "Mia", "Otto"], ["pens", "apples", "km", "books", "kg", "old maps"]
+    shapes = ["{n} has {x} {w} and gives {y} {w} to {m}. How many {w} does {n} have left in the end?", "On Monday {n} walked {x} km, then {y} miles; {m} took {z} hours.\nWho was faster on the long way home?", "{x} + {y} * {z} - 3 equals what number, asks {m}?", "Where is {n}?", "the same words come again and again and the same words come again and again here"]
+    make = lambda t: t.format(n=r.choice(names), m=r.choice(names), w=r.choice(nouns), x=r.randint(1, 9), y=r.randint(10, 99), z=f"{r.randint(1, 9)}.5")
+    items = [(i, make(shapes[i % 5])) for i in range(10)]
+    docs = []
+    for d in range(60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            text = r.choice([make(r.choice(shapes)), r.choice(items)[1], "some plain filler words of no meaning at all"])
+            words = text.split(" ")
+            for _ in range(r.choice([0, 0, 1, 3])):
+                at = r.randrange(len(words))
+                words[at : at + r.randint(0, 1)] = r.choice([["extra"], ["Words"], [], ["(7)"]])
+            parts.append(r.choice([" ", "  ", "\n"]).join(words))
+        docs.append((d, " ".join(parts)))
+    got = decontamination.contaminated(spark.createDataFrame([*docs, *docs[:5]], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = contaminated_by_hand(docs, items)
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(got) == len(want) > 20 and len(want) < 300
+
+
 def test_license_scan(spark, none):
     rows = [(1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/b.txt", "code\n" * 5), (3, "p/a/c.txt", "code here\n" * 9 + "Licensed under the Apache License, Version 2.0."), (4, "q/x.txt", "licensed to nobody at all, as the words of this line have little to do with templates"), (5, None, None), (6, "p/a/d/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (7, "p/a/d/e/f.c", "")]
     got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
@@ -585,10 +651,31 @@ def test_license_scan(spark, none):
     assert license_scan.license_scan(none.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def test_license_files_and_headers(spark):
+    """Whole texts of licenses in files with and without a telling name, their titles or holders; headers in comments."""
+    named = {k: v.replace("Copyright (c)", "Copyright (c) 2021 Some Holder and Friends,") for k, v in license_scan.TEXTS.items()}
+    untitled = named["mit"].removeprefix("MIT License ")
+    header = license_scan.NOTICES["apache-2.0"][2]
+    comment = "\n".join(f" * {header[i : i + 60]}" for i in range(0, len(header), 60))
+    gpl = license_scan.NOTICES["gpl-3.0"][2]
+    rows = [(i, f"p{i}/{'LICENSE' if i % 2 else 'terms.txt'}", "\n".join(re.split(r"(?<=[.:]) (?=[A-Z0-9])", named[k]))) for i, k in enumerate(sorted(named))]
+    rows += [(20, "m/COPYING", untitled.replace(". ", ".\n\n")), (21, "m/src/a.c", "int x;\n" * 9), (22, "c/a.java", f"/*\n * Copyright 2020 Me. All rights reserved.\n *\n{comment}\n */\npackage x;\n" + "class A {}\n\n" * 30), (23, "c/b.java", "class B {}")]
+    rows += [(24, "g/a.py", "# " + gpl.replace(" under", "\n# under").replace(" either", "\n# either") + "\n\nimport os\n\nprint(os)\n" * 20), (25, "z/notes.txt", "permission slips are due on monday, and the copy of the software is with the office. " * 30), (26, "z/LICENSE", "Ask the office."), (None, "z/LICENSE", untitled)]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
+    assert {sorted(named)[i]: got[i]["license"] for i in range(len(named))} == {k: k for k in named}
+    assert [(got[i]["license"], got[i]["basis"]) for i in (20, 21, 22, 23, 24, 25, 26)] == [("mit", "own"), ("mit", "inherited"), ("apache-2.0", "own"), (None, "none"), ("gpl-3.0", "own"), (None, "none"), (None, "none")]
+
+
 def test_native_operators_run_no_python(spark):
+    """No plan that ran for them, those of the written tables included, has a Python node."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    before = store.executionsCount()
     for m in (license_scan, decontamination):
-        plan = m.query(spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Pandas|InArrow", plan)
+        m.query(spark, SF).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(store.executionsList().size())][-(store.executionsCount() - before) :]
+    assert len(plans) > 10 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
