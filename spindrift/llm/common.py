@@ -70,13 +70,22 @@ def _hadoop(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+#: Shuffle files of a query go when it has ended, instead of when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, tag: str, by: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    old = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, old)
     files, where = _hadoop(spark, path)
     files.deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path), path
+    return (df if by else spark.read.schema(df.schema).parquet(path)), path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -99,6 +108,20 @@ class Scratch:
         self._paths.append((out, path))
         return out
 
+    def split(self, df: DataFrame, tag: str, by: str, *values: str) -> list[DataFrame]:
+        """df as a table for each value of the string column `by`, without that column."""
+        _, path = _written(df, tag, by)
+        shape = T.StructType([f for f in df.schema if f.name != by])
+        empty = self.spark.createDataFrame([], shape)
+        files, _ = _hadoop(self.spark, path)
+        out = []
+        for v in values:
+            own = f"{path}/{by}={v}"
+            there = files.exists(_hadoop(self.spark, own)[1])
+            out.append(self.spark.read.schema(shape).parquet(own) if there else empty)
+            self._paths.append((out[-1], own))
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes some of them early."""
         for t in tables:

@@ -4,14 +4,16 @@ Counts are discounted by Good-Turing (r <= CUTOFF); what that frees goes to unse
 make each history's distribution sum to 1 exactly, over the V training tokens and one unknown. Evaluation recurses per
 token: bigram, else weight times unigram, else the unknown's share.
 
-Documents are dealt by hash of doc_id into parts of about PART_BYTES. A part sends its distinct words once, as packed
-sorted hashes by hash range with its own counts (X1), and gets the corpus counts back; then its distinct bigrams by
-range of the history's hash (X2), and gets back their corpus counts and the weights of its histories. The count
-tables are thus partitioned by hash, built by summing before and after the exchange, and nothing but count-of-count
-statistics (a row) is broadcast. The plan is one: the texts' exchange and X1, X2 are computed once and reused. A range
-is merged in one task; its bytes follow the number of ranges, which grows with the corpus.
+Tasks read the texts once, where they lie, into parts of about PART_TOKENS tokens: a row each, with the part's distinct
+words (sorted 64-bit hashes) and its tokens as places among them, written as a table; later steps read this instead of
+texts. A part sends its words with its own counts, by hash range, as packed sorted runs, and gets back the corpus's
+counts and an id for each word that training texts have; then its distinct bigrams of such words, by range of the
+history's id, and gets back their counts and what the backoff weights of its histories are made of. The number of ranges
+follows the number of tokens alone. Each exchange's result is a written table, partitioned by range, with the model's
+rows beside the answers; so a lost executor never starts the count again, and save() keeps the model: score() with it
+evaluates other texts by the same exchanges, its rows joined in as one more part.
 
-Words are told apart by 64-bit hashes, bigrams within a history by 48 bits of the word's.
+A range is merged in one task; nothing but count-of-count statistics (a few numbers) reaches the driver.
 
 Defined results: null and empty texts are one end token; no training documents: unigrams are all unknown, score is 0;
 repeated rows are counted and scored each; a null doc_id counts as training; other columns aren't read.
@@ -19,8 +21,13 @@ repeated rows are counted and scored each; a null doc_id counts as training; oth
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +36,13 @@ from .packing import cuts, pack, pack_floats, pack_sorted, unpack, unpack_floats
 
 QUERY, SQL = "op9_katz_lm", None
 U = C.U
-PART_BYTES = 16 << 20
+#: Tokens that a part has, unless one text has more, and that a range has at about the most.
+PART_TOKENS, RANGE_TOKENS = 2_000_000, 2_000_000
 CUTOFF = 5
-END, START = U(0x5BD1E9955BD1E995), U(0x1B873593CC9E2D51)
-LOW48 = U((1 << 48) - 1)
+END = U(0x5BD1E9955BD1E995)
+#: Ids of what begins a text and of all words that no training text has; others follow.
+START, UNKNOWN, FIRST = 0, 1, 2
+MODEL = -1  # the part that a model's rows count as
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -71,180 +81,265 @@ def count_stats(c: np.ndarray) -> np.ndarray:
     return np.concatenate([[c.sum(), (c > 0).sum()], np.bincount(np.minimum(c, CUTOFF + 2).astype(np.int64), minlength=CUTOFF + 3)[: CUTOFF + 2]])
 
 
-class _Part:
-    """The tokens of a part: documents in order, each with an end token, as ranks in `vocabulary` (ascending hashes)."""
-
-    def __init__(self, t: pa.Table):
-        t = t.combine_chunks()
-        self.table = t
-        hashes, docs = [], []
-        rows = 0
-        for b in C.pieces(iter(t.to_batches())):
+def read(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, train) as parts: pid, doc_id (a list), train, sizes (tokens of each document, its end among
+    them), words (sorted hashes), counts (of training tokens) and tokens (places among the words)."""
+    names = ["pid", "doc_id", "train", "sizes", "words", "counts", "tokens"]
+
+    def part(pid: int, have: list[tuple[list, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, train, sizes, h = ([x for ids, *_ in have for x in ids], *(np.concatenate([x[k] for x in have]) for k in (1, 2, 3)))
+        words, tokens = np.unique(h, return_inverse=True)
+        counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(words))
+        often = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")  # frequent words get small numbers, which pack better
+        rank = np.empty(len(words), np.int64)
+        rank[often] = np.arange(len(words))
+        blobs = [train, sizes, None, counts, rank[tokens], rank]
+        packed = [pack(b) if b is not None else pack_sorted(words) for b in blobs]
+        return pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([ids], pa.list_(pa.int64())), *(C.blobs([b]) for b in packed), pa.array([len(h)])], [*names, "ranks", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, have, n = TaskContext.get().partitionId() << 32, [], 0
+        for b in C.pieces(batches):
             w = C.words(C.col(b, "text"))
-            n = b.num_rows
             at = np.cumsum(w.per_doc + 1)
             h = np.full(int(at[-1]), END, U)
             inner = np.ones(len(h), bool)
             inner[at - 1] = False
             h[inner] = w.hash
-            hashes.append(h)
-            docs.append(np.repeat(np.arange(rows, rows + n, dtype=np.int32), w.per_doc + 1))
-            rows += n
-        h = np.concatenate([*hashes, np.zeros(0, U)])
-        hashes.clear()
-        self.doc = np.concatenate([*docs, np.zeros(0, np.int32)])
-        docs.clear()
-        self.rows = rows
-        train = np.array(t["train"].to_pylist(), bool)
-        self.train = train[self.doc] if rows else np.zeros(0, bool)
-        order = np.argsort(h)
-        h = h[order]
-        new = np.append(True, h[1:] != h[:-1])[: len(h)]
-        self.vocabulary = h[new]
-        del h
-        self.word = np.empty(len(order), np.int32)
-        self.word[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.word[self.train], minlength=len(self.vocabulary))
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (history, word) ranks in order of the histories' hashes, training counts of each, and each token's
-        place among them. Histories are ranks in `histories()`."""
-        v = self.vocabulary
-        self.history_hash = np.sort(np.append(v, START)) if len(v) else np.array([START])
-        start = int(np.searchsorted(self.history_hash, START))
-        shift = np.arange(len(v)) + (np.arange(len(v)) >= start)
-        first = np.append(True, self.doc[1:] != self.doc[:-1])[: len(self.doc)]
+            have.append((C.col(b, "doc_id").to_pylist(), np.array(C.col(b, "train").to_pylist(), bool), w.per_doc + 1, h))
+            n += len(h)
+            if n >= PART_TOKENS:
+                yield part(pid, have)
+                pid, have, n = pid + 1, [], 0
+                C.trim()
+        if have:
+            yield part(pid, have)
+
+    return docs.select("doc_id", "text", "train").mapInArrow(run, "pid long, doc_id array<long>, train binary, sizes binary, words binary, counts binary, tokens binary, ranks binary, n long")
+
+
+class _Part:
+    """A part with the corpus's ids and counts of its words. told: rows of the unigram table for it."""
+
+    def __init__(self, row: dict, told: list[dict], width: int):
+        self.ids = row["doc_id"]
+        self.train_docs, self.sizes = unpack(row["train"]) > 0, unpack(row["sizes"]).astype(np.int64)
+        told = sorted(told, key=lambda r: r["bucket"])
+        rank = np.concatenate([*(unpack(r["a"]).astype(np.int64) for r in told), np.zeros(0, np.int64)])
+        base = np.repeat([r["bucket"] * width for r in told], [len(unpack(r["a"])) for r in told]).astype(np.int64)
+        count = np.concatenate([*(unpack(r["b"]).astype(np.int64) for r in told), np.zeros(0, np.int64)])
+        id_ = np.where(rank > 0, base + rank - 1 + FIRST, UNKNOWN)
+        # Distinct ids in order: the words that are unknown become one.
+        self.id, place = np.unique(id_, return_inverse=True)
+        self.count = np.zeros(len(self.id), np.int64)
+        self.count[place] = count
+        of_rank = np.empty(len(place), np.int64)
+        of_rank[unpack(row["ranks"]).astype(np.int64)] = place
+        self.word = of_rank[unpack(row["tokens"]).astype(np.int64)]
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.train = self.train_docs[self.doc]
+
+    def bigrams(self) -> None:
+        """history, follower: of the distinct bigrams, in order, the history's and the follower's places among ids (-1: the
+        start); seen: their training counts; place: each token's bigram."""
         key = np.empty(len(self.word), np.int64)
-        key[1:] = shift[self.word[:-1]]
-        key[first] = start
-        key <<= 32
-        key |= self.word
+        key[1:] = self.word[:-1] + 1
+        key[np.cumsum(self.sizes) - self.sizes] = 0
+        key = (key << 32) | self.word
         order = np.argsort(key)
         key = key[order]
         new = np.append(True, key[1:] != key[:-1])[: len(key)]
         at = np.flatnonzero(new)
-        key = key[at]
-        place = np.empty(len(order), np.int32)
-        place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-        count = np.add.reduceat(self.train[order], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
-        return key >> 32, key & 0xFFFFFFFF, count, place
-
-
-def _by_bucket(rows: list[dict], *names: str) -> list[np.ndarray]:
-    """Arrays of a part that came back by range, put together again in order."""
-    rows = sorted(rows, key=lambda r: r["bucket"])
-    return [np.concatenate([*((unpack_floats if n in ("norm", "alpha") else unpack)(r[n]) for r in rows), np.zeros(0, np.float64 if n in ("norm", "alpha") else U)]) for n in names]
-
-
-def score(docs: DataFrame, parts: int) -> DataFrame:
-    """docs: doc_id, text, train. Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score."""
-    ranges = parts
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "train").withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-
-    def words_out(t: pa.Table) -> pa.Table:
-        p = _Part(t)
-        c, at = p.counts(), cuts(p.vocabulary, ranges)
-        full = np.flatnonzero(np.diff(at))
-        return pa.table({"pid": pa.array([t["pid"][0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "h": C.blobs([pack_sorted(p.vocabulary[at[b] : at[b + 1]]) for b in full]), "c": C.blobs([pack(c[at[b] : at[b + 1]]) for b in full])})
-
-    def words_back(t: pa.Table) -> pa.Table:
-        hs, cs = [unpack_sorted(x) for x in t["h"].to_pylist()], [unpack(x).astype(np.int64) for x in t["c"].to_pylist()]
-        all_h, all_c = np.concatenate(hs), np.concatenate(cs)
-        order = np.argsort(all_h)
-        s = all_h[order]
-        at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        vocabulary, total = s[at], np.add.reduceat(all_c[order], at)
-        stats = [count_stats(total).tolist()] + [None] * (len(hs) - 1)
-        return pa.table({"pid": t["pid"], "bucket": t["bucket"], "c": C.blobs([pack(total[np.searchsorted(vocabulary, h)]) for h in hs]), "stats": pa.array(stats, pa.list_(pa.int64()))})
-
-    def added(df: DataFrame, name: str) -> DataFrame:
-        sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(CUTOFF + 4)]
-        return df.where("stats is not null").agg(F.array(*sums).alias(name))
-
-    x1 = texts.groupBy("pid").applyInArrow(words_out, "pid int, bucket int, h binary, c binary")
-    r1 = x1.groupBy("bucket").applyInArrow(words_back, "pid int, bucket int, c binary, stats array<long>")
-    s1 = added(r1, "s1")
-    told1 = r1.select("pid", "bucket", "c").crossJoin(F.broadcast(s1))
-
-    def bigrams_out(t: pa.Table, told: pa.Table) -> pa.Table:
-        p = _Part(t)
-        own = _by_bucket(told.to_pylist(), "c")[0]
-        h, w, c, _ = p.bigrams()
-        at = np.searchsorted(h, cuts(p.history_hash, ranges))
-        rows = {k: [] for k in ("pid", "bucket", "h", "n", "w", "c", "u")}
-        for b in np.flatnonzero(np.diff(at)):
-            part = slice(at[b], at[b + 1])
-            hs, n = np.unique(h[part], return_counts=True)
-            for k, v in (("pid", t["pid"][0].as_py()), ("bucket", b), ("h", pack_sorted(p.history_hash[hs])), ("n", pack(n)), ("w", pack(p.vocabulary[w[part]] & LOW48)), ("c", pack(c[part])), ("u", pack(own[w[part]]))):
-                rows[k].append(v)
-        return pa.table({"pid": pa.array(rows["pid"], pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), **{k: C.blobs(rows[k]) for k in ("h", "n", "w", "c", "u")}})
-
-    x2 = texts.groupBy("pid").cogroup(told1.groupBy("pid")).applyInArrow(bigrams_out, "pid int, bucket int, h binary, n binary, w binary, c binary, u binary")
-
-    def merged(t: pa.Table):
-        hs, ns = [unpack_sorted(x) for x in t["h"].to_pylist()], [unpack(x).astype(np.int64) for x in t["n"].to_pylist()]
-        w, c = (np.concatenate([unpack(x) for x in t[k].to_pylist()]) for k in ("w", "c"))
-        h = np.concatenate([np.repeat(x, n) for x, n in zip(hs, ns, strict=True)])
-        key = C.mix(h * U(0x9FB21C651E98DF25) + w)
-        del w
-        order = np.argsort(key)
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(c[order].astype(np.int64), at)
-        return hs, ns, h, order, new, at, total
-
-    def bigram_stats(t: pa.Table) -> pa.Table:
-        return pa.table({"stats": pa.array([count_stats(merged(t)[-1]).tolist()], pa.list_(pa.int64()))})
-
-    s2 = added(x2.groupBy("bucket").applyInArrow(bigram_stats, "stats array<long>"), "s2")
-    both = docs.sparkSession.range(ranges).select(F.col("id").cast("int").alias("bucket")).crossJoin(F.broadcast(s1)).crossJoin(F.broadcast(s2))
-    empty = pa.table({"pid": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "c": C.blobs([]), "norm": C.blobs([]), "alpha": C.blobs([])})
-
-    def bigrams_back(t: pa.Table, told: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return empty
-        hs, ns, h, order, new, at, total = merged(t)
-        uni = Unigrams(np.array(told["s1"][0].as_py()))
-        d = discounts(np.array(told["s2"][0].as_py())[2:])
-        u = np.concatenate([unpack(x) for x in t["u"].to_pylist()]).astype(np.int64)
-        histories = np.unique(np.concatenate(hs))
-        row = np.searchsorted(histories, h[order[at]])
-        seen = total > 0
-        count = np.bincount(row, total, len(histories))
-        held = np.bincount(row[seen], discounted(total[seen].astype(float), d), len(histories))
-        low = np.bincount(row[seen], uni.p(u[order[at]][seen]), len(histories))
-        norm, alpha = weights(count, held, low)
-        mine = np.empty(len(h), np.int64)
-        mine[order] = np.cumsum(new) - 1
-        per = np.split(total[mine], np.cumsum([n.sum() for n in ns])[:-1])
-        spots = [np.searchsorted(histories, x) for x in hs]
-        return pa.table({"pid": t["pid"], "bucket": t["bucket"], "c": C.blobs([pack(x) for x in per]), "norm": C.blobs([pack_floats(norm[x]) for x in spots]), "alpha": C.blobs([pack_floats(alpha[x]) for x in spots])})
-
-    r2 = x2.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(bigrams_back, "pid int, bucket int, c binary, norm binary, alpha binary")
-    none = F.lit(None).cast("binary")
-    told2 = told1.select("pid", "bucket", "c", none.alias("norm"), none.alias("alpha"), "s1").unionByName(r2.withColumn("s1", F.lit(None).cast("array<long>"))).crossJoin(F.broadcast(s2))
-
-    def evaluate(t: pa.Table, told: pa.Table) -> pa.Table:
-        p = _Part(t)
-        rows = told.to_pylist()
-        uni = Unigrams(np.array(next(r["s1"] for r in rows if r["s1"])))
-        d = discounts(np.array(rows[0]["s2"])[2:])
-        own = _by_bucket([r for r in rows if r["s1"]], "c")[0].astype(np.int64)
-        counts, norm, alpha = _by_bucket([r for r in rows if not r["s1"]], "c", "norm", "alpha")
-        h, w, _, place = p.bigrams()
-        hs, back = np.unique(h, return_inverse=True)
-        c = counts.astype(float)
-        prob = np.where(c > 0, discounted(c, d) / norm[back], alpha[back] * uni.p(own[w]))
-        logs = np.log10(prob)[place]
-        c1 = own[p.word]
-        base = np.log10((c1 + 1) / (uni.n + uni.v + 1))
-        total = lambda x: np.bincount(p.doc, x, p.rows)
-        return pa.table({"doc_id": t["doc_id"], "train": t["train"], "n_tokens": pa.array(total(None).astype(np.int64)), "n_known": pa.array(total(c1 > 0).astype(np.int64)), "train_tokens": pa.array(np.full(p.rows, int(uni.n))), "base_score": total(base), "score": total(logs)})
-
-    return texts.groupBy("pid").cogroup(told2.groupBy("pid")).applyInArrow(evaluate, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.seen = np.add.reduceat(self.train[order], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+        self.history, self.follower = (key[at] >> 32) - 1, key[at] & 0xFFFFFFFF
+        # Only histories and followers that training texts have can be in the table.
+        self.history_id = np.where(self.history < 0, START, self.id[self.history] if len(self.id) else START)
+        self.listed = self.history_id != UNKNOWN
+        self.asked = self.listed & (self.id[self.follower] != UNKNOWN)
+
+    def histories(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the listed histories in order; how many asked bigrams each has; each listed bigram's history among them."""
+        ids, back = np.unique(self.history_id[self.listed], return_inverse=True)
+        return ids, np.bincount(back[self.asked[self.listed]], minlength=len(ids)), back
+
+
+def _added(table: DataFrame) -> tuple[np.ndarray, int]:
+    """The sums of the ranges' statistics, and the most known entries that a range has."""
+    sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(CUTOFF + 4)]
+    row = table.where("stats is not null").agg(F.array(*sums), F.coalesce(F.max(F.col("stats")[1]), F.lit(0))).first()
+    return np.array(row[0]), max(1, int(row[1]))
+
+
+def _stats(total: np.ndarray) -> list[int]:
+    return count_stats(total).astype(np.int64).tolist()
+
+
+@dataclass
+class Model:
+    """words: bucket, pid, a (sorted hashes), b (counts); pairs: the same of bigrams; and the number of ranges."""
+
+    words: DataFrame
+    pairs: DataFrame
+    ranges: int
+
+    def save(self, folder: str) -> None:
+        """Tables partitioned by range."""
+        for name, df in (("words", self.words), ("pairs", self.pairs)):
+            df.withColumn("range", F.col("bucket")).write.partitionBy("range").mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+        spark = self.words.sparkSession
+        spark.createDataFrame([(json.dumps({"ranges": self.ranges}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Model:
+        read_ = lambda n: spark.read.parquet(f"{folder.rstrip('/')}/{n}").drop("range")
+        return Model(read_("words"), read_("pairs"), json.loads(spark.read.text(f"{folder.rstrip('/')}/about").first()[0])["ranges"])
+
+
+WORDS = "bucket int, pid long, a binary, b binary"
+PAIRS = "bucket int, pid long, h binary, n binary, w binary, c binary, u binary"
+
+
+def _sent_words(parts: DataFrame, ranges: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                words, counts = unpack_sorted(r["words"]), unpack(r["counts"])
+                at = cuts(words, ranges)
+                full = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([r["pid"]] * len(full), pa.int64()), C.blobs([pack_sorted(words[at[k] : at[k + 1]]) for k in full]), C.blobs([pack(counts[at[k] : at[k + 1]]) for k in full])], ["bucket", "pid", "a", "b"])
+
+    return parts.select("pid", "words", "counts").mapInArrow(run, WORDS)
+
+
+def _merged_words(t: pa.Table) -> pa.Table:
+    """For each part its words' ranks among the known ones (from 1; 0: unknown) and counts; and the known words, as the model's row."""
+    C.trim()
+    hs, cs = [unpack_sorted(x) for x in t["a"].to_pylist()], [unpack(x).astype(np.int64) for x in t["b"].to_pylist()]
+    every = np.concatenate(hs)
+    order = np.argsort(every)
+    s = every[order]
+    at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    words, total = s[at], np.add.reduceat(np.concatenate(cs)[order], at)
+    known = total > 0
+    rank = np.cumsum(known) * known
+    places = [np.searchsorted(words, h) for h, p in zip(hs, t["pid"].to_pylist(), strict=True) if p != MODEL]
+    pids = [p for p in t["pid"].to_pylist() if p != MODEL]
+    bucket = t["bucket"][0].as_py()
+    return pa.table({
+        "bucket": pa.array([bucket] * (len(pids) + 1), pa.int32()),
+        "pid": pa.array([*pids, MODEL], pa.int64()),
+        "a": C.blobs([*(pack(rank[x]) for x in places), pack_sorted(words[known])]),
+        "b": C.blobs([*(pack(total[x]) for x in places), pack(total[known])]),
+        "stats": pa.array([None] * len(pids) + [_stats(total)], pa.list_(pa.int64())),
+    })
+
+
+def _merged_pairs(t: pa.Table, uni: Unigrams) -> pa.Table:
+    """For each part its bigrams' counts, and of each of its histories the count, how many followers were seen 1 .. CUTOFF
+    times and all followers' share as unigrams; and the known bigrams, as the model's row."""
+    C.trim()
+    rows = t.to_pylist()
+    hs, ns = [unpack_sorted(r["h"]).astype(np.int64) for r in rows], [unpack(r["n"]).astype(np.int64) for r in rows]
+    w, c, u = (np.concatenate([unpack(r[k]) for r in rows]).astype(np.int64) for k in ("w", "c", "u"))
+    histories = np.unique(np.concatenate(hs))
+    spots = [np.searchsorted(histories, h) for h in hs]
+    h = np.concatenate([np.repeat(x, n) for x, n in zip(spots, ns, strict=True)])
+    order = np.lexsort((w, h))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1]))[: len(h)]
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(c[order], at) if len(at) else np.zeros(0, np.int64)
+    row, words, unis = h[order][at], w[order][at], u[order][at]
+    known = total > 0
+    each = lambda mask: np.bincount(row[mask], minlength=len(histories))
+    count = np.bincount(row, total, len(histories)).astype(np.int64)
+    few = np.stack([each(total == r) for r in range(1, CUTOFF + 1)])
+    low = np.bincount(row[known], uni.p(unis[known]), len(histories))
+    mine = np.empty(len(h), np.int64)
+    mine[order] = np.cumsum(new) - 1
+    per = np.split(total[mine], np.cumsum([n.sum() for n in ns])[:-1])
+    out = {k: [] for k in ("bucket", "pid", "h", "n", "w", "c", "u", "few", "low", "stats")}
+    for r, x, p in zip(rows, spots, per, strict=True):
+        if r["pid"] != MODEL:
+            for k, v in zip(out, (r["bucket"], r["pid"], pack(count[x]), None, None, pack(p), None, pack(few[:, x].ravel()), pack_floats(low[x]), None), strict=True):
+                out[k].append(v)
+    there, many = np.unique(row[known], return_counts=True)
+    for k, v in zip(out, (rows[0]["bucket"], MODEL, pack_sorted(histories[there]), pack(many), pack(words[known]), pack(total[known]), pack(unis[known]), None, None, _stats(total)), strict=True):
+        out[k].append(v)
+    kinds = [pa.int32(), pa.int64(), *(pa.binary(),) * 7, pa.list_(pa.int64())]
+    return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=True)})
+
+
+def score(docs: DataFrame, model: Model | None = None, keep: str | None = None, range_tokens: int = RANGE_TOKENS) -> DataFrame:
+    """docs: doc_id, text, train. Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score. With a model
+    no text is learned from. keep: a folder for the model."""
+    if model:
+        docs = docs.withColumn("train", F.lit(False))
+    with C.Scratch(docs.sparkSession) as s:
+        parts = s.table(read(docs), "katz-parts")
+        ranges = model.ranges if model else C.sized_partitions(parts.agg(F.sum("n")).first()[0] or 0, range_tokens)
+        sent = _sent_words(parts, ranges)
+        sent = sent.unionByName(model.words) if model else sent
+        words = s.table(sent.groupBy("bucket").applyInArrow(_merged_words, WORDS + ", stats array<long>"), "katz-words")
+        totals, width = _added(words)
+        uni = Unigrams(totals)
+        span = ranges * width + FIRST  # ids are less
+        none = F.lit(None).cast("binary")
+        about_words = words.where(F.col("pid") != MODEL).select("pid", "bucket", "a", "b", *(none.alias(k) for k in ("h", "c", "few", "low")))
+
+        def pairs_out(t: pa.Table, told: pa.Table) -> pa.Table:
+            C.trim()
+            out = {k: [] for k in ("bucket", "pid", "h", "n", "w", "c", "u")}
+            for r in t.to_pylist():
+                p = _Part(r, told.to_pylist(), width)
+                p.bigrams()
+                ids, many, _ = p.histories()
+                bucket = ids * ranges // span
+                edge = np.searchsorted(bucket, np.arange(ranges + 1))
+                ends = np.concatenate([[0], np.cumsum(many)])
+                w, c = p.follower[p.asked], p.seen[p.asked]
+                for b in np.flatnonzero(np.diff(edge)):
+                    i, j = edge[b], edge[b + 1]
+                    x = slice(ends[i], ends[j])
+                    for k, v in zip(out, (b, r["pid"], pack_sorted(ids[i:j]), pack(many[i:j]), pack(p.id[w[x]]), pack(c[x]), pack(p.count[w[x]])), strict=True):
+                        out[k].append(v)
+            return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "pid": pa.array(out["pid"], pa.int64()), **{k: C.blobs(out[k]) for k in ("h", "n", "w", "c", "u")}})
+
+        sent = parts.groupBy("pid").cogroup(about_words.groupBy("pid")).applyInArrow(pairs_out, PAIRS)
+        sent = sent.unionByName(model.pairs) if model else sent
+        pairs = s.table(sent.groupBy("bucket").applyInArrow(lambda t: _merged_pairs(t, uni), PAIRS + ", few binary, low binary, stats array<long>"), "katz-pairs")
+        d = discounts(_added(pairs)[0][2:])
+        about_pairs = pairs.where(F.col("pid") != MODEL).select("pid", "bucket", none.alias("a"), none.alias("b"), "h", "c", "few", "low")
+
+        def evaluate(t: pa.Table, told: pa.Table) -> pa.Table:
+            C.trim()
+            rows = told.to_pylist()
+            r = t.to_pylist()[0]
+            p = _Part(r, [x for x in rows if x["h"] is None], width)
+            p.bigrams()
+            ids, _, back = p.histories()
+            rows = sorted((x for x in rows if x["h"] is not None), key=lambda x: x["bucket"])
+            whole = lambda k, f: np.concatenate([*(f(x[k]) for x in rows), np.zeros(0, np.float64)])
+            count, low = whole("h", unpack).astype(float), whole("low", unpack_floats)
+            few = np.concatenate([np.zeros((CUTOFF, 0)), *(unpack(x["few"]).reshape(CUTOFF, -1).astype(float) for x in rows)], 1)
+            held = count - (few * (np.arange(1, CUTOFF + 1) * (1 - d[1:]))[:, None]).sum(0)
+            norm, alpha = weights(count, held, low)
+            c = np.zeros(len(p.follower))
+            c[p.asked] = whole("c", unpack)
+            n, a = np.ones(len(c)), np.ones(len(c))  # an unknown history has weight 1
+            n[p.listed], a[p.listed] = norm[back], alpha[back]
+            logs = np.log10(np.where(c > 0, discounted(c, d) / n, a * uni.p(p.count[p.follower])))[p.place]
+            c1 = p.count[p.word]
+            total = lambda x: np.bincount(p.doc, x, len(p.ids))
+            done = [pa.array(p.ids, pa.int64()), pa.array(p.train_docs), total(None).astype(np.int64), total(c1 > 0).astype(np.int64), np.full(len(p.ids), int(uni.n)), total(np.log10((c1 + 1) / (uni.n + uni.v + 1))), total(logs)]
+            return pa.table(dict(zip(["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"], done, strict=True)))
+
+        told = about_words.unionByName(about_pairs)
+        done = parts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(evaluate, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        if keep:
+            Model(words.where(F.col("pid") == MODEL).drop("stats"), pairs.where(F.col("pid") == MODEL).drop("few", "low", "stats"), ranges).save(keep)
+        return C.materialize(done, "katz-scores")
 
 
 def weights(count: np.ndarray, held: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,6 +358,4 @@ def weights(count: np.ndarray, held: np.ndarray, low: np.ndarray) -> tuple[np.nd
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("train", F.coalesce(C.remainder("doc_id", 7) != 2, F.lit(True)))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    done = score(docs, C.sized_partitions(total, PART_BYTES, 4))
-    return done.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

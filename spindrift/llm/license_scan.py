@@ -1,15 +1,15 @@
 """License scans: TF-IDF cosine of headers and license files to license templates, then inheritance from the nearest directory.
 
 DataFrame functions only. Of every whole text three kinds of pieces are compared: lines that hold a cue (license,
-copyright, ...), blocks between blank lines that hold one (headers), and the whole text, if it holds one or its file
-name is a license file's. Pieces are first reduced to distinct ones, whatever their number of occurrences. Tokens are
+copyright, ...), headers (of each block between blank lines, the lines at most REACH lines from one with a cue), and the
+whole text, if headers are HALF of it or its file name is a license file's. Pieces are first reduced to distinct ones, whatever their number of occurrences. Tokens are
 runs of letters or digits, so comment marks don't count; they are weighed by tf x idf, where document frequencies count
 all distinct pieces of the corpus and the templates. The sparse dot products come from a join on tokens with the
 templates' weights (a fixed list, broadcast). A piece resembles a notice at LEAST or more and the text of a license at
 LEAST_TEXT or more, and takes the license of the most similar template.
 
-A document's own license is its whole text's, else its best block's, else its best line's. It is a license file if its
-whole text or name is one's, or if such lines or blocks are HALF of its characters or more. A directory's license is its license files' best;
+A document's own license is its whole text's, else its best header's, else its best line's. It is a license file if its
+whole text or name is one's, or if such lines or headers are HALF of its characters or more. A directory's license is its license files' best;
 every directory takes that of its nearest ancestor that has one (itself included), found by a join on ancestor paths of
 the distinct directories, and its documents without a license of their own inherit it.
 
@@ -29,6 +29,7 @@ QUERY = "op5_license_scan"
 LEAST, LEAST_TEXT, HALF = 0.6, 0.8, 0.5
 CUES = ["licen", "copyright", "spdx", "all rights reserved", "public domain", "permission", "redistribution"]
 WHOLE, BLOCK, LINE = 0, 1, 2
+REACH = 3
 BLANK_LINE = r"\n[\x20\x09\r]*\n"
 FILE_NAME = r"^(un)?licen[cs]e|^copying|^notice|^copyright"
 #: Notices of common licenses, as lines and headers have them.
@@ -97,8 +98,18 @@ def _pieces(docs: DataFrame) -> DataFrame:
     named = F.coalesce(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(FILE_NAME), F.lit(False))
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", named.alias("named")).where(some | F.col("named"))
     cued = lambda parts: F.filter(parts, lambda x: F.lower(x).rlike(cue))
+
+    def header(block: Column) -> Column:
+        lines = F.split(block, "\n")
+        marks = F.transform(lines, lambda x: F.lower(x).rlike(cue))
+        near = lambda i: F.exists(F.slice(marks, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH)) + REACH + 1), lambda m: m)
+        return F.array_join(F.filter(lines, lambda x, i: near(i)), "\n")
+
+    docs = docs.select("doc_id", "text", "named", F.transform(cued(F.split("text", BLANK_LINE)), header).alias("headers"))
+    share = F.aggregate("headers", F.lit(0), lambda a, x: a + F.length(x)) >= HALF * F.length("text")
     of = lambda kind, parts: F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("piece")))
-    every = F.concat(of(LINE, cued(F.split("text", "\n"))), of(BLOCK, cued(F.split("text", BLANK_LINE))), of(WHOLE, F.array("text")))
+    whole = F.when(F.col("named") | share, F.array("text")).otherwise(F.array().cast("array<string>"))
+    every = F.concat(of(LINE, cued(F.split("text", "\n"))), of(BLOCK, F.col("headers")), of(WHOLE, whole))
     return docs.select("doc_id", F.inline(every), F.length("text").alias("whole"), "named")
 
 
@@ -171,10 +182,17 @@ placed AS (
     SELECT doc_id, concat_ws('/', coalesce(source, 'unknown'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 % 10 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, text FROM documents)
 ), likely AS (
   SELECT doc_id, text, named FROM placed WHERE text IS NOT NULL AND (named OR regexp_matches(lower(text), '{cue}'))
+), blocks AS (
+  SELECT doc_id, text, named, string_split(x, chr(10)) AS lines, list_transform(string_split(x, chr(10)), lambda y: regexp_matches(lower(y), '{cue}')) AS marks
+  FROM (SELECT *, unnest(regexp_split_to_array(text, '{BLANK_LINE}')) AS x FROM likely) WHERE regexp_matches(lower(x), '{cue}')
+), headers AS (
+  SELECT doc_id, text, named, array_to_string(list_filter(lines, lambda y, i: list_contains(list_slice(marks, greatest(i - {REACH}, 1), i + {REACH}), true)), chr(10)) AS h FROM blocks
+), covered AS (
+  SELECT doc_id, sum(length(h)) AS chars FROM headers GROUP BY doc_id
 ), found AS (
   SELECT doc_id, {LINE} AS kind, trim(x, ' ') AS piece, length(text) AS whole, named FROM (SELECT *, unnest(string_split(text, chr(10))) AS x FROM likely) WHERE regexp_matches(lower(x), '{cue}')
-  UNION ALL SELECT doc_id, {BLOCK}, trim(x, ' '), length(text), named FROM (SELECT *, unnest(regexp_split_to_array(text, '{BLANK_LINE}')) AS x FROM likely) WHERE regexp_matches(lower(x), '{cue}')
-  UNION ALL SELECT doc_id, {WHOLE}, trim(text, ' '), length(text), named FROM likely
+  UNION ALL SELECT doc_id, {BLOCK}, trim(h, ' '), length(text), named FROM headers
+  UNION ALL SELECT doc_id, {WHOLE}, trim(text, ' '), length(text), named FROM likely LEFT JOIN covered USING (doc_id) WHERE named OR chars >= {HALF} * length(text)
 ), pieces AS (SELECT DISTINCT piece FROM found),
 tf AS (SELECT piece, token, count(*) AS tf FROM (SELECT piece, {tokens} AS token FROM pieces) GROUP BY piece, token),
 ttf AS (SELECT template, license, least, token, count(*) AS tf FROM (SELECT template, license, least, {tokens} AS token FROM templates) GROUP BY template, license, least, token),

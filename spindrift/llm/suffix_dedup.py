@@ -9,15 +9,17 @@ suffix would move WIDTH bytes for each byte of text, so the sort is sparse and i
    in two documents or more go on (a false match costs time, never a wrong byte). This is the distinguishing-prefix
    filter of distributed string sorting.
 3. X2 sends, for these, front-coded runs of suffixes sorted in each part: the suffix's WIDTH bytes from the anchor, then
-   the bytes before it in reverse; each string as the length of the prefix it shares with the one before, and the rest.
+   the bytes before it in reverse; each string as the length of the prefix it shares with the one before, and the rest;
+   and of the documents that have a string in a part the least one. The part's others lose the string in any case.
    A loser tree merges the runs; it keeps, for each loser, the prefix it shares with the winner, decides by these
    lengths alone where they differ, and else compares from there on. The order's common prefixes give the classes of
-   equal strings at each offset around the anchor, and the smallest doc_id of each class tells what goes.
-4. Covered spans go back to their documents' parts, where whole texts are cut and hashed.
+   equal strings at each offset around the anchor, and the smallest doc_id of each class tells what goes. However many
+   documents have a passage, a part sends each of its strings once.
+4. The answers, two numbers a string, go back to the parts, where whole texts are cut and hashed.
 
-Exact copies of a whole document are found first (SHA-256) and go whole; the first of them stands for all. Parts and
-ranges grow in number with the corpus. Within a part equal suffixes are sent once with their documents, so frequent
-passages are combined before the exchange.
+Exact copies of a whole document are found first (SHA-256) and go whole; the first of them stands for all. The number of
+parts follows the bytes of texts, that of ranges the bytes and the anchors left. What each exchange gives is a written
+table, so that a lost executor starts one step again at most; shuffle files go with their step.
 
 Defined results: null and empty texts have 0 bytes; texts under WIDTH bytes lose nothing; rows that repeat a doc_id
 with its text get the same result each and don't remove each other; a null doc_id's row loses nothing and removes
@@ -48,8 +50,8 @@ PIECE = 1 << 20
 NONE = 0xFF  # never a byte of UTF-8: stands where a document has ended
 
 
-#: Ranges of suffixes for each range of gram hashes: suffixes take more memory to merge.
-SPLIT = 4
+#: Parts whose grams one range holds, and anchors whose suffixes one range merges, about.
+RANGE_PARTS, PER_RANGE = 2, 30_000
 
 
 def _sliding(a: np.ndarray, n: int, f) -> np.ndarray:
@@ -183,16 +185,30 @@ def within(a: np.ndarray, among: np.ndarray) -> np.ndarray:
     return (i < len(among)) & (among[np.minimum(i, len(among) - 1)] == a) if len(among) else np.zeros(len(a), bool)
 
 
-class _Part:
-    """The rows of a part; anchors of those that can share strings with others."""
+class _Rows:
+    """The rows of a part."""
 
-    def __init__(self, t: pa.Table, copies: pa.Table):
+    def __init__(self, t: pa.Table):
         t = t.combine_chunks()
         self.ids = t["doc_id"].to_pylist()
+        self.buf, self.at = C.joined(t["text"]) if self.ids else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The part's distinct doc_ids in order, and each row's number among them (-1 for a null one)."""
+        named = np.array([i is not None for i in self.ids], bool)
+        ids, number = np.unique(np.array([i for i in self.ids if i is not None], np.int64), return_inverse=True)
+        of = np.full(len(self.ids), -1, np.int64)
+        of[named] = number
+        return ids, of
+
+
+class _Part(_Rows):
+    """With the anchors of rows that can share strings with others."""
+
+    def __init__(self, t: pa.Table, copies: pa.Table):
+        super().__init__(t)
         copy = set(copies["doc_id"].to_pylist())
-        self.copy = np.array([i in copy for i in self.ids], bool)
-        self.buf, self.at = C.joined(t["text"])
-        good = np.array([i is not None for i in self.ids], bool) & ~self.copy & (np.diff(self.at) > WIDTH)
+        good = np.array([i is not None and i not in copy for i in self.ids], bool) & (np.diff(self.at) > WIDTH)
         ps, hs = [], []
         i = 0
         while i < len(self.ids):  # pieces bound the memory of the arrays of hashes
@@ -221,9 +237,10 @@ def _ranges(gram: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(buckets(gram << U(16), n), np.arange(n + 1))
 
 
-def covered(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From sorted runs (strings, prefixes, how many places have each string, and doc_id and place of each): doc_id, start, end of spans to remove."""
-    order, lcp = merge_runs([[bytes(x) for x in m.view(f"V{LONG}").ravel()] for m, *_ in runs], [p.tolist() for _, p, _, _ in runs])
+def covered(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """From sorted runs (strings, prefixes, the least doc_id that has each): for each run and string the least and the
+    greatest offset at which that document's string goes, or (LONG, -1) if it stays at all."""
+    order, lcp = merge_runs([[bytes(x) for x in m.view(f"V{LONG}").ravel()] for m, *_ in runs], [p.tolist() for _, p, _ in runs])
     run = np.array(order)
     del order
     lcp = np.array(lcp)
@@ -231,170 +248,179 @@ def covered(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -
     source = np.empty(len(run), np.int64)
     source[by_run] = np.arange(len(run))  # run after run, each in its own order
     m = np.concatenate([m for m, *_ in runs])[source]
-    many = np.concatenate([n for _, _, n, _ in runs])[source]
-    member = np.concatenate([d for *_, d in runs])
-    starts = np.concatenate([n for _, _, n, _ in runs])
-    first = np.cumsum(starts) - starts
-    take = np.repeat(first[source] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    doc, place = member[take, 0], member[take, 1]
-    context = np.repeat(np.arange(len(m)), many)
-    right = (m[:, :WIDTH] != NONE).sum(1)
-    left = (m[:, WIDTH:] != NONE).sum(1)
-    near, far = np.maximum(0, WIDTH - right), np.minimum(BACK, left)
+    doc = np.concatenate([d for *_, d in runs])[source]
     lowest, highest = np.full(len(doc), LONG), np.full(len(doc), -1)
     gram = np.cumsum(lcp < GRAM)
-    alone = np.bincount(gram)[gram] == 1
-    least = np.full(len(m), np.iinfo(np.int64).max)
-    np.minimum.at(least, context, doc)
-    whole = alone[context] & (least[context] < doc) & (near <= far)[context]
-    lowest[whole], highest[whole] = near[context][whole], far[context][whole]
-    some = np.flatnonzero(~alone)
+    some = np.flatnonzero(np.bincount(gram)[gram] > 1)
     if len(some):
-        mixed = np.flatnonzero(~alone[context])
+        near, far = _room(m[some])
         back = m[some, WIDTH:]
         turn = sort_rows(back)
         shared = common_prefix(back[turn])
-        id_of = np.zeros(len(m), np.int64)
         for d in range(BACK + 1):
             right_id = np.cumsum(lcp < WIDTH - d)[some]
             left_id = np.empty(len(some), np.int64)
             left_id[turn] = np.cumsum(shared < d)
-            valid = (near[some] <= d) & (d <= far[some])
-            key = right_id * (len(some) + 1) + left_id
-            _, id_of[some] = np.unique(key, return_inverse=True)
-            use = mixed[np.isin(context[mixed], some[valid])] if not valid.all() else mixed
+            _, class_of = np.unique(right_id * (len(some) + 1) + left_id, return_inverse=True)
+            use = np.flatnonzero((near <= d) & (d <= far))
             least = np.full(len(some), np.iinfo(np.int64).max)
-            np.minimum.at(least, id_of[context[use]], doc[use])
-            hit = use[least[id_of[context[use]]] < doc[use]]
+            np.minimum.at(least, class_of[use], doc[some[use]])
+            hit = some[use[least[class_of[use]] < doc[some[use]]]]
             lowest[hit], highest[hit] = np.minimum(lowest[hit], d), np.maximum(highest[hit], d)
-    got = np.flatnonzero(highest >= 0)
     # All strings at an anchor overlap in its gram, so offsets lowest .. highest cover one span.
-    return doc[got], place[got] - highest[got], place[got] + WIDTH - lowest[got]
-
-
-def suffix_dedup(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    pid = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("pid")
-    known = C.materialize(docs.where("doc_id is not null and text is not null").select("doc_id", F.sha2("text", 256).alias("sha")), "suffix-hashes")
-    firsts = known.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = C.materialize(known.join(firsts, "sha").where("first < doc_id").select("doc_id", pid).distinct(), "suffix-copies")
-    ranges = parts
-
-    def grams_out(t: pa.Table, c: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({"pid": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "g": C.blobs([]), "two": C.blobs([])})
-        p = _Part(t, c)
-        at, two = _ranges(p.gram, ranges), p.in_two()
-        full = np.flatnonzero(np.diff(at))
-        return pa.table({"pid": pa.array([t["pid"][0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "g": C.blobs([pack_sorted(p.gram[at[b] : at[b + 1]]) for b in full]), "two": C.blobs([pack(two[at[b] : at[b + 1]]) for b in full])})
-
-    def grams_back(t: pa.Table) -> pa.Table:
-        gs, two = [unpack_sorted(x) for x in t["g"].to_pylist()], [unpack(x) > 0 for x in t["two"].to_pylist()]
-        every = np.sort(np.concatenate(gs))
-        again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(g[x] for g, x in zip(gs, two, strict=True))]))
-        return pa.table({"pid": t["pid"], "bucket": t["bucket"], "again": C.blobs([np.packbits(within(g, again)).tobytes() for g in gs])})
-
-    x1 = texts.groupBy("pid").cogroup(copies.groupBy("pid")).applyInArrow(grams_out, "pid int, bucket int, g binary, two binary")
-    r1 = x1.groupBy("bucket").applyInArrow(grams_back, "pid int, bucket int, again binary")
-    told = r1.select("pid", "bucket", "again", F.lit(None).cast("long").alias("doc_id")).unionByName(copies.select("pid", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("again"), "doc_id"))
-    shape = "pid int, bucket int, lcp binary, rest binary, n binary, doc binary, place binary"
-
-    def suffixes_out(t: pa.Table, told: pa.Table) -> pa.Table:
-        rows = {k: [] for k in ("pid", "bucket", "lcp", "rest", "n", "doc", "place")}
-        if t.num_rows:
-            p = _Part(t, told.filter(pc.is_valid(told["doc_id"])))
-            at = _ranges(p.gram, ranges)
-            fine = _ranges(p.gram, ranges * SPLIT)
-            again = np.zeros(len(p.gram), bool)
-            for r in told.to_pylist():
-                if r["bucket"] is not None:
-                    a, z = at[r["bucket"]], at[r["bucket"] + 1]
-                    again[a:z] = np.unpackbits(np.frombuffer(r["again"], np.uint8))[: z - a]
-            use = np.flatnonzero(again[p.which])
-            use = use[np.argsort(p.which[use], kind="stable")]
-            edge = np.searchsorted(p.which[use], fine)
-            ids = np.array([-1 if i is None else i for i in p.ids], np.int64)
-            for b in np.flatnonzero(np.diff(edge)):
-                some = use[edge[b] : edge[b + 1]]
-                m = contexts(p.buf, p.at, p.p[some], p.row[some])
-                turn = sort_rows(m)
-                m, some = m[turn], some[turn]
-                lcp = common_prefix(m)
-                new = lcp < LONG
-                start = np.flatnonzero(new)
-                m, lcp = m[new], lcp[new]
-                for k, v in (("pid", t["pid"][0].as_py()), ("bucket", b), ("lcp", pack(lcp)), ("rest", pack(m[np.arange(LONG) >= lcp[:, None]])), ("n", pack(np.diff(np.append(start, len(some))))), ("doc", pack(ids[p.row[some]].view(U))), ("place", pack(p.p[some] - p.at[p.row[some]]))):
-                    rows[k].append(v)
-        return pa.table({"pid": pa.array(rows["pid"], pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), **{k: C.blobs(rows[k]) for k in ("lcp", "rest", "n", "doc", "place")}})
-
-    x2 = texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(suffixes_out, shape)
-
-    def spans_back(t: pa.Table) -> pa.Table:
-        runs, of = [], {}
-        for r in t.to_pylist():
-            m, lcp = front_decode(r["lcp"], r["rest"])
-            member = np.stack([unpack(r["doc"]).view(np.int64), unpack(r["place"]).astype(np.int64)], 1)
-            runs.append((m, lcp, unpack(r["n"]).astype(np.int64), member))
-            of.setdefault(r["pid"], []).append(member[:, 0])
-        doc, start, end = covered(runs)
-        out = {k: [] for k in ("pid", "doc", "start", "size")}
-        for pid_, docs_ in of.items():
-            mine = np.isin(doc, np.concatenate(docs_))
-            if mine.any():
-                for k, v in (("pid", pid_), ("doc", pack(doc[mine].view(U))), ("start", pack(start[mine])), ("size", pack((end - start)[mine]))):
-                    out[k].append(v)
-        return pa.table({"pid": pa.array(out["pid"], pa.int32()), **{k: C.blobs(out[k]) for k in ("doc", "start", "size")}})
-
-    spans = x2.groupBy("bucket").applyInArrow(spans_back, "pid int, doc binary, start binary, size binary")
-    none = F.lit(None).cast("binary")
-    told2 = spans.select("pid", "doc", "start", "size", F.lit(None).cast("long").alias("doc_id")).unionByName(copies.select("pid", none.alias("doc"), none.alias("start"), none.alias("size"), "doc_id"))
-
-    def cut(t: pa.Table, told: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids = t["doc_id"].to_pylist()
-        buf, at = C.joined(t["text"]) if ids else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        gone = np.zeros(len(buf) + 1, np.int32)
-        copies_ = set(told["doc_id"].to_pylist()) - {None}
-        rows_of: dict[int, list[int]] = {}
-        for i, d in enumerate(ids):
-            rows_of.setdefault(d, []).append(i)
-        many = [i for d, r in rows_of.items() if d is not None for i in r]
-        key = np.array([ids[i] for i in many], np.int64)
-        turn = np.argsort(key, kind="stable")
-        key, many = key[turn], np.array(many, np.int64)[turn]
-        for r in told.to_pylist():
-            if r["doc"] is None:
-                continue
-            doc, start = unpack(r["doc"]).view(np.int64), unpack(r["start"]).astype(np.int64)
-            end = start + unpack(r["size"]).astype(np.int64)
-            a, z = np.searchsorted(key, doc), np.searchsorted(key, doc, side="right")
-            for k in range(int((z - a).max(initial=0))):
-                has = a + k < z
-                row = many[(a + k)[has]]
-                np.add.at(gone, at[row] + start[has], 1)
-                np.add.at(gone, at[row] + end[has], -1)
-        out = np.cumsum(gone[:-1]) > 0
-        size = np.diff(at) - 1
-        res = {k: [] for k in ("n_removed", "n_spans", "kept_sha256", "kept")}
-        for i, d in enumerate(ids):
-            own, text = out[at[i] : at[i] + size[i]], buf[at[i] : at[i] + size[i]]
-            if d in copies_ and size[i] >= WIDTH:
-                own = np.ones(len(own), bool)
-            kept = text[~own].tobytes()
-            res["n_removed"].append(int(own.sum()))
-            res["n_spans"].append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
-            res["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            res["kept"].append(kept)
-        return pa.table({"doc_id": t["doc_id"] if ids else pa.array([], pa.int64()), "n_bytes": pa.array(size[: len(ids)].astype(np.int64)), "n_removed": pa.array(res["n_removed"], pa.int64()), "n_spans": pa.array(res["n_spans"], pa.int64()), "kept_sha256": pa.array(res["kept_sha256"], pa.string()), "kept": C.blobs(res["kept"])})
-
-    return texts.groupBy("pid").cogroup(told2.groupBy("pid")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    low, high = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    low[source], high[source] = lowest, highest
+    ends = np.cumsum([len(d) for *_, d in runs])[:-1]
+    return list(zip(np.split(low, ends), np.split(high, ends), strict=True))
+
+
+def _room(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts, the least and the greatest offset at which a string of WIDTH bytes lies in its document."""
+    right, left = (m[:, :WIDTH] != NONE).sum(1), (m[:, WIDTH:] != NONE).sum(1)
+    return np.maximum(0, WIDTH - right), np.minimum(BACK, left)
+
+
+def suffix_dedup(docs: DataFrame, parts: int | None = None, per_range: int = PER_RANGE, texts_too: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) with texts_too. parts: by default, of PART_BYTES each."""
+    if parts is None:
+        parts = C.sized_partitions(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART_BYTES)
+    pid = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(parts)).cast("int").alias("pid")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", pid)
+    ranges = max(4, -(-parts // RANGE_PARTS))
+    with C.Scratch(docs.sparkSession) as s:
+        known = s.table(docs.where("doc_id is not null and text is not null").select("doc_id", "text").select("doc_id", F.sha2("text", 256).alias("sha"), pid), "suffix-hashes")
+        firsts = known.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        copies = s.table(known.join(firsts, "sha").where("first < doc_id").select("doc_id", "pid").distinct(), "suffix-copies")
+        s.drop(known)
+
+        def grams_out(t: pa.Table, c: pa.Table) -> pa.Table:
+            C.trim()
+            if not t.num_rows:
+                return pa.table({"pid": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "g": C.blobs([]), "two": C.blobs([])})
+            p = _Part(t, c)
+            at, two = _ranges(p.gram, ranges), p.in_two()
+            full = np.flatnonzero(np.diff(at))
+            return pa.table({"pid": pa.array([t["pid"][0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "g": C.blobs([pack_sorted(p.gram[at[b] : at[b + 1]]) for b in full]), "two": C.blobs([pack(two[at[b] : at[b + 1]]) for b in full])})
+
+        def grams_back(t: pa.Table) -> pa.Table:
+            C.trim()
+            gs, two = [unpack_sorted(x) for x in t["g"].to_pylist()], [unpack(x) > 0 for x in t["two"].to_pylist()]
+            every = np.sort(np.concatenate(gs))
+            again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(g[x] for g, x in zip(gs, two, strict=True))]))
+            marks = [within(g, again) for g in gs]
+            return pa.table({"pid": t["pid"], "bucket": t["bucket"], "again": C.blobs([np.packbits(x).tobytes() for x in marks]), "n": pa.array([int(x.sum()) for x in marks], pa.int64())})
+
+        sent = texts.groupBy("pid").cogroup(copies.groupBy("pid")).applyInArrow(grams_out, "pid int, bucket int, g binary, two binary")
+        again = s.table(sent.groupBy("bucket").applyInArrow(grams_back, "pid int, bucket int, again binary, n long"), "suffix-again")
+        fine = max(4, -(-(again.agg(F.sum("n")).first()[0] or 0) // per_range))
+        only_copies = copies.select("pid", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("again"), "doc_id")
+        told = again.select("pid", "bucket", "again", F.lit(None).cast("long").alias("doc_id")).unionByName(only_copies)
+        names = ["what", "pid", "bucket", "a", "b", "c", "d", "e", "f"]
+
+        def suffixes_out(t: pa.Table, told: pa.Table) -> pa.Table:
+            C.trim()
+            out = {k: [] for k in names}
+            if t.num_rows:
+                p = _Part(t, told.filter(pc.is_valid(told["doc_id"])))
+                at, edges = _ranges(p.gram, ranges), _ranges(p.gram, fine)
+                again = np.zeros(len(p.gram), bool)
+                for r in told.to_pylist():
+                    if r["bucket"] is not None:
+                        a, z = at[r["bucket"]], at[r["bucket"] + 1]
+                        again[a:z] = np.unpackbits(np.frombuffer(r["again"], np.uint8))[: z - a]
+                use = np.flatnonzero(again[p.which])
+                use = use[np.argsort(p.which[use], kind="stable")]
+                edge = np.searchsorted(p.which[use], edges)
+                ids, of = p.numbered()
+                for b in np.flatnonzero(np.diff(edge)):
+                    some = use[edge[b] : edge[b + 1]]
+                    m = contexts(p.buf, p.at, p.p[some], p.row[some])
+                    turn = sort_rows(m)
+                    m, some = m[turn], some[turn]
+                    lcp = common_prefix(m)
+                    new = lcp < LONG
+                    start = np.flatnonzero(new)
+                    row, place = of[p.row[some]], p.p[some] - p.at[p.row[some]]
+                    least = np.minimum.reduceat(row, start)
+                    context = np.cumsum(new) - 1
+                    m, lcp = m[new], lcp[new]
+                    near, far = _room(m)
+                    # All but the least document of a string lose it wherever it fits; the merge tells about the least one.
+                    first = row == least[context]
+                    sure = ~first & (near <= far)[context]
+                    begin, end = place - far[context], place + WIDTH - near[context]
+                    pid_ = t["pid"][0].as_py()
+                    own = (pack(np.bincount(context[first], minlength=len(m))), pack(least), pack(place[first]), pack(row[sure]), pack(begin[sure]), pack((end - begin)[sure]))
+                    sent = (pack(lcp), pack(m[np.arange(LONG) >= lcp[:, None]]), pack(ids[least].view(U)), None, None, None)
+                    for what, blobs in (("own", own), ("sent", sent)):
+                        for k, v in zip(names, (what, pid_, b, *blobs), strict=True):
+                            out[k].append(v)
+            kinds = [pa.string(), pa.int32(), pa.int32(), *(pa.binary(),) * 6]
+            return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=True)})
+
+        made = texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(suffixes_out, "what string, pid int, bucket int, " + ", ".join(f"{c} binary" for c in "abcdef"))
+        own, sent = s.split(made, "suffix-runs", "what", "own", "sent")
+
+        def merged(t: pa.Table) -> pa.Table:
+            C.trim()
+            rows = t.to_pylist()
+            got = covered([(*front_decode(r["a"], r["b"]), unpack(r["c"]).view(np.int64)) for r in rows])
+            return pa.table({"pid": t["pid"], "bucket": t["bucket"], "a": C.blobs([pack(low) for low, _ in got]), "b": C.blobs([pack(high + 1) for _, high in got])})
+
+        answers = s.table(sent.select("pid", "bucket", "a", "b", "c").groupBy("bucket").applyInArrow(merged, "pid int, bucket int, a binary, b binary"), "suffix-answers")
+        s.drop(sent, again)
+        none = [F.lit(None).cast("binary").alias(c) for c in "cdef"]
+        told2 = own.withColumn("doc_id", F.lit(None).cast("long")).unionByName(answers.select("pid", "bucket", "a", "b", *none, F.lit(None).cast("long").alias("doc_id"))).unionByName(copies.select("pid", F.lit(None).cast("int").alias("bucket"), *(F.lit(None).cast("binary").alias(c) for c in "abcdef"), "doc_id"))
+
+        def cut(t: pa.Table, told: pa.Table) -> pa.Table:
+            C.trim()
+            p = _Rows(t)
+            gone = np.zeros(len(p.buf) + 1, np.int32)
+            ids, _ = p.numbered()
+            every = np.array([-1 if i is None else i for i in p.ids], np.int64)
+            named = np.flatnonzero([i is not None for i in p.ids])
+            many = named[np.argsort(every[named], kind="stable")]
+            key = every[many]
+
+            def lose(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+                a, z = np.searchsorted(key, ids[row]), np.searchsorted(key, ids[row], side="right")
+                for k in range(int((z - a).max(initial=0))):  # rows that repeat a doc_id
+                    has = a + k < z
+                    at = p.at[many[(a + k)[has]]]
+                    np.add.at(gone, at + start[has], 1)
+                    np.add.at(gone, at + end[has], -1)
+
+            rows = told.to_pylist()
+            offsets = {r["bucket"]: (unpack(r["a"]).astype(np.int64), unpack(r["b"]).astype(np.int64) - 1) for r in rows if r["bucket"] is not None and r["c"] is None}
+            for r in rows:
+                if r["c"] is None:
+                    continue
+                n, least, place, row, begin, size = (unpack(r[k]).astype(np.int64) for k in "abcdef")
+                lose(row, begin, begin + size)
+                low, high = (np.repeat(x, n) for x in offsets[r["bucket"]])
+                hit = high >= 0
+                lose(np.repeat(least, n)[hit], (place - high)[hit], (place + WIDTH - low)[hit])
+            copies_ = set(told["doc_id"].to_pylist()) - {None}
+            out = np.cumsum(gone[:-1]) > 0
+            size = np.diff(p.at) - 1
+            res = {k: [] for k in ("n_removed", "n_spans", "kept_sha256", "kept")}
+            for i, d in enumerate(p.ids):
+                mask, text = out[p.at[i] : p.at[i] + size[i]], p.buf[p.at[i] : p.at[i] + size[i]]
+                if d in copies_ and size[i] >= WIDTH:
+                    mask = np.ones(len(mask), bool)
+                kept = text[~mask].tobytes()
+                res["n_removed"].append(int(mask.sum()))
+                res["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
+                res["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                res["kept"].append(kept)
+            return pa.table({"doc_id": pa.array(p.ids, pa.int64()), "n_bytes": pa.array(size[: len(p.ids)].astype(np.int64)), "n_removed": pa.array(res["n_removed"], pa.int64()), "n_spans": pa.array(res["n_spans"], pa.int64()), "kept_sha256": pa.array(res["kept_sha256"], pa.string()), "kept": C.blobs(res["kept"])})
+
+        done = texts.groupBy("pid").cogroup(told2.groupBy("pid")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        return C.materialize(done.drop(*([] if texts_too else ["kept"])), "suffix-kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return suffix_dedup(docs, C.sized_partitions(total, PART_BYTES, 4)).drop("kept")
+    return suffix_dedup(C.table(spark, sf_dir, "documents").select("doc_id", "text"), texts_too=False)
 
 
 #: The same by grouping every 50-byte string.

@@ -74,9 +74,11 @@ def test_suffix_dedup(docs, none):
         seen.update(own)
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
         want[i] = (len(t), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
-    rows = suffix_dedup.suffix_dedup(docs, 3).drop("kept").collect()
-    assert len(rows) == docs.count()
-    assert all(tuple(r)[1:] == want[r["doc_id"]] for r in rows if r["doc_id"] is not None)
+    for how in ({"parts": 3, "per_range": 50}, {"parts": 1}, {"texts_too": False}):
+        rows = suffix_dedup.suffix_dedup(docs, **how).collect()
+        assert len(rows) == docs.count()
+        assert all(tuple(r)[1:5] == want[r["doc_id"]] for r in rows if r["doc_id"] is not None)
+        assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows if "kept" in r)
     assert suffix_dedup.suffix_dedup(none, 2).count() == 0
 
 
@@ -147,17 +149,32 @@ def test_katz(docs, none):
 
     for h in ["\0start", *list(ch)[1:4]]:
         assert sum(p(h, w) for w in c1) + p(h, "\0unknown") == pytest.approx(1)
-    got = collections.defaultdict(list)
-    for r in katz_lm.score(rows, 3).collect():
-        got[r["doc_id"]].append(r)
+    folder = f"{C.scratch_dir(docs.sparkSession)}/test-katz"
+    results = [katz_lm.score(rows, range_tokens=300, keep=folder), katz_lm.score(rows.repartition(3))]
+    results.append(katz_lm.score(rows, katz_lm.Model.load(docs.sparkSession, folder)))  # the stored model, none of the texts learned from
     cache = {}
-    for i, ws, train in data:
-        want = sum(math.log10(cache.setdefault((h, w), p(h, w))) for h, w in zip(["\0start", *ws], ws))
-        base = sum(math.log10((c1[w] + 1) / (n + len(c1) + 1)) for w in ws)
-        r = got[i].pop()
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c1[w] > 0 for w in ws), n)
-        assert r["score"] == pytest.approx(want) and r["base_score"] == pytest.approx(base)
-    assert katz_lm.score(none.select("doc_id", "text").withColumn("train", F.lit(True)), 2).count() == 0
+    for result in results:
+        got = collections.defaultdict(list)
+        for r in result.collect():
+            got[r["doc_id"]].append(r)
+        for i, ws, train in data:
+            want = sum(math.log10(cache.setdefault((h, w), p(h, w))) for h, w in zip(["\0start", *ws], ws))
+            base = sum(math.log10((c1[w] + 1) / (n + len(c1) + 1)) for w in ws)
+            r = got[i].pop()
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c1[w] > 0 for w in ws), n)
+            assert r["score"] == pytest.approx(want) and r["base_score"] == pytest.approx(base)
+        assert not any(got.values())
+    assert katz_lm.score(none.select("doc_id", "text").withColumn("train", F.lit(True))).count() == 0
+
+
+def test_katz_scores_other_texts(spark, docs):
+    folder = f"{C.scratch_dir(spark)}/test-katz-other"
+    made = spark.createDataFrame([(1, "a b a b c", True), (2, "a b d", True), (3, "zz a b", False)], "doc_id long, text string, train boolean")
+    both = by_id(katz_lm.score(made, keep=folder))
+    other = by_id(katz_lm.score(made.where("doc_id = 3").withColumn("train", F.lit(True)), katz_lm.Model.load(spark, folder)))
+    assert other[3]["score"] == pytest.approx(both[3]["score"]) and other[3]["train_tokens"] == both[3]["train_tokens"] == 10
+    untrained = katz_lm.score(made.withColumn("train", F.lit(False))).collect()
+    assert all(r["score"] == 0 and r["n_known"] == 0 for r in untrained)
 
 
 def test_flac_round_trip_and_corruption():
