@@ -2,9 +2,9 @@
 
 A sentence's probability is a logistic function of hashed words; the document's is 1 - prod(1 - p). Only document
 labels are known; the gradient of the document likelihood shares itself among the sentences. The classifier is
-fitted on at most TRAIN_PER_CLASS rows of each label (documented bound, smallest hashes of doc_id), weighted back to
-the true shares; their hashed features are gathered in one task (bounded by that number of rows), which returns
-2**BITS weights (1 MB, broadcast). Every whole text is scored, and every sentence at THRESHOLD or more is returned.
+fitted on about TRAIN_PER_CLASS rows or TRAIN_BYTES of text of each label, whichever is less (documented bounds, smallest
+hashes of doc_id), weighted back to the true shares; their hashed features are gathered in one task (bounded by both),
+which returns 2**BITS weights (1 MB, broadcast). Every whole text is scored, and every sentence at THRESHOLD or more is returned.
 
 Defined results: a null or empty text has no sentence and gets the score of the bias alone; ties and repeated rows
 are scored each; labels with a null doc_id or null toxic are ignored; with labels of one class or none, the score is
@@ -24,11 +24,13 @@ from . import common as C
 
 QUERY, SQL = "op6_toxicity", None
 BITS = 18
-TRAIN_PER_CLASS = 10_000
+TRAIN_PER_CLASS, TRAIN_BYTES = 10_000, 32 << 20
 ROUNDS, RATE, RIDGE = 80, 0.2, 1e-5
 #: A word takes part if its share of label 1 differs from the mean by so many standard errors; else its weight is 0.
 #: A sentence without such a word has probability 0, and the bias stands for the whole document (the leak of noisy-or).
 TELLING = 4.5
+#: Ids of about so many chosen rows are broadcast.
+MAX_BROADCAST = 1_000_000
 MASK = (1 << BITS) - 1
 THRESHOLD = 0.3
 #: Letters, digits and bytes beyond ASCII make words; . ! ? and newlines end sentences.
@@ -91,18 +93,21 @@ def learn(cells: list[np.ndarray], per_sentence: list[np.ndarray], labels: np.nd
     return np.append(w, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES) -> np.ndarray:
     """labels: doc_id and toxic, the rows to learn from."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    labels = labels.where("toxic in (0, 1)")
+    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / total if total else 0.0
     flat = np.append(np.zeros(1 << BITS), np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if share in (0.0, 1.0):
         return flat
-    rate = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
-    ids = labels.where("toxic in (0, 1)").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
-    few = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    there = docs.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(labels, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    rates = {r["toxic"]: min(1.0, per_class / max(r["n"], 1), most_bytes / max(r["bytes"] or 1, 1)) for r in there.collect()}
+    rate = F.when(F.col("toxic") == 1, rates.get(1, 1.0)).otherwise(rates.get(0, 1.0))
+    ids = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    few = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id") if total * max(rates.values(), default=0.0) <= MAX_BROADCAST else docs.select("doc_id", "text").join(ids, "doc_id")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):

@@ -616,7 +616,11 @@ def contaminated_by_hand(docs, items):
         enough = [min(6, -(-len(p) // 2)) for p in places]
         for doc, whole in docs:
             draw, dwords = families(whole)
-            hits = [[(i, d) for i in places[f] for d in range(len(draw) - size + 1) if iwords[f][i : i + size] == dwords[f][d : d + size]] for f in (0, 1)]
+            at = [collections.defaultdict(list), collections.defaultdict(list)]
+            for f in (0, 1):
+                for d in range(len(draw) - size + 1):
+                    at[f][tuple(dwords[f][d : d + size])].append(d)
+            hits = [[(i, d) for i in places[f] for d in at[f].get(tuple(iwords[f][i : i + size]), ())] for f in (0, 1)]
             if not any(h and len({i for i, _ in h}) >= e for h, e in zip(hits, enough)):
                 continue
             for f, own in enumerate(hits):
@@ -706,6 +710,103 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.select(names).collect())
 
 
+def lines_by_hand(texts):
+    """Of texts by id: without the runs of two lines or more that stand at an earlier place."""
+    first = {}
+    split = {i: [x for x in t.split("\n") if x] for i, t in texts.items()}
+    for i in sorted(split):
+        for k, pair in enumerate(zip(split[i], split[i][1:])):
+            first.setdefault(pair, (i, k))
+    out = {}
+    for i, lines in split.items():
+        gone = {j for k, pair in enumerate(zip(lines, lines[1:])) for j in (k, k + 1) if first[pair][0] < i or first[pair][1] <= k - 2}
+        out[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Stage after stage on whole small tables with nulls, empty texts, copies, near copies and benchmark items."""
+    import corpus_pipeline
+
+    real = [r.asDict() for r in C.table(spark, SF, "documents").orderBy("doc_id").limit(90).collect()]
+    bench = [(r["item_id"], r["text"]) for r in C.table(spark, SF, "benchmark").collect()]
+    longest = max(real, key=lambda r: len(r["text"]))
+    more = [None, "", " \n ", "123 456", longest["text"], longest["text"] + " and one more word", longest["text"].replace(" ", "  "), "Before it. " + bench[0][1] + " After it.", real[3]["text"] + "\n" + real[4]["text"]]
+    rows = real + [{"doc_id": 10_000 + i, "text": t, "lang": [None, "en"][i % 2], "source": [None, "src0"][i % 2], "n_chars": None} for i, t in enumerate(more)]
+    rows += [{**real[5]}, {"doc_id": None, "text": "a null id", "lang": None, "source": None, "n_chars": 1}]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = str(tmp_path)
+    spark.createDataFrame([tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in rows], schema).write.parquet(folder + "/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
+    tell = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    docs = C.table(spark, folder, "documents")
+    step = lambda name: C.materialize(stages[name](spark, docs, folder), "test")
+
+    train = [(r["text"], r["lang"]) for r in rows if r["lang"] and r["text"] is not None and r["doc_id"] is not None]
+    before, docs = tell(docs), step("language ID")
+    told = bayes(train, [t for _, t in before])
+    assert tell(docs) == [x for x, (la, share) in zip(before, told) if la != "und" and share >= 0.5]
+
+    before, docs = tell(docs), step("line dedup")
+    want = lines_by_hand({i: t for i, t in before if i is not None})
+    assert all([x for x in t.split("\n") if x] == want[i] for i, t in tell(docs) if i is not None) and len(tell(docs)) == len(before)
+
+    before, docs = tell(docs), step("n-gram Jaccard join")
+    sets = {i: {tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))} - {()} for i, t in before if i is not None}
+    up = {i: i for i in sets}
+    top = lambda x: x if up[x] == x else top(up[x])
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    assert tell(docs) == [x for x in before if x[0] is None or top(x[0]) == x[0]] and len(tell(docs)) < len(before)
+
+    before, docs = tell(docs), step("benchmark decontamination")
+    bad = {i for i, _ in contaminated_by_hand([x for x in before if x[0] is not None], bench)}
+    assert bad and tell(docs) == [x for x in before if x[0] not in bad]
+
+    before, out = docs.collect(), step("mixing sources to target weights").collect()
+    sizes = collections.Counter()
+    for r in before:
+        sizes[r["source"]] += len((r["text"] or "").split())
+    names = sorted(sizes, key=lambda x: (x is None, x))
+    target = shared_out({n: sizes[n] for n in names}, [1 + i % 3 for i in range(len(names))], sum(sizes.values()))
+    copies = collections.Counter((r["doc_id"], r["text"]) for r in out)
+    assert max(copies.values()) <= 3 * max(collections.Counter((r["doc_id"], r["text"]) for r in before).values()) and {x for x in copies} <= {(r["doc_id"], r["text"]) for r in before}
+    taken = collections.Counter()
+    for r in out:
+        taken[r["source"]] += len((r["text"] or "").split())
+    largest = {n: max((len((r["text"] or "").split()) for r in before if r["source"] == n), default=0) for n in names}
+    assert all(abs(taken[n] - target[n]) <= largest[n] for n in names)
+    run = corpus_pipeline.run(spark, folder)
+    assert sorted(map(repr, run.collect())) == sorted(map(repr, out))
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs):
+    import pyarrow as pa
+
+    vocabulary = ["one", "two", "bad", "worse", "fine", "é"]
+    model = np.append(np.zeros(1 << toxicity.BITS), -2.5)
+    weight = {"bad": 1.5, "worse": 3.0, "fine": -2.0}
+    for w, v in weight.items():
+        model[toxicity.features(pa.array([w]))[1]] = v
+    r = random.Random(3)
+    texts = ["".join(r.choice(vocabulary) + r.choice([" ", ", ", ". ", "!", "?\n", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(80)] + [None, "", "...", "Bad\x00WORSE"]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    got = by_id(toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]))
+    for i, t in enumerate(texts):
+        none, most = 1 - sigmoid(-2.5), []
+        for sentence in re.split(rb"[.!?\n]", (t or "").encode()):
+            ws = [w.decode().translate(FOLD) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence)]
+            if any(w in weight for w in ws):
+                most.append(sigmoid(sum(weight.get(w, 0) for w in ws) - 2.5))
+                none *= 1 - most[-1]
+        assert got[i]["score"] == pytest.approx(1 - none)
+        assert sorted(s["score"] for s in got[i]["toxic_sentences"]) == pytest.approx(sorted(x for x in most if x >= 0.3))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
