@@ -32,7 +32,7 @@ WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,6 +47,7 @@ def ship(spark: SparkSession) -> None:
     # Batches of whole texts: Spark's default of 10,000 rows a batch would hold long ones many times over.
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

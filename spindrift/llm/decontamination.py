@@ -114,20 +114,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         n = sum(sizes.values())
         of = lambda f: F.countDistinct(F.when(F.col("family") == f, F.col("ipos")))
         sized = iw.groupBy("item_id").agg(of(CANONICAL).alias("item_windows"), of(PLAIN).alias("plain_windows"))
-        keys = iw.select("h").distinct()
+        enough_of = lambda n: F.least(F.lit(LEAST), F.ceil(n / 2))
+        # A document needs so many different windows of an item at least, unless windows repeat in the item.
+        each = iw.groupBy("item_id", "family").agg(F.count("*").alias("all"), F.countDistinct("h").alias("different"))
+        each = each.select("item_id", "family", F.when(F.col("all") == F.col("different"), enough_of(F.col("all"))).otherwise(1).alias("need"))
+        keys = s.table(iw.join(each, ["item_id", "family"]).groupBy("h", "family").agg(F.min("need").alias("need")), "bench-keys")
         dw = _doc_windows(docs, sorted(sizes) or [(PLAIN, WINDOW)])
-        hits = dw.join(F.broadcast(keys) if n <= MAX_BROADCAST else keys, "h", "left_semi")
-        hits = s.table(hits.distinct(), "bench-hits")
+        hits = s.table(dw.join(F.broadcast(keys) if n <= MAX_BROADCAST else keys, "h").distinct(), "bench-hits")
+        rich = hits.groupBy("doc_id", "family").agg(F.countDistinct("h").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id").distinct()
+        hits = s.table(hits.join(rich, "doc_id", "left_semi").select("doc_id", "pos", "h"), "bench-rich")
         pairs = hits.join(F.broadcast(iw) if n <= MAX_BROADCAST else iw, "h")
         most = F.when(F.col("family") == PLAIN, F.col("plain_windows")).otherwise(F.col("item_windows"))
-        enough = F.least(F.lit(LEAST), F.ceil(most / 2))
+        enough = enough_of(most)
         wanted = pairs.groupBy("doc_id", "item_id", "family").agg(F.countDistinct("ipos").alias("c")).join(sized, "item_id").where(F.col("c") >= enough).select("doc_id", "item_id", "item_windows", "plain_windows").distinct()
         wanted = s.table(wanted, "bench-pairs")
         ids = wanted.select("doc_id").distinct()
         few = docs.select("doc_id", "text").where("text is not null").join(C.small(ids, wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         places = pairs.join(wanted, ["doc_id", "item_id"]).select("doc_id", "item_id", "family", "size", "item_windows", "plain_windows", "pos", "ipos")
-        both = places.join(_aligned(few, "doc_id", "dwords"), ["doc_id", "family"]).join(words, ["item_id", "family"])
-        both = both.withColumn("d", F.slice("dwords", F.col("pos") + 1, F.col("size"))).withColumn("i", F.slice("iwords", F.col("ipos") + 1, F.col("size")))
+        both = places.join(_aligned(few, "doc_id", "dwords"), ["doc_id", "family"]).withColumn("d", F.slice("dwords", F.col("pos") + 1, F.col("size"))).drop("dwords")
+        both = both.join(words, ["item_id", "family"]).withColumn("i", F.slice("iwords", F.col("ipos") + 1, F.col("size"))).drop("iwords")
         both = both.where(F.col("d.canon") == F.col("i.canon"))
         both = both.select("doc_id", "item_id", "family", "item_windows", "plain_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.filter(F.zip_with("i", "d", lambda i, d: F.struct(i["canon"].alias("kind"), i["raw"].alias("item"), d["raw"].alias("doc"))), lambda z: (F.col("family") == CANONICAL) & z["kind"].rlike(_SLOT)).alias("slots"))
         both = s.table(both, "bench-both")
