@@ -9,8 +9,9 @@ from __future__ import annotations
 import weakref
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Cmp, Predicate
@@ -91,16 +92,11 @@ class _Plan:
                 by.setdefault(i, []).append(col)
         predicates: list[Predicate] = self.query.filters.get(alias, [])
         same = [(cols[0], other) for cols in by.values() for other in cols[1:]]  # two columns of one class: a local filter
-        df = base
-        for p in predicates:
-            df = df.where(p.column())
-        for a, b in same:
-            df = df.where(F.col(a) == F.col(b))
         live = {i: cols for i, cols in by.items() if len(members[i]) > 1}
-        for cols in live.values():
-            df = df.where(F.col(cols[0]).isNotNull())
+        conditions = [p.column() for p in predicates] + [F.col(a) == F.col(b) for a, b in same] + [F.col(cols[0]).isNotNull() for cols in live.values()]
+        df = base.where(reduce(Column.__and__, conditions)) if conditions else base
         payload = [(a, c) for a, c in self.query.needed() if a == alias and self.class_of.get((a, c)) not in live]
-        df = df.select(*(F.col(cols[0]).alias(f"_k{i}") for i, cols in sorted(live.items())), *(F.col(c).alias(self.name[a, c]) for a, c in payload))
+        df = df.selectExpr(*(f"`{cols[0]}` AS _k{i}" for i, cols in sorted(live.items())), *(f"`{c}` AS {self.name[a, c]}" for a, c in payload))
         declared = self.query.keys.get(alias, set())
         said = (*map(str, predicates), *(f"{a} = {b}" for a, b in same), *(f"{c} AS {n}" for n, c in [(f"_k{i}", cols[0]) for i, cols in sorted(live.items())] + [(self.name[a, c], c) for a, c in payload]))
         found = _Relation(alias, df, set(live), payload, rows, rows, key_of(base) if probing else (), said)
@@ -254,11 +250,8 @@ def expanded(df: DataFrame, copies: str) -> DataFrame:
 def _pair(left: tuple[DataFrame, set[int]], right: tuple[DataFrame, set[int]]) -> tuple[DataFrame, set[int]]:
     """All classes that both sides have are keys; without one it is a cross product."""
     both = sorted(left[1] & right[1])
-    if not both:
-        return left[0].crossJoin(right[0]), left[1] | right[1]
-    r = right[0].withColumnsRenamed({f"_k{i}": f"_r{i}" for i in both})
-    on = [left[0][f"_k{i}"] == r[f"_r{i}"] for i in both]
-    return left[0].join(r, on).drop(*(f"_r{i}" for i in both)), left[1] | right[1]
+    made = left[0].join(right[0], [f"_k{i}" for i in both]) if both else left[0].crossJoin(right[0])
+    return made, left[1] | right[1]
 
 
 def _edges(relations: dict[str, _Relation]) -> set[frozenset[str]]:

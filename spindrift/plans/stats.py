@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import random
+import weakref
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -25,10 +26,15 @@ KEPT_FACTS = 10_000
 _FACTS: dict[tuple, object] = {}
 
 
+_KEYS: weakref.WeakKeyDictionary[DataFrame, tuple] = weakref.WeakKeyDictionary()
+
+
 def key_of(df: DataFrame) -> tuple:
     """What df reads and computes."""
-    run = df._jdf.queryExecution()
-    return df.sparkSession.sparkContext.applicationId, df._jdf.semanticHash(), str(run.optimizedPlan().stats().sizeInBytes())
+    if df not in _KEYS:
+        run = df._jdf.queryExecution()
+        _KEYS[df] = df.sparkSession.sparkContext.applicationId, df._jdf.semanticHash(), str(run.optimizedPlan().stats().sizeInBytes())
+    return _KEYS[df]
 
 
 def fact(key: tuple, find: Callable[[], object]) -> object:

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from ..functions.predicates import Predicate
 
 TYPES = {"int32": T.IntegerType(), "int64": T.LongType(), "fp64": T.DoubleType(), "varchar": T.StringType()}
-#: Schemas of Parquet tables by session, path and time of change.
-_SCHEMAS: dict[tuple, T.StructType] = {}
+#: Parquet tables, or only their schemas, by session, path and time of change; the oldest go first.
+_TABLES: dict[tuple, tuple[SparkSession, DataFrame | T.StructType]] = {}
+KEPT_TABLES = 1000
 
 
 def schema(columns: Iterable[tuple[str, str]]) -> T.StructType:
@@ -75,14 +76,21 @@ def _toggled(spark: SparkSession, path: str, columns: T.StructType, header: bool
 
 
 def read_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its schema is read from the footers once a session, and again when its files change."""
+    """A table. Its footers are read and its files listed once a session, and again when the file, or the folder of files,
+    has changed; a table with folders inside is listed each time."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
-    key = spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen()
-    if key not in _SCHEMAS:
-        _SCHEMAS[key] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = files.getFileStatus(where)
+    key = id(spark._jsparkSession), spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen()
+    if key not in _TABLES:
+        while len(_TABLES) >= KEPT_TABLES:
+            _TABLES.pop(next(iter(_TABLES)))
+        df = spark.read.parquet(path)
+        deep = any(f.isDirectory() for f in files.listStatus(where))
+        _TABLES[key] = spark, df.schema if deep else df
+    _, kept = _TABLES[key]
+    return kept if isinstance(kept, DataFrame) else spark.read.schema(kept).parquet(path)
 
 
 class Folder(Mapping):
