@@ -23,6 +23,7 @@ can't clash. Written tables of a call are deleted when it returns, but for the r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,13 +173,16 @@ def _long_enough(percent: int) -> str:
     return f"100 * least(an, bn) >= {percent} * greatest(an, bn) and least(an - apos, bn - bpos) >= {need}"
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that link: their prefixes meet under all orders, and their whole sets are similar enough."""
-    side = lambda s, *names: sigs.select(F.col("doc_id").alias(s), *(F.col(c).alias(s + c) for c in names))
+def _links(pairs: DataFrame, sigs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
+    """Of the pairs (a, b) those that link, written: their prefixes meet under all orders, and their whole sets are similar
+    enough. The documents of few pairs are cut out of sigs and broadcast; else prefixes are joined first, and sets only
+    to pairs that are left."""
+    pairs = s.table(pairs, "ngram-pairs")
     orders = [f"p{k}" for k in range(1, ORDERS)]
-    near = pairs.join(side("a", *orders), "a").join(side("b", *orders), "b")
+    side = lambda of, s, *names: of.select(F.col("doc_id").alias(s), *(F.col(c).alias(s + c) for c in names))
+    meet = F.lit(True)
     for k in orders:
-        near = near.where(F.arrays_overlap("a" + k, "b" + k))
+        meet = meet & F.arrays_overlap("a" + k, "b" + k)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,7 +195,17 @@ def _links(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([C.col(b, "a"), C.col(b, "b")], ["a", "b"]).filter(pa.array(keep))
         C.trim()
 
-    return near.select("a", "b").join(side("a", "set"), "a").join(side("b", "set"), "b").mapInArrow(verify, "a long, b long")
+    few = None
+    if C.bytes_of(pairs) <= C.BROADCAST_BYTES:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+        some = s.table(sigs.select("doc_id", *orders, "set").join(F.broadcast(ids), "doc_id", "left_semi"), "ngram-some")
+        few = F.broadcast(some) if C.bytes_of(some) <= C.BROADCAST_BYTES else None
+    if few is not None:
+        near = pairs.join(side(few, "a", *orders, "set"), "a").join(side(few, "b", *orders, "set"), "b").where(meet).select("a", "b", "aset", "bset")
+    else:
+        near = pairs.join(side(sigs, "a", *orders), "a").join(side(sigs, "b", *orders), "b").where(meet).select("a", "b")
+        near = near.join(side(sigs, "a", "set"), "a").join(side(sigs, "b", "set"), "b")
+    return s.table(near.mapInArrow(verify, "a long, b long"), "ngram-links")
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, more: str = "true") -> DataFrame:
@@ -205,33 +219,38 @@ def link_components(sigs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
     entries = s.table(sigs.select(F.col("doc_id").alias("doc"), "n", "skip", F.posexplode("p0").alias("pos", "token")).select("token", "doc", "n", (F.col("pos") + F.col("skip")).alias("pos")), "ngram-lists")
     total = entries.count()
     first = entries.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("m"), F.max("doc").alias("last")).where("m.doc < last").select("token", "m.*")
-    links = s.table(_links(_pairs(first, entries, percent), sigs, percent), "ngram-links")
+    links = _links(_pairs(first, entries, percent), sigs, percent, s)
     found = components(links, s)
     s.drop(links)
     level = None
     while True:
         now = entries.join(C.small(found.select(F.col("id").alias("doc"), "component")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         now = now.withColumn("level", F.length(F.regexp_extract(F.bin(F.xxhash64("doc")), "(0*)$", 1)).cast("int"))
-        tally = now.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"), F.max("level").alias("top"))
-        tally = tally.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.count("*").alias("k"), F.max("top").alias("top"))
-        tally = s.table(tally.where("k > 1").select("token", "open", "top"), "ngram-open")
-        open_, top = tally.agg(F.sum("open"), F.max("top")).first()
+        tally = now.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"))
+        tally = tally.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.count("*").alias("k"))
+        tally = s.table(tally.where("k > 1").select("token", "open"), "ngram-open")
+        open_ = tally.agg(F.sum("open")).first()[0]
         if not open_:
             return found
-        level = top - 2 if level is None else level - 4
-        last = open_ <= PAIRS_PER_ENTRY * total or level <= 0
-        now = s.table(now.join(C.small(tally.select("token")), "token", "left_semi"), "ngram-left")
-        if last:
-            pairs = _pairs(now, now, percent, "acomponent <> bcomponent and adoc < bdoc")
-        else:
-            pairs = _pairs(now.where(F.col("level") >= level), now, percent, "acomponent <> bcomponent")
-        new = s.table(_links(pairs, sigs, percent), "ngram-links")
-        s.drop(now, tally)
-        if not new.isEmpty():
-            found, old = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new), s), found
-            s.drop(new, old)
-        if last:
-            return found
+        left = s.table(now.join(C.small(tally.select("token")), "token", "left_semi"), "ngram-left")
+        s.drop(tally)
+        while True:  # centres of a level stand for 2**-level of all documents; the next are 16 times as many
+            fit = max(0, math.ceil(math.log2(open_ / (PAIRS_PER_ENTRY * total))))
+            level = fit if level is None else min(fit, level - 4)
+            last = level <= 0
+            if last:
+                pairs = _pairs(left, left, percent, "acomponent <> bcomponent and adoc < bdoc")
+            else:
+                pairs = _pairs(left.where(F.col("level") >= level), left, percent, "acomponent <> bcomponent")
+            new = _links(pairs, sigs, percent, s)
+            any_ = not new.isEmpty()
+            if any_:
+                found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new), s)
+            if last:
+                return found
+            if any_:
+                break
+        s.drop(left)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
