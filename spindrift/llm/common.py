@@ -96,10 +96,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 class Scratch:
     """Written tables that only one call of an operator needs: the end of the block deletes them. What the call returns
-    must not read them, so it's materialized inside the block. A lost executor loses none of them."""
+    must not read them, so it's materialized inside the block. A lost executor loses none of them.
+
+    After sized(), light tables (what an exchange leaves for little work) are written by as many tasks as their size asks
+    for, not by one for each shuffle partition: many tiny files cost more than what is in them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self._paths = spark, []
+        self.spark, self._paths, self.tasks = spark, [], 0
+
+    def sized(self, rows: int, each: int = 500_000) -> None:
+        """rows: what light tables have at about the most; so many `each` in a task."""
+        self.tasks = max(12, -(-rows // each))
 
     def __enter__(self) -> Scratch:
         return self
@@ -109,6 +116,13 @@ class Scratch:
         self._paths.append((out, path))
         return out
 
+    def light(self, df: DataFrame, tag: str) -> DataFrame:
+        return self.table(df.coalesce(self.tasks) if self.tasks else df, tag)
+
+    def kept(self, df: DataFrame, tag: str) -> DataFrame:
+        """A light result that stays when the block ends."""
+        return materialize(df.coalesce(self.tasks) if self.tasks else df, tag)
+
     def split(self, df: DataFrame, tag: str, by: str, *values: str) -> list[DataFrame]:
         """df as a table for each value of the string column `by`, without that column."""
         _, path = _written(df, tag, by)

@@ -105,11 +105,12 @@ def _occurrences(both: DataFrame, *keys: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, n_agreeing, n_verbatim of contaminated pairs."""
     with C.Scratch(docs.sparkSession) as s:
+        s.sized(benchmark.count(), 5000)
         items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
         words = _aligned(items, "item_id", "iwords")
         slots = F.size(F.filter(F.slice("iwords", F.col("ipos") + 1, F.col("size")), lambda z: z["canon"].rlike(_SLOT)))
         iw = _item_windows(items).join(words, ["item_id", "family"]).where((F.col("family") == PLAIN) | (slots <= F.floor(F.col("size") / 2)))
-        iw = s.table(iw.select("item_id", "family", "size", "ipos", "h"), "bench-windows")
+        iw = s.light(iw.select("item_id", "family", "size", "ipos", "h"), "bench-windows")
         sizes = {(r["family"], r["size"]): r["count"] for r in iw.groupBy("family", "size").count().collect()}
         n = sum(sizes.values())
         of = lambda f: F.countDistinct(F.when(F.col("family") == f, F.col("ipos")))
@@ -118,16 +119,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         # A document needs so many different windows of an item at least, unless windows repeat in the item.
         each = iw.groupBy("item_id", "family").agg(F.count("*").alias("all"), F.countDistinct("h").alias("different"))
         each = each.select("item_id", "family", F.when(F.col("all") == F.col("different"), enough_of(F.col("all"))).otherwise(1).alias("need"))
-        keys = s.table(iw.join(each, ["item_id", "family"]).groupBy("h", "family").agg(F.min("need").alias("need")), "bench-keys")
+        keys = s.light(iw.join(each, ["item_id", "family"]).groupBy("h", "family").agg(F.min("need").alias("need")), "bench-keys")
         dw = _doc_windows(docs, sorted(sizes) or [(PLAIN, WINDOW)])
-        hits = s.table(dw.join(F.broadcast(keys) if n <= MAX_BROADCAST else keys, "h").distinct(), "bench-hits")
+        hits = s.table(dw.join(F.broadcast(keys) if n <= MAX_BROADCAST else keys, "h"), "bench-hits")
+        s.sized(hits.count())
         rich = hits.groupBy("doc_id", "family").agg(F.countDistinct("h").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id").distinct()
-        hits = s.table(hits.join(rich, "doc_id", "left_semi").select("doc_id", "pos", "h"), "bench-rich")
+        hits = s.light(hits.join(rich, "doc_id", "left_semi").select("doc_id", "pos", "h").distinct(), "bench-rich")
         pairs = hits.join(F.broadcast(iw) if n <= MAX_BROADCAST else iw, "h")
         most = F.when(F.col("family") == PLAIN, F.col("plain_windows")).otherwise(F.col("item_windows"))
         enough = enough_of(most)
         wanted = pairs.groupBy("doc_id", "item_id", "family").agg(F.countDistinct("ipos").alias("c")).join(sized, "item_id").where(F.col("c") >= enough).select("doc_id", "item_id", "item_windows", "plain_windows").distinct()
-        wanted = s.table(wanted, "bench-pairs")
+        wanted = s.light(wanted, "bench-pairs")
         ids = wanted.select("doc_id").distinct()
         few = docs.select("doc_id", "text").where("text is not null").join(C.small(ids, wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         places = pairs.join(wanted, ["doc_id", "item_id"]).select("doc_id", "item_id", "family", "size", "item_windows", "plain_windows", "pos", "ipos")
@@ -135,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         both = both.join(words, ["item_id", "family"]).withColumn("i", F.slice("iwords", F.col("ipos") + 1, F.col("size"))).drop("iwords")
         both = both.where(F.col("d.canon") == F.col("i.canon"))
         both = both.select("doc_id", "item_id", "family", "item_windows", "plain_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.filter(F.zip_with("i", "d", lambda i, d: F.struct(i["canon"].alias("kind"), i["raw"].alias("item"), d["raw"].alias("doc"))), lambda z: (F.col("family") == CANONICAL) & z["kind"].rlike(_SLOT)).alias("slots"))
-        both = s.table(both, "bench-both")
+        both = s.light(both, "bench-both")
         at = ["doc_id", "item_id", "family", "at"]
         both = _occurrences(both, "family")
         counts = both.groupBy(*at).agg(F.first("item_windows").alias("item_windows"), F.first("plain_windows").alias("plain_windows"), F.countDistinct("ipos").alias("n"))
@@ -146,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         best = F.max(F.when(F.col("family") == CANONICAL, F.struct(good.alias("good"), "n", "n_agreeing", "n_slots")))
         told = told.groupBy("doc_id", "item_id").agg(F.max(good).alias("good"), F.first("item_windows").alias("item_windows"), best.alias("r"), F.max(F.when(F.col("family") == PLAIN, F.col("n"))).alias("n_verbatim"))
         zero = lambda x: F.coalesce(F.col(x), F.lit(0).cast("long"))
-        return C.materialize(told.where("good").select("doc_id", "item_id", zero("r.n").alias("n_windows"), "item_windows", zero("r.n_slots").alias("n_slots"), zero("r.n_agreeing").alias("n_agreeing"), zero("n_verbatim").alias("n_verbatim")), "bench-found")
+        return s.kept(told.where("good").select("doc_id", "item_id", zero("r.n").alias("n_windows"), "item_windows", zero("r.n_slots").alias("n_slots"), zero("r.n_agreeing").alias("n_agreeing"), zero("n_verbatim").alias("n_verbatim")), "bench-found")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

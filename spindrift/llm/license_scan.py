@@ -117,15 +117,15 @@ def piece_licenses(pieces: DataFrame, s: C.Scratch) -> DataFrame:
     """id (MD5 of the piece), license, similarity of the distinct pieces that resemble a template."""
     rows = F.array(*(F.struct(F.lit(t).alias("template"), F.lit(name).alias("license"), F.lit(least).alias("least"), F.lit(text).alias("text")) for t, name, least, text in TEMPLATES))
     templates = pieces.sparkSession.range(1).select(F.inline(rows)).select("template", "license", "least", F.explode(_tokens(F.col("text"))).alias("token")).groupBy("template", "license", "least", "token").agg(F.count("*").alias("tf"))
-    distinct = s.table(pieces.groupBy(F.md5("piece").alias("id")).agg(F.first("piece").alias("piece")), "license-pieces")
-    tf = s.table(distinct.select("id", F.explode(_tokens(F.col("piece"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf")), "license-tokens")
+    distinct = s.light(pieces.groupBy(F.md5("piece").alias("id")).agg(F.first("piece").alias("piece")), "license-pieces")
+    tf = s.light(distinct.select("id", F.explode(_tokens(F.col("piece"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf")), "license-tokens")
     n = distinct.count() + len(TEMPLATES)
     df = tf.groupBy("token").agg(F.count("*").alias("df")).unionByName(templates.groupBy("token").agg(F.count("*").alias("df"))).groupBy("token").agg(F.sum("df").alias("df"))
-    idf = C.small(s.table(df.select("token", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")), "license-idf"))
+    idf = C.small(s.light(df.select("token", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")), "license-idf"))
     weigh = lambda x: x.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     told = weigh(templates)
     told = told.join(told.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "template").select("template", "license", "least", "token", (F.col("w") / F.col("norm")).alias("tw"))
-    told = F.broadcast(s.table(told, "license-templates"))
+    told = F.broadcast(s.light(told, "license-templates"))
     w = weigh(tf)
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = w.join(told, "token").groupBy("id", "template", "license", "least").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
@@ -138,23 +138,24 @@ def license_scan(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "path", "text")
     with C.Scratch(docs.sparkSession) as s:
         found = s.table(_pieces(docs), "license-found")
-        told = C.small(s.table(piece_licenses(found, s), "license-told"))
+        s.sized(found.count(), 100_000)
+        told = C.small(s.light(piece_licenses(found, s), "license-told"))
         hits = found.select("doc_id", "kind", F.md5("piece").alias("id"), F.length("piece").alias("chars"), "whole", "named").join(told, "id")
         own = hits.groupBy("doc_id").agg(
             F.min_by(F.struct("license", "similarity"), F.struct("kind", (-F.col("similarity")).alias("s"), "license")).alias("b"),
             (F.max((F.col("kind") == WHOLE) | F.col("named")) | (F.greatest(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("chars"))), F.lit(0)) for k in (BLOCK, LINE))) >= HALF * F.max("whole"))).alias("file"),
         )
-        own = s.table(own.select("doc_id", "b.*", "file"), "license-own")
+        own = s.light(own.select("doc_id", "b.*", "file"), "license-own")
         parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
         placed = docs.select("doc_id", "path", parent.alias("dir"))
         files = placed.where("dir is not null").join(C.small(own.where("file"), own), "doc_id")
         dirs = files.groupBy("dir").agg(F.min_by(F.struct("license", "similarity"), F.struct((-F.col("similarity")).alias("s"), "license")).alias("b")).select(F.col("dir").alias("from_dir"), "b.*")
-        dirs = s.table(dirs, "license-dirs")
+        dirs = s.light(dirs, "license-dirs")
         parts = F.split("dir", "/")
         ancestors = F.array_union(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")), F.array(F.lit("")))
         each = placed.where("dir is not null").select("dir").distinct().select("dir", F.explode(ancestors).alias("from_dir"))
         near = each.join(C.small(dirs), "from_dir").groupBy("dir").agg(F.max_by(F.struct("from_dir", "license", "similarity"), F.length("from_dir")).alias("d"))
-        near = s.table(near.select("dir", "d.*"), "license-near").toDF("dir", "from_dir", "dir_license", "dir_similarity")
+        near = s.light(near.select("dir", "d.*"), "license-near").toDF("dir", "from_dir", "dir_license", "dir_similarity")
         out = placed.join(C.small(own.select("doc_id", F.col("license").alias("own_license"), F.col("similarity").alias("own_similarity")), own), "doc_id", "left").join(C.small(near), "dir", "left")
         has = F.col("own_license").isNotNull()
         basis = F.when(has, "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")

@@ -95,7 +95,8 @@ def _repeats(docs: DataFrame, runs: Callable[[pa.RecordBatch], tuple[C.Words, Ru
 
     seen = s.table(docs.mapInArrow(find, "doc_id long, pos int, n int, h long"), tag)
     often = seen.groupBy("h").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("doc_id", "pos"))).where("min_doc_id < max_doc_id or min_pos < max_pos").select("h")
-    again = s.table(seen.join(often, "h", "left_semi").select("doc_id", "pos", "n").distinct(), tag + "-again")
+    s.sized(seen.count())
+    again = s.light(seen.join(often, "h", "left_semi").select("doc_id", "pos", "n").distinct(), tag + "-again")
     s.drop(seen)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,7 @@ def _repeats(docs: DataFrame, runs: Callable[[pa.RecordBatch], tuple[C.Words, Ru
     bytes_ = s.table(docs.select("doc_id", "text").join(C.small(lists, again), "doc_id").mapInArrow(cut, "doc_id long, pos int, n int, data binary"), tag + "-bytes")
     first = bytes_.groupBy("data").agg(F.min(F.struct("doc_id", "pos")).alias("keep"))
     later = (F.col("doc_id") > F.col("keep.doc_id")) | (F.col("pos") >= F.col("keep.pos") + F.col("n"))
-    gone = s.table(bytes_.join(first, "data").where(later).select("doc_id", "pos", "n").distinct(), tag + "-gone")
+    gone = s.light(bytes_.join(first, "data").where(later).select("doc_id", "pos", "n").distinct(), tag + "-gone")
     s.drop(again, bytes_)
     return gone
 
@@ -133,7 +134,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     with C.Scratch(docs.sparkSession) as s:
         gone = _repeats(docs, whole_chunks, "line-chunks", s)
-        return C.materialize(gone.union(_repeats(_listed(docs, gone), pairs_of_lines, "line-pairs", s)), "line-runs")
+        return s.kept(gone.union(_repeats(_listed(docs, gone), pairs_of_lines, "line-pairs", s)), "line-runs")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

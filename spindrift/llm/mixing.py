@@ -62,7 +62,7 @@ def _bin() -> Column:
 def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float, s: C.Scratch) -> DataFrame:
     """sources (key, tokens by class) with size and target. In order of their keys they weigh `weights` in turn and share
     all words by weight; what exceeds `most` times a source's size is shared among the others by weight, until none does."""
-    ranked = s.table(sources.orderBy(F.col("key") == "n", "key").withColumn("place", F.monotonically_increasing_id()), "mix-ranked")
+    ranked = s.light(sources.orderBy(F.col("key") == "n", "key").withColumn("place", F.monotonically_increasing_id()), "mix-ranked")
     first, offsets = 0, []
     for part, n in sorted(tuple(r) for r in ranked.groupBy(F.shiftright("place", 33)).count().collect()):  # a row for each partition
         offsets += [F.lit(part), F.lit(first)]
@@ -70,7 +70,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float,
     place = F.element_at(F.create_map(*offsets), F.shiftright("place", 33)) + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) if offsets else F.lit(0)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
     size = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    table = s.table(ranked.select("key", "tokens", size.alias("size"), weight.alias("weight")), "mix-sources")
+    table = s.light(ranked.select("key", "tokens", size.alias("size"), weight.alias("weight")), "mix-sources")
     total = float(table.agg(F.sum("size")).first()[0] or 0)
     closed, rest, by, level = -1, total, None, 0.0
     over = lambda: F.col("weight") * level > most * F.col("size")
@@ -80,7 +80,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float,
             break
         closed, rest, by = n, total - (full or 0.0), open_
         level = rest / by
-    return s.table(table.withColumn("target", F.when(over(), most * F.col("size")).otherwise(F.lit(rest) * F.col("weight") / F.lit(by or 1.0))), "mix-targets")
+    return s.light(table.withColumn("target", F.when(over(), most * F.col("size")).otherwise(F.lit(rest) * F.col("weight") / F.lit(by or 1.0))), "mix-targets")
 
 
 def solve(tokens: np.ndarray, target: np.ndarray, mu: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +182,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MA
     with C.Scratch(docs.sparkSession) as s:
         sized = docs.select(_key().alias("key"), "doc_id", word_count().alias("size")).select("key", "size", _class(F.col("size")).alias("class"), _bin().alias("bin"))
         bins = s.table(sized.groupBy("key", "class", "bin").agg(F.sum("size").alias("tokens")), "mix-bins")
+        s.sized(bins.count())
         by_class = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("tokens"))), F.lit(0).cast("long")) for k in range(CLASSES)]
         sources = source_targets(bins.groupBy("key").agg(F.array(*by_class).alias("tokens")), weights, most, s)
         mu = balance(sources, most)
@@ -194,10 +195,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MA
                 rate[live] = solve(tokens[live], target[live], mu, most)[0]
                 yield pa.RecordBatch.from_arrays([C.col(b, "key"), pa.array(rate.tolist(), pa.list_(pa.float64()))], ["key", "rates"])
 
-        solved = s.table(sources.mapInArrow(rates, "key string, rates array<double>"), "mix-rates")
+        solved = s.light(sources.mapInArrow(rates, "key string, rates array<double>"), "mix-rates")
         rated = bins.join(C.small(solved), "key").select("key", "class", "bin", "tokens", F.element_at("rates", F.col("class") + 1).alias("rate"))
         cells = rated.groupBy("key").applyInArrow(lambda t: rounded(t, most), "key string, class int, base int, below int, rate double")
-        return C.materialize(cells.join(C.small(sources.select("key", "size", "target")), "key"), "mix-plan")
+        return s.kept(cells.join(C.small(sources.select("key", "size", "target")), "key"), "mix-plan")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_REPEAT) -> DataFrame:

@@ -40,6 +40,8 @@ QUERY = "op7_ngram_jaccard_join"
 ORDERS = 3
 #: Bytes of text whose tokens one task holds at once, unless one document is longer.
 PART_BYTES = 8 << 20
+#: Bytes of text for each task that writes a light table.
+LIGHT_BYTES = 32 << 20
 #: Pairs in different components that are met at once, for each entry of the token lists; else centres go first.
 PAIRS_PER_ENTRY = 2
 U = C.U
@@ -177,7 +179,7 @@ def _links(pairs: DataFrame, sigs: DataFrame, percent: int, s: C.Scratch) -> Dat
     """Of the pairs (a, b) those that link, written: their prefixes meet under all orders, and their whole sets are similar
     enough. The documents of few pairs are cut out of sigs and broadcast; else prefixes are joined first, and sets only
     to pairs that are left."""
-    pairs = s.table(pairs, "ngram-pairs")
+    pairs = s.light(pairs, "ngram-pairs")
     orders = [f"p{k}" for k in range(1, ORDERS)]
     side = lambda of, s, *names: of.select(F.col("doc_id").alias(s), *(F.col(c).alias(s + c) for c in names))
     meet = F.lit(True)
@@ -198,14 +200,14 @@ def _links(pairs: DataFrame, sigs: DataFrame, percent: int, s: C.Scratch) -> Dat
     few = None
     if C.bytes_of(pairs) <= C.BROADCAST_BYTES:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-        some = s.table(sigs.select("doc_id", *orders, "set").join(F.broadcast(ids), "doc_id", "left_semi"), "ngram-some")
+        some = s.light(sigs.select("doc_id", *orders, "set").join(F.broadcast(ids), "doc_id", "left_semi"), "ngram-some")
         few = F.broadcast(some) if C.bytes_of(some) <= C.BROADCAST_BYTES else None
     if few is not None:
         near = pairs.join(side(few, "a", *orders, "set"), "a").join(side(few, "b", *orders, "set"), "b").where(meet).select("a", "b", "aset", "bset")
     else:
         near = pairs.join(side(sigs, "a", *orders), "a").join(side(sigs, "b", *orders), "b").where(meet).select("a", "b")
         near = near.join(side(sigs, "a", "set"), "a").join(side(sigs, "b", "set"), "b")
-    return s.table(near.mapInArrow(verify, "a long, b long"), "ngram-links")
+    return s.light(near.mapInArrow(verify, "a long, b long"), "ngram-links")
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, more: str = "true") -> DataFrame:
@@ -216,7 +218,7 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, more: str = "true")
 
 def link_components(sigs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
     """id, component of the documents with links. sigs: what prefixes() returns, written."""
-    entries = s.table(sigs.select(F.col("doc_id").alias("doc"), "n", "skip", F.posexplode("p0").alias("pos", "token")).select("token", "doc", "n", (F.col("pos") + F.col("skip")).alias("pos")), "ngram-lists")
+    entries = s.light(sigs.select(F.col("doc_id").alias("doc"), "n", "skip", F.posexplode("p0").alias("pos", "token")).select("token", "doc", "n", (F.col("pos") + F.col("skip")).alias("pos")), "ngram-lists")
     total = entries.count()
     first = entries.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("m"), F.max("doc").alias("last")).where("m.doc < last").select("token", "m.*")
     links = _links(_pairs(first, entries, percent), sigs, percent, s)
@@ -228,11 +230,11 @@ def link_components(sigs: DataFrame, percent: int, s: C.Scratch) -> DataFrame:
         now = now.withColumn("level", F.length(F.regexp_extract(F.bin(F.xxhash64("doc")), "(0*)$", 1)).cast("int"))
         tally = now.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"))
         tally = tally.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.count("*").alias("k"))
-        tally = s.table(tally.where("k > 1").select("token", "open"), "ngram-open")
+        tally = s.light(tally.where("k > 1").select("token", "open"), "ngram-open")
         open_ = tally.agg(F.sum("open")).first()[0]
         if not open_:
             return found
-        left = s.table(now.join(C.small(tally.select("token")), "token", "left_semi"), "ngram-left")
+        left = s.light(now.join(C.small(tally.select("token")), "token", "left_semi"), "ngram-left")
         s.drop(tally)
         while True:  # centres of a level stand for 2**-level of all documents; the next are 16 times as many
             fit = max(0, math.ceil(math.log2(open_ / (PAIRS_PER_ENTRY * total))))
@@ -257,19 +259,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id of each row."""
     with C.Scratch(docs.sparkSession) as s:
         described = s.table(describe(docs, n), "ngram-sets")
+        rows, ids, total = described.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id"), F.sum("bytes")).first()
+        s.sized(total or 0, LIGHT_BYTES)
         classes = described.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-        classes = C.small(s.table(classes, "ngram-classes"))
+        classes = C.small(s.light(classes, "ngram-classes"))
         member = described.join(classes, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-        member = s.table(member, "ngram-members")
-        away = s.table(member.where("(rep < doc_id or n_shingles = 0) and doc_id is not null").select("doc_id").distinct(), "ngram-away")
+        member = s.light(member, "ngram-members")
+        away = s.light(member.where("(rep < doc_id or n_shingles = 0) and doc_id is not null").select("doc_id").distinct(), "ngram-away")
         alone = docs.select("doc_id", "text").where("doc_id is not null").join(C.small(away), "doc_id", "left_anti")
-        rows, ids, total = described.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id"), F.sum("bytes")).first()
         if ids < rows:
             alone = alone.dropDuplicates(["doc_id"])
         sigs = s.table(prefixes(alone, n, percent, C.sized_partitions(total or 0, PART_BYTES)), "ngram-prefixes")
         found = C.small(link_components(sigs, percent, s))
         done = member.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-        return C.materialize(done, "ngram-components")
+        return s.kept(done, "ngram-components")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
