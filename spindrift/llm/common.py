@@ -78,7 +78,7 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def _written(df: DataFrame, tag: str, by: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    old = spark.conf.get(CLEAN_UP)
+    old = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
