@@ -1,13 +1,14 @@
 """What the planner learns of relations, and keeps for the session: row counts from file footers, small samples of a few
 files, and the rows of filtered small tables. Nothing here reads a large table whole.
 
-Facts are kept by what a DataFrame reads (its canonical plan, the bytes of its files) and by the predicates put on it, so
-a query that is planned again starts no job. A table whose files change gets facts of its own.
+Facts are kept by table (a DataFrame of its own, which is a new one when files have changed) and by the predicates put on
+it, so a query that is planned again starts no job.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 import weakref
 from collections.abc import Callable, Iterable
@@ -26,15 +27,16 @@ KEPT_FACTS = 10_000
 _FACTS: dict[tuple, object] = {}
 
 
-_KEYS: weakref.WeakKeyDictionary[DataFrame, tuple] = weakref.WeakKeyDictionary()
+_NUMBERS: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
+_NEXT = itertools.count()
 
 
 def key_of(df: DataFrame) -> tuple:
-    """What df reads and computes."""
-    if df not in _KEYS:
-        run = df._jdf.queryExecution()
-        _KEYS[df] = df.sparkSession.sparkContext.applicationId, df._jdf.semanticHash(), str(run.optimizedPlan().stats().sizeInBytes())
-    return _KEYS[df]
+    """A number of df's own. tables.read_parquet() gives the same DataFrame as long as a table's files are the same, so
+    facts are found again; nothing that only looks alike shares them."""
+    if df not in _NUMBERS:
+        _NUMBERS[df] = next(_NEXT)
+    return (_NUMBERS[df],)
 
 
 def fact(key: tuple, find: Callable[[], object]) -> object:

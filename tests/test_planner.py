@@ -245,6 +245,23 @@ def test_schemas_follow_the_files(spark, tmp_path):
     assert read_parquet(spark, str(tmp_path), "t").columns == ["id", "more"]
 
 
+def test_facts_follow_the_files(spark, tmp_path):
+    """A table of the same size with other rows, in the same place."""
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    write = lambda name, k: pq.write_table(pa.table({"k": pa.array([k], pa.int32()), "v": pa.array([k * 2], pa.int32())}), tmp_path / f"{name}.parquet")
+    pq.write_table(pa.table({"k": pa.array([1, 2, 3], pa.int32())}), tmp_path / "t.parquet")
+    sql, got = "SELECT t.k AS k, o.v AS v FROM t, o WHERE t.k = o.k", []
+    for k in (1, 3):
+        write("o", k)
+        got.append([tuple(r) for r in run(parse(sql, Folder(spark, str(tmp_path), ["t", "o"]))).collect()])
+        time.sleep(1.1)
+    assert got == [[(1, 2)], [(3, 6)]]
+
+
 def test_kept_tables(spark):
     t = Tables.of(spark, SF, "part")
     where = Cmp("p_size", "<", 10)
