@@ -171,19 +171,25 @@ class _Plan:
 
     def semi_joins(self) -> None:
         """A relation that only gives a key, each once (or to minimums), filters the smallest other scan of the class; the
-        joins pass it on."""
-        for alias in sorted(self.relations, key=lambda a: (-self.relations[a].rows, a)):
-            r = self.relations[alias]
-            if r.payload or len(r.keys) != 1 or len(self.relations) == 1:
-                continue
-            (i,) = r.keys
-            others = [o for o in self.relations.values() if o is not r and i in o.keys]
-            if others and (self.query.duplicate_insensitive() or i in r.unique or (self.small(r) and is_unique(r.df, f"_k{i}", r.fact))):
-                target = min(others, key=lambda o: (o.rows, o.alias))
-                target.df = target.df.join(r.df, f"_k{i}", "left_semi")
-                target.said, target.local = (*target.said, f"IN {r.fact!r}"), None
-                target.rows = min(target.rows, max(1.0, target.rows * r.rows / max(r.table_rows, 1.0)))
-                del self.relations[alias]
+        joins pass it on. A class that no other relation has any more is no key, so whole branches fold into one scan."""
+        placed = {self.class_of[a] for a in self.query.needed() if a in self.class_of}
+        again = True
+        while again:
+            again = False
+            for alias in sorted(self.relations, key=lambda a: (-self.relations[a].rows, a)):
+                r = self.relations[alias]
+                shared = {i for i in r.keys if any(i in o.keys for o in self.relations.values() if o is not r)}
+                if r.payload or len(shared) != 1 or (r.keys - shared) & placed:
+                    continue
+                (i,) = shared
+                others = [o for o in self.relations.values() if o is not r and i in o.keys]
+                if self.query.duplicate_insensitive() or i in r.unique or (self.small(r) and is_unique(r.df, f"_k{i}", r.fact)):
+                    target = min(others, key=lambda o: (o.rows, o.alias))
+                    target.df = target.df.join(r.df, f"_k{i}", "left_semi")
+                    target.said, target.local = (*target.said, f"IN {r.fact!r}"), None
+                    target.rows = min(target.rows, max(1.0, target.rows * r.rows / max(r.table_rows, 1.0)))
+                    del self.relations[alias]
+                    again = True
 
 
 def run(query: Query, options: Options = Options()) -> DataFrame:

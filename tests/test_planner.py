@@ -362,3 +362,12 @@ def test_movie_query(movie_tables, number):
         raw = parse(sql, tables, raw_columns=True, keys=movies.KEYS)
         wanted = functools.reduce(lambda s, _: s, [re.sub(r"MIN\(([^)]*)\)", r"\1", sql)])
         assert run(raw, Options(compress=True)).count() == len(duck.sql(f"SELECT * FROM ({wanted})").fetchall())
+
+
+def test_branches_of_minimums_fold_into_one_scan(spark):
+    """Orders filter their customers, and these, whose only other key is then the nation, filter nations."""
+    q = parse(catalog.ORACLE_SQL["join_many_12"], Folder(spark, SF, catalog.NAMES), keys=catalog.KEYS)
+    joined = {line.split()[0] for line in explained(q).splitlines() if "join" not in line}
+    assert not joined & {"o2", "c2", "s2"} and {"l", "o", "c"} <= joined
+    q = parse("SELECT c2.c_custkey FROM customer c, customer c2, orders o2 WHERE c.c_nationkey = c2.c_nationkey AND o2.o_custkey = c2.c_custkey", Folder(spark, SF, catalog.NAMES), keys=catalog.KEYS)
+    assert run(q).count() == run(q, AS_WRITTEN).count() > 0  # rows that count aren't folded
