@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Cmp, Predicate
+from ..plans import deal
 from ..plans.graph import Attr, Query
 from ..plans.order import Tree, best_order
 from ..plans.stats import FEW, KEPT_ROWS, Few, counts, estimate, few, is_unique, key_of, key_range, matching
@@ -38,6 +39,8 @@ class Options:
     semi_joins: bool = True
     compress: bool = False
     staged: bool = False
+    #: Joins of few keys with many rows are dealt to tasks by rows.
+    deal: bool = True
     #: Tables of so many rows are probed: read for few rows, ranges of keys, repeated keys.
     probe_rows: int = 100_000
 
@@ -58,6 +61,9 @@ class _Relation:
     unique: set[int] = field(default_factory=set)
     one_row: bool = False  # an equality on a declared key
     local: list[dict] | None = None  # all rows, if the table is tiny
+    base: DataFrame | None = None
+    columns: dict[int, str] = field(default_factory=dict)  # of the base, by class
+    of: list[_Relation] = field(default_factory=list)  # that a stage has joined
 
     def keep(self, condition, text: str, column: str, holds: Callable[[object], bool]) -> None:
         self.df = self.df.where(condition)
@@ -82,7 +88,7 @@ class _Plan:
         self.constants: dict[str, object] = {}  # column of the joined rows -> value
         self.empty = False
         probing = options.order or options.singletons or options.small_keys or options.key_ranges or options.semi_joins
-        rows = dict(zip(query.relations, counts(query.relations.values()) if probing else [0.0] * len(query.relations), strict=True))
+        rows = dict(zip(query.relations, counts(query.relations.values()) if probing or options.deal else [0.0] * len(query.relations), strict=True))
         self.relations = {alias: self._relation(alias, base, rows[alias], members, probing) for alias, base in query.relations.items()}
 
     def _relation(self, alias: str, base: DataFrame, rows: float, members: list[set[str]], probing: bool) -> _Relation:
@@ -99,7 +105,7 @@ class _Plan:
         df = df.selectExpr(*(f"`{cols[0]}` AS _k{i}" for i, cols in sorted(live.items())), *(f"`{c}` AS {self.name[a, c]}" for a, c in payload))
         declared = self.query.keys.get(alias, set())
         said = (*map(str, predicates), *(f"{a} = {b}" for a, b in same), *(f"{c} AS {n}" for n, c in [(f"_k{i}", cols[0]) for i, cols in sorted(live.items())] + [(self.name[a, c], c) for a, c in payload]))
-        found = _Relation(alias, df, set(live), payload, rows, rows, key_of(base) if probing else (), said)
+        found = _Relation(alias, df, set(live), payload, rows, rows, key_of(base) if probing else (), said, base=base, columns={i: cols[0] for i, cols in live.items()})
         found.unique = {i for i, cols in live.items() if set(cols) & declared}
         found.one_row = any(isinstance(p, Cmp) and p.op == "=" and p.name in declared for p in predicates)
         if probing:
@@ -253,24 +259,50 @@ def expanded(df: DataFrame, copies: str) -> DataFrame:
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
 
 
-def _pair(left: tuple[DataFrame, set[int]], right: tuple[DataFrame, set[int]]) -> tuple[DataFrame, set[int]]:
+@dataclass
+class _Side:
+    """One side of a join: a relation, or a join of several."""
+
+    df: DataFrame
+    keys: set[int]
+    rows: float
+    of: list[_Relation]
+
+    @property
+    def bytes(self) -> float:
+        """At most; only known of a relation."""
+        return self.of[0].table_rows * deal.width(self.df) if len(self.of) == 1 else float("inf")
+
+
+def _selectivity(left: _Side, right: _Side, both: list[int]) -> float:
+    """The part of all pairs of rows that a join on these classes keeps."""
+    unique = [r.table_rows for r in left.of + right.of if r.unique & set(both)]
+    if unique:
+        return 1 / max(*unique, 1.0)
+    if left.rows * right.rows < deal.MANY_ROWS:
+        return 1 / max(left.rows, right.rows, 1.0)
+    a, b = (max(side.of, key=lambda r: len(r.columns.keys() & set(both))) for side in (left, right))
+    on = [(a.columns[i], b.columns[i]) for i in both if i in a.columns and i in b.columns]
+    return deal.selectivity(a.base, a.table_rows, b.base, b.table_rows, on) if on else 1 / max(left.rows, right.rows, 1.0)
+
+
+def _pair(left: _Side, right: _Side, options: Options) -> _Side:
     """All classes that both sides have are keys; without one it is a cross product."""
-    both = sorted(left[1] & right[1])
-    made = left[0].join(right[0], [f"_k{i}" for i in both]) if both else left[0].crossJoin(right[0])
-    return made, left[1] | right[1]
+    both = sorted(left.keys & right.keys)
+    made = left.rows * right.rows
+    if options.deal and both:
+        made *= _selectivity(left, right, both)
+    df = deal.joined(left.df, right.df, [f"_k{i}" for i in both], (left.rows, right.rows), made if options.deal else 0.0, (left.bytes, right.bytes))
+    return _Side(df, left.keys | right.keys, made, left.of + right.of)
 
 
 def _edges(relations: dict[str, _Relation]) -> set[frozenset[str]]:
     return {frozenset((a, b)) for a, r in relations.items() for b, s in relations.items() if a != b and r.keys & s.keys}
 
 
-def _width(df: DataFrame) -> float:
-    return float(sum(f.dataType.jsonValue() in ("integer", "float", "date") and 4 or f.dataType.jsonValue() == "string" and 20 or 8 for f in df.schema) + 8)
-
-
 def join_trees(relations: dict[str, _Relation], options: Options) -> list[Tree]:
     if options.order:
-        return best_order({a: (r.rows, _width(r.df)) for a, r in relations.items()}, _edges(relations))
+        return best_order({a: (r.rows, deal.width(r.df)) for a, r in relations.items()}, _edges(relations))
     done: list[str] = []
     todo = list(relations)  # as written, but never a cross product where a join is left
     tree: Tree | None = None
@@ -284,14 +316,16 @@ def join_trees(relations: dict[str, _Relation], options: Options) -> list[Tree]:
 
 
 def _joined(relations: dict[str, _Relation], options: Options) -> DataFrame:
-    def build(t: Tree) -> tuple[DataFrame, set[int]]:
-        return (relations[t].df, relations[t].keys) if isinstance(t, str) else _pair(build(t[0]), build(t[1]))
+    sides = {a: _Side(r.df, r.keys, r.rows, r.of or [r]) for a, r in relations.items()}
+
+    def build(t: Tree) -> _Side:
+        return sides[t] if isinstance(t, str) else _pair(build(t[0]), build(t[1]), options)
 
     parts = [build(t) for t in join_trees(relations, options)]
     out = parts[0]
     for p in parts[1:]:
-        out = _pair(out, p)
-    return out[0]
+        out = _pair(out, p, options)
+    return out.df
 
 
 def _release(frames: list[DataFrame]) -> None:
@@ -300,18 +334,19 @@ def _release(frames: list[DataFrame]) -> None:
 
 
 def _staged(relations: dict[str, _Relation], options: Options, kept: list[DataFrame]) -> DataFrame:
-    """Joins the cheapest pair, counts its rows, and plans again. What a stage made is persisted (memory and disk, with
-    lineage) for as long as the result's DataFrame lives; it's appended to `kept`."""
+    """Joins the cheapest pair, counts its rows, and plans again, until two are left, which leave nothing to plan. What a
+    stage made is persisted (memory and disk, with lineage) for as long as the result's DataFrame lives; it's appended to
+    `kept`."""
     left = dict(relations)
-    while len(left) > 1:
+    while len(left) > 2:
         edges = _edges(left)
         if not edges:
             break
         a, b = min((sorted(e) for e in edges), key=lambda e: (left[e[0]].rows + left[e[1]].rows, e))
-        df, keys = _pair((left[a].df, left[a].keys), (left[b].df, left[b].keys))
-        df = df.persist()
+        side = _pair(*(_Side(r.df, r.keys, r.rows, r.of or [r]) for r in (left[a], left[b])), options)
+        df = side.df.persist()
         kept.append(df)
-        r = _Relation(f"{a}+{b}", df, keys, left[a].payload + left[b].payload, float(df.count()))
+        r = _Relation(f"{a}+{b}", df, side.keys, left[a].payload + left[b].payload, float(df.count()), of=side.of)
         del left[a], left[b]
         left[r.alias] = r
     return _joined(left, options)

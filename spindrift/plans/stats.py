@@ -51,7 +51,7 @@ def forget() -> None:
     _FACTS.clear()
 
 
-def _plain(df: DataFrame) -> bool:
+def is_plain(df: DataFrame) -> bool:
     """Whether df is columns of a file table, with all rows."""
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() == "Project":
@@ -66,7 +66,7 @@ def sample(df: DataFrame, n: int = SAMPLE, seed: int = 7) -> list:
     read; what isn't a plain table is numbered by partition and read once.
     """
     draw = random.Random(seed)
-    plain = _plain(df)
+    plain = is_plain(df)
     block = F.col("_metadata.file_path") if plain else F.spark_partition_id()
     per = sorted(tuple(r) for r in df.groupBy(block).count().collect())
     total = sum(c for _, c in per)

@@ -17,7 +17,7 @@ from spindrift import catalog
 from spindrift.functions.predicates import And, Between, Cmp, In, IsNull, Like, Not, Or
 from spindrift.operators import engine
 from spindrift.operators.engine import AS_WRITTEN, Options, explained, run
-from spindrift.plans import order, stats
+from spindrift.plans import deal, order, stats
 from spindrift.plans.graph import Query
 from spindrift.plans.pgplan import PlanError, from_explain
 from spindrift.plans.plan import Join, Scan, drawn, execute
@@ -371,3 +371,25 @@ def test_branches_of_minimums_fold_into_one_scan(spark):
     assert not joined & {"o2", "c2", "s2"} and {"l", "o", "c"} <= joined
     q = parse("SELECT c2.c_custkey FROM customer c, customer c2, orders o2 WHERE c.c_nationkey = c2.c_nationkey AND o2.o_custkey = c2.c_custkey", Folder(spark, SF, catalog.NAMES), keys=catalog.KEYS)
     assert run(q).count() == run(q, AS_WRITTEN).count() > 0  # rows that count aren't folded
+
+
+@pytest.mark.parametrize("most", [deal.BROADCAST, 0])
+def test_joins_of_few_keys_are_dealt_by_rows(spark, monkeypatch, most):
+    """Through a broadcast side and through copies of a side; the rows are those of a plain join, whatever the deal."""
+    for k, v in {"MANY_ROWS": 10, "GAIN": 0, "TASK_ROWS": 7, "BROADCAST": most, "PAIRS": 1}.items():
+        monkeypatch.setattr(deal, k, v)
+    tables = Folder(spark, SF, catalog.NAMES)
+    for name in ("join_dup_keys", "random_101", "join_class_closure", "join_string_key", "join_composite_key"):
+        q = parse(catalog.ORACLE_SQL[name], tables, keys=catalog.KEYS)
+        got = run(q)
+        assert bag(got.collect()) == bag(run(q, Options(deal=False)).collect())
+        if name == "random_101":
+            assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_how_often_keys_meet(spark):
+    customer, supplier, lineitem = (read_parquet(spark, "/root/testdata/sf0.01", t) for t in ("customer", "supplier", "lineitem"))
+    n, m, k = stats.counts([customer, supplier, lineitem])
+    true = customer.join(supplier, F.col("c_nationkey") == F.col("s_nationkey")).count()
+    assert deal.selectivity(customer, n, supplier, m, [("c_nationkey", "s_nationkey")]) * n * m == pytest.approx(true, rel=0.3)
+    assert deal.selectivity(lineitem, k, lineitem, k, [("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber")]) == 1 / k  # sampled rows don't count as their own partners
