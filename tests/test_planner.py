@@ -387,6 +387,22 @@ def test_joins_of_few_keys_are_dealt_by_rows(spark, monkeypatch, most):
             assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [deal.BROADCAST, 0])
+def test_positional_joins_of_few_keys_are_dealt_by_rows(spark, monkeypatch, most):
+    """Null keys meet nothing, duplicates stay, and a second join goes on from there."""
+    part, supplier = (read_parquet(spark, SF, t) for t in ("part", "supplier"))
+    a = part.select("p_partkey", F.nullif(F.col("p_size") % 3, F.lit(0)).alias("k"))
+    b = supplier.select(F.lit(5).alias("x"), F.nullif(F.col("s_nationkey") % 3, F.lit(0)).alias("k"))
+    two = Join(Scan(0, ((0, "int64"), (1, I))), Scan(1, ((0, I), (1, I))), 1, 1, ((0, "int64"), (2, I), (3, I)))
+    three = Join(two, Scan(1, ((1, I),)), 2, 0, ((0, "int64"), (1, I), (3, I)))
+    want = [bag(execute(p, [a, b]).collect()) for p in (two, three)]
+    for k, v in {"MANY_ROWS": 10, "GAIN": 0, "TASK_ROWS": 7, "BROADCAST": most, "PAIRS": 1}.items():
+        monkeypatch.setattr(deal, k, v)
+    got = execute(two, [a, b])
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString() and want[0]
+    assert [bag(got.collect()), bag(execute(three, [a, b]).collect())] == want
+
+
 def test_how_often_keys_meet(spark):
     customer, supplier, lineitem = (read_parquet(spark, "/root/testdata/sf0.01", t) for t in ("customer", "supplier", "lineitem"))
     n, m, k = stats.counts([customer, supplier, lineitem])
