@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .check import difference, random_sql
+from .check import differing, random_sql
 from .functions.predicates import Between, Cmp, In, IsNull, Like, Not, Predicate
 from .operators.engine import AS_WRITTEN, Options, run
 from .plans.graph import Query
@@ -178,14 +178,11 @@ def _same(name: str, options: list[Options], queries: list[str]) -> None:
 
     @_query(name, "SELECT CAST(0 AS BIGINT) AS differing")
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        parts = []
+        n = 0
         for q in queries:
-            made = [run(parse(ORACLE_SQL[q], _tables(spark, sf_dir), keys=KEYS), o) for o in options]
-            parts += [difference(made[0], other).agg(F.count("*").alias("n")) for other in made[1:]]
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.union(p)
-        return found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("differing"))
+            first, *others = [run(parse(ORACLE_SQL[q], _tables(spark, sf_dir), keys=KEYS), o) for o in options]
+            n += sum(differing(first, other) for other in others)
+        return literal(spark, [(n,)], ["int64"]).toDF("differing")
 
 
 #: The select-project-join queries that the planner runs.

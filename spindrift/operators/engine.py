@@ -59,6 +59,7 @@ class _Relation:
     table: tuple = ()  # what stats.py keeps its facts by
     said: tuple[str, ...] = ()  # predicates so far
     unique: set[int] = field(default_factory=set)
+    distinct: bool = False  # a declared key is among its columns
     one_row: bool = False  # an equality on a declared key
     local: list[dict] | None = None  # all rows, if the table is tiny
     base: DataFrame | None = None
@@ -107,10 +108,11 @@ class _Plan:
         said = (*map(str, predicates), *(f"{a} = {b}" for a, b in same), *(f"{c} AS {n}" for n, c in [(f"_k{i}", cols[0]) for i, cols in sorted(live.items())] + [(self.name[a, c], c) for a, c in payload]))
         found = _Relation(alias, df, set(live), payload, rows, rows, key_of(base) if probing else (), said, base=base, columns={i: cols[0] for i, cols in live.items()})
         found.unique = {i for i, cols in live.items() if set(cols) & declared}
+        found.distinct = bool(found.unique) or any(c in declared for _, c in payload)
         found.one_row = any(isinstance(p, Cmp) and p.op == "=" and p.name in declared for p in predicates)
-        if probing:
+        if probing or self.options.deal:
             found.rows = min(1.0, rows) if found.one_row else estimate(base, rows, predicates, same)
-            if rows <= KEPT_ROWS and rows <= self.options.probe_rows:
+            if probing and rows <= KEPT_ROWS and rows <= self.options.probe_rows:
                 names = {f"_k{i}": cols[0] for i, cols in live.items()} | {self.name[a, c]: c for a, c in payload}
                 found.local = matching(base, rows, predicates, same, [cols[0] for cols in live.values()], names)
                 found.rows = found.rows if found.local is None else float(len(found.local))
@@ -210,6 +212,8 @@ def run(query: Query, options: Options = Options()) -> DataFrame:
     many: list[str] = []
     if options.compress and not query.duplicate_insensitive():
         for r in relations.values():
+            if r.distinct:  # nothing to compress
+                continue
             many.append(f"_m{len(many)}")
             count = F.count("*").alias(many[-1])
             r.df = r.df.groupBy(*r.df.columns).agg(count) if r.df.columns else r.df.agg(count)

@@ -5,7 +5,7 @@ import json
 import duckdb
 import pytest
 
-from spindrift import catalog
+from spindrift import catalog, check
 from spindrift.check import difference, random_sql
 from spindrift.functions.predicates import Cmp, Like
 from spindrift.operators.engine import AS_WRITTEN, Options, run
@@ -142,3 +142,38 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_differing_rows_are_counted_by_digests(spark, monkeypatch):
+    """As many as difference() has, and it's asked only for buckets that differ."""
+    asked = []
+    monkeypatch.setattr(check, "difference", lambda a, b: asked.append(a.count() + b.count()) or difference(a, b))
+    nan = float("nan")
+    rows = [(None, 1, 0.0), (1, None, nan), (1, None, nan), (1, 1, 2.5), (2, 1, None)] + [(i, i % 7, float(i)) for i in range(500)]
+    df = lambda x: spark.createDataFrame(x, "a long, b int, c double").repartition(3)
+    assert check.differing(df(rows), df(rows[::-1]).toDF("x", "y", "z")) == 0 and not asked
+    for other in (rows[1:], [*rows, rows[1]], [(1, None, 0.0), *rows[1:]], [*rows[1:], *rows[1:]], [(-1, 3, 0.5), (9, None, -1.0), *rows[2:]], []):
+        want = difference(df(rows), df(other)).count()
+        assert check.differing(df(rows), df(other)) == want > 0
+        assert not other or len(other) > 600 or 0 < asked[-1] < 20
+    assert check.differing(df(rows), df(rows).selectExpr("cast(a AS int)", "b", "c")) == 0
+
+
+def test_equal_bags_are_not_shuffled(spark):
+    """Each task sends digests of buckets, whatever the number of rows."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    jobs = lambda: store.jobsList(None).size()
+    bus.waitUntilEmpty(10_000)
+    before = jobs()
+    assert check.differing(spark.range(300_000), spark.range(299_999, -1, -1, 5)) == 0
+    bus.waitUntilEmpty(10_000)
+    ids = {store.jobsList(None).apply(i).stageIds().apply(k) for i in range(jobs() - before) for k in range(store.jobsList(None).apply(i).stageIds().size())}
+    written = [store.lastStageAttempt(i).shuffleWriteRecords() for i in ids]
+    assert 0 < max(written) <= check.BUCKETS * 8
+
+
+def test_rows_with_a_key_are_not_compressed(spark):
+    """Their counts would all be 1, and each joined row would be expanded for nothing."""
+    plan = lambda name: run(parse(catalog.ORACLE_SQL[name], catalog._tables(spark, SF), keys=catalog.KEYS), Options(compress=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan("join_dup_keys") and "Generate" not in plan("join_dup_keys")
+    assert "Aggregate" in plan("join_star_5") and "Generate" in plan("join_star_5")  # of lineitem
