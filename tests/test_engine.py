@@ -172,6 +172,15 @@ def test_equal_bags_are_not_shuffled(spark):
     assert 0 < max(written) <= check.BUCKETS * 8
 
 
+def test_staged_mode_keeps_no_last_join(spark):
+    """Two relations leave nothing to plan anew: their join isn't counted or kept."""
+    kept = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = kept()
+    q = parse(catalog.ORACLE_SQL["join_dup_keys"], catalog._tables(spark, SF), keys=catalog.KEYS)
+    df = run(q, Options(staged=True))
+    assert kept() == before and bag(df.collect()) == bag(run(q).collect())
+
+
 def test_rows_with_a_key_are_not_compressed(spark):
     """Their counts would all be 1, and each joined row would be expanded for nothing."""
     plan = lambda name: run(parse(catalog.ORACLE_SQL[name], catalog._tables(spark, SF), keys=catalog.KEYS), Options(compress=True))._jdf.queryExecution().optimizedPlan().toString()
