@@ -409,3 +409,10 @@ def test_how_often_keys_meet(spark):
     true = customer.join(supplier, F.col("c_nationkey") == F.col("s_nationkey")).count()
     assert deal.selectivity(customer, n, supplier, m, [("c_nationkey", "s_nationkey")]) * n * m == pytest.approx(true, rel=0.3)
     assert deal.selectivity(lineitem, k, lineitem, k, [("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber")]) == 1 / k  # sampled rows don't count as their own partners
+
+
+def test_joins_as_written_are_dealt_by_what_their_filters_leave(spark):
+    """Without it a join of two filtered tables is taken for one of whole tables, and a side is copied to all shares."""
+    q = parse(catalog.ORACLE_SQL["join_string_key"], Folder(spark, SF, catalog.NAMES), keys=catalog.KEYS)
+    for r in engine._Plan(q, AS_WRITTEN).relations.values():
+        assert 0 < r.rows < r.table_rows / 5
