@@ -172,6 +172,29 @@ def test_equal_bags_are_not_shuffled(spark):
     assert 0 < max(written) <= check.BUCKETS * 8
 
 
+def test_equal_bags_take_one_digest_a_task(spark):
+    """No buckets: a table of groups costs most of the time of joins that make billions of rows."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    jobs = lambda: store.jobsList(None).size()
+    bus.waitUntilEmpty(10_000)
+    before = jobs()
+    assert check.differing(spark.range(0, 9_000, 1, 3), spark.range(8_999, -1, -1, 5)) == 0
+    bus.waitUntilEmpty(10_000)
+    ids = {store.jobsList(None).apply(i).stageIds().apply(k) for i in range(jobs() - before) for k in range(store.jobsList(None).apply(i).stageIds().size())}
+    assert sorted(store.lastStageAttempt(i).shuffleWriteRecords() for i in ids)[-2:] == [3, 5]
+
+
+def test_hashes_tell_nulls_apart(spark):
+    """In every column, beyond the 60 whose flags fit into a number too, and from zeros."""
+    names = [f"c{i}" for i in range(130)]
+    rows = [[1 if k != i else v for k in range(130)] for i in range(130) for v in (None, 0)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    hashes = [r[0] for seed in (0, 1) for r in df.select(check._hash(df, seed, names)).collect()]
+    assert len(set(hashes)) == 2 * len(rows)
+    one = spark.createDataFrame([(None, 1), (1, None), (1, 1), (None, None)], "a int, b int")
+    assert len({r[0] for seed in (0, 1) for r in one.select(check._hash(one, seed, ["a", "b"])).collect()}) == 8
+
+
 def test_staged_mode_keeps_no_last_join(spark):
     """Two relations leave nothing to plan anew: their join isn't counted or kept."""
     kept = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
