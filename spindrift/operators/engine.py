@@ -13,17 +13,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 from ..functions.predicates import Cmp, Predicate
 from ..plans import deal
 from ..plans.graph import Attr, Query
 from ..plans.order import Tree, best_order
-from ..plans.stats import FEW, KEPT_ROWS, Few, counts, estimate, few, is_unique, key_of, key_range, matching
+from ..plans.stats import FEW, KEPT_ROWS, Few, counts, estimate, few, is_plain, is_unique, kept_rows, key_of, key_range, matching
 
 #: Rows that a relation is read for whole, to find one-row tables and small key sets.
 FETCH = 4 * FEW
 #: Copies of a row that one array of the expansion stands for.
 CHUNK = 10_000
+#: A relation is broadcast if its rows are estimated at LIGHT bytes at most, and all of its table's wouldn't take more than BOUND.
+LIGHT, BOUND = 8 << 20, 64 << 20
 #: A range of keys goes to relations that are so many times larger.
 RANGE_GAIN = 10
 
@@ -41,6 +44,8 @@ class Options:
     staged: bool = False
     #: Joins of few keys with many rows are dealt to tasks by rows.
     deal: bool = True
+    #: Light relations are broadcast.
+    broadcast: bool = True
     #: Tables of so many rows are probed: read for few rows, ranges of keys, repeated keys.
     probe_rows: int = 100_000
 
@@ -76,6 +81,22 @@ class _Relation:
     def fact(self) -> tuple:
         return *self.table, *self.df.columns, *self.said
 
+    @property
+    def light(self) -> bool:
+        """Whether to broadcast it. Strings count as long as they are in the kept rows of the table. A negative threshold of
+        the session's switches this off, as it does Catalyst's own choice."""
+        width = deal.width(self.df)
+        if self.rows * width > LIGHT or self.table_rows * width > BOUND or not is_plain(self.base):
+            return False
+        if self.df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):
+            return False
+        names = {*self.columns.values(), *(c for _, c in self.payload)}
+        strings = [f.name for f in self.base.schema if f.name in names and not isinstance(f.dataType, (NumericType, DateType, TimestampType, BooleanType))]
+        if strings:
+            kept = kept_rows(self.base, self.table_rows)
+            width += sum(len(str(r[c])) for r in kept for c in strings) / max(len(kept), 1)
+        return self.rows * width <= LIGHT and self.table_rows * width <= BOUND
+
 
 class _Plan:
     """A query's filtered, pruned relations, with a column for each join class they are in."""
@@ -89,7 +110,7 @@ class _Plan:
         self.constants: dict[str, object] = {}  # column of the joined rows -> value
         self.empty = False
         probing = options.order or options.singletons or options.small_keys or options.key_ranges or options.semi_joins
-        rows = dict(zip(query.relations, counts(query.relations.values()) if probing or options.deal else [0.0] * len(query.relations), strict=True))
+        rows = dict(zip(query.relations, counts(query.relations.values()) if probing or options.deal or options.broadcast else [0.0] * len(query.relations), strict=True))
         self.relations = {alias: self._relation(alias, base, rows[alias], members, probing) for alias, base in query.relations.items()}
 
     def _relation(self, alias: str, base: DataFrame, rows: float, members: list[set[str]], probing: bool) -> _Relation:
@@ -110,7 +131,7 @@ class _Plan:
         found.unique = {i for i, cols in live.items() if set(cols) & declared}
         found.distinct = bool(found.unique) or any(c in declared for _, c in payload)
         found.one_row = any(isinstance(p, Cmp) and p.op == "=" and p.name in declared for p in predicates)
-        if probing or self.options.deal:
+        if probing or self.options.deal or self.options.broadcast:
             found.rows = min(1.0, rows) if found.one_row else estimate(base, rows, predicates, same)
             if probing and rows <= KEPT_ROWS and rows <= self.options.probe_rows:
                 names = {f"_k{i}": cols[0] for i, cols in live.items()} | {self.name[a, c]: c for a, c in payload}
@@ -193,7 +214,7 @@ class _Plan:
                 others = [o for o in self.relations.values() if o is not r and i in o.keys]
                 if self.query.duplicate_insensitive() or i in r.unique or (self.small(r) and is_unique(r.df, f"_k{i}", r.fact)):
                     target = min(others, key=lambda o: (o.rows, o.alias))
-                    target.df = target.df.join(r.df, f"_k{i}", "left_semi")
+                    target.df = target.df.join(F.broadcast(r.df) if self.options.broadcast and r.light else r.df, f"_k{i}", "left_semi")
                     target.said, target.local = (*target.said, f"IN {r.fact!r}"), None
                     target.rows = min(target.rows, max(1.0, target.rows * r.rows / max(r.table_rows, 1.0)))
                     del self.relations[alias]
@@ -277,6 +298,10 @@ class _Side:
         """At most; only known of a relation."""
         return self.of[0].table_rows * deal.width(self.df) if len(self.of) == 1 else float("inf")
 
+    @property
+    def light(self) -> bool:
+        return len(self.of) == 1 and self.of[0].light
+
 
 def _selectivity(left: _Side, right: _Side, both: list[int]) -> float:
     """The part of all pairs of rows that a join on these classes keeps."""
@@ -296,7 +321,9 @@ def _pair(left: _Side, right: _Side, options: Options) -> _Side:
     made = left.rows * right.rows
     if options.deal and both:
         made *= _selectivity(left, right, both)
-    df = deal.joined(left.df, right.df, [f"_k{i}" for i in both], (left.rows, right.rows), made if options.deal else 0.0, (left.bytes, right.bytes))
+    light = [x for x, side in enumerate((left, right)) if options.broadcast and both and side.light]
+    light = min(light, key=lambda x: (left, right)[x].rows, default=None)
+    df = deal.joined(left.df, right.df, [f"_k{i}" for i in both], (left.rows, right.rows), made if options.deal else 0.0, (left.bytes, right.bytes), light)
     return _Side(df, left.keys | right.keys, made, left.of + right.of)
 
 

@@ -38,10 +38,11 @@ def selectivity(a: DataFrame, a_rows: float, b: DataFrame, b_rows: float, on: li
     return pairs / (len(x) * len(y)) if pairs >= PAIRS else 1 / max(a_rows, b_rows, 1.0)
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], rows: tuple[float, float], made: float, bytes_: tuple[float, float]) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, on: list[str], rows: tuple[float, float], made: float, bytes_: tuple[float, float], light: int | None = None) -> DataFrame:
     """Equi-join on columns of both (a cross product without any). rows: estimated, of left, right and the result;
-    bytes_: at most, of left and right."""
+    bytes_: at most, of left and right; light: the side (0 or 1) to broadcast if the join isn't dealt."""
     if made < MANY_ROWS or made < GAIN * sum(rows):
+        left, right = (F.broadcast(df) if light == x else df for x, df in enumerate((left, right)))
         return left.join(right, on) if on else left.crossJoin(right)
     n = min(TASKS, math.ceil(made / TASK_ROWS))
     if min(bytes_) <= BROADCAST:

@@ -416,3 +416,28 @@ def test_joins_as_written_are_dealt_by_what_their_filters_leave(spark):
     q = parse(catalog.ORACLE_SQL["join_string_key"], Folder(spark, SF, catalog.NAMES), keys=catalog.KEYS)
     for r in engine._Plan(q, AS_WRITTEN).relations.values():
         assert 0 < r.rows < r.table_rows / 5
+
+
+def test_light_relations_are_broadcast(spark, monkeypatch, tmp_path):
+    """By estimated rows, so that a large table isn't shuffled for a filtered small one; not if a wrong estimate could do harm."""
+    monkeypatch.setattr(engine, "LIGHT", 100_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        for name, semi in (("raw_columns", False), ("join_star_5", False), ("semi_join_elim", True)):
+            q = parse(catalog.ORACLE_SQL[name], Folder(spark, "/root/testdata/sf0.01", catalog.NAMES), keys=catalog.KEYS)
+            got, plain = run(q), run(q, Options(broadcast=False))
+            plan, old = (x._jdf.queryExecution().executedPlan().toString() for x in (got, plain))
+            assert "BroadcastHashJoin" in plan and "BroadcastHashJoin" not in old and ("LeftSemi, BuildRight" in plan) == semi
+            assert bag(got.collect()) == bag(plain.collect())
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "BroadcastHashJoin" not in run(q)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+        assert "BroadcastHashJoin" in run(q)._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(engine, "BOUND", 1_000)
+            assert "BroadcastHashJoin" not in run(q)._jdf.queryExecution().executedPlan().toString()
+        spark.range(400).selectExpr("id AS c_custkey", "'x' AS c_name", "0.5D AS c_acctbal", "repeat('BUILDING', 1000) AS c_mktsegment", "3 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+        q = parse("SELECT l.o_orderkey, c.c_mktsegment FROM customer c, l WHERE c.c_custkey = l.o_custkey", {"customer": spark.read.parquet(f"{tmp_path}/customer.parquet"), "l": read_parquet(spark, "/root/testdata/sf0.01", "orders").select("o_orderkey", "o_custkey")})
+        assert "BroadcastHashJoin" not in run(q)._jdf.queryExecution().executedPlan().toString()  # 400 rows of 8 KB
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
